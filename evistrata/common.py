@@ -142,6 +142,18 @@ def distinct_first_terms(values: Column) -> Column:
     return F.array_distinct(F.filter(stripped, lambda v: v.isNotNull() & (v != "")))
 
 
+# --- input parallelism ----------------------------------------------------
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows of a bare scan over the cores when it has fewer splits than that.
+
+    For CPU-bound text work on small inputs; a large table has splits enough and
+    is left alone.  Planning only, no job runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 # --- lineage and shared scratch space -------------------------------------
 
 def shared_folder(spark: SparkSession) -> str:
