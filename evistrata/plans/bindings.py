@@ -173,3 +173,35 @@ link as (select 's' || o_orderkey as study_id, case when o_orderstatus = 'P' the
     case when o_orderkey % 13 = 0 then 'old' else 'new' end as protocol_hash
   from orders where o_orderkey % 7 <> 0)
 """
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """One outcome per order and line; each has an evidence location, some two or none."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"))
+    pk, sk = F.col("pk"), F.col("sk")
+    order, line = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    relation = F.when(F.col("rf") == "A", "supports").when(F.col("rf") == "R", "contradicts").when(sk % 3 == 0, "neutral").when(sk % 3 == 1, "mixed").otherwise("unclear")
+    direction = F.element_at(F.array(*[F.lit(x) for x in ("increase", "decrease", "no_change", "mixed", "unclear")]), (pk % 5 + 1).cast("int"))
+    status = F.when(sk % 7 == 0, "failed").when(sk % 7 == 1, "unverified").otherwise("passed")
+
+    def location(page: str):
+        return F.struct(F.concat(F.lit("quote "), order, F.lit("-"), line).alias("quote"), F.lit(page).alias("page"), status.alias("validation_status"))
+
+    evidence = F.when(pk % 9 == 0, F.array().cast("array<struct<quote:string,page:string,validation_status:string>>")).when(
+        pk % 9 == 1, F.array(location("1"), location("2"))).otherwise(F.array(location("1")))
+    return li.select(
+        F.concat(F.lit("o"), order, F.lit("-"), line).alias("outcome_id"), F.concat(F.lit("s"), order).alias("study_id"),
+        F.concat(F.lit("d"), (pk % 6).cast("string")).alias("domain"), direction.alias("effect_direction"), relation.alias("support_relation"),
+        F.when(sk % 4 == 0, "").otherwise(F.concat(F.lit("t"), (sk % 4).cast("string"))).alias("timepoint"), F.col("ls").alias("design"),
+        F.concat(F.lit("m"), (pk % 50 / 25).cast("int").cast("string")).alias("dose"), evidence.alias("evidence"), F.col("l_orderkey").alias("seq"))
+
+
+OUTCOMES_SQL = """
+lo as (select l_orderkey, l_linenumber, min(l_partkey) as pk, min(l_suppkey) as sk, min(l_returnflag) as rf, min(l_linestatus) as ls from lineitem group by 1, 2),
+outc as (select 'o' || l_orderkey || '-' || l_linenumber as outcome_id, 's' || l_orderkey as study_id, l_orderkey, l_linenumber, pk, sk, 'd' || (pk % 6) as domain,
+  case pk % 5 when 0 then 'increase' when 1 then 'decrease' when 2 then 'no_change' when 3 then 'mixed' else 'unclear' end as effect_direction,
+  case rf when 'A' then 'supports' when 'R' then 'contradicts' else case sk % 3 when 0 then 'neutral' when 1 then 'mixed' else 'unclear' end end as support_relation,
+  case when sk % 4 = 0 then 'not_reported' else 't' || (sk % 4) end as timepoint, ls as design, 'm' || (pk % 50 // 25) as dose,
+  case sk % 7 when 0 then 'failed' when 1 then 'unverified' else 'passed' end as validation_status, case pk % 9 when 0 then 0 when 1 then 2 else 1 end as n_evidence from lo)
+"""
