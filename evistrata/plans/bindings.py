@@ -205,3 +205,75 @@ outc as (select 'o' || l_orderkey || '-' || l_linenumber as outcome_id, 's' || l
   case when sk % 4 = 0 then 'not_reported' else 't' || (sk % 4) end as timepoint, ls as design, 'm' || (pk % 50 // 25) as dose,
   case sk % 7 when 0 then 'failed' when 1 then 'unverified' else 'passed' end as validation_status, case pk % 9 when 0 then 0 when 1 then 2 else 1 end as n_evidence from lo)
 """
+
+
+def described_studies(spark: SparkSession, d: str) -> DataFrame:
+    """Studies with declared fields."""
+    o = table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+
+    def pick(index, *values: str):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+    fields = F.create_map(
+        F.lit("population.scope"), F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1)), F.lit("design"), F.col("o_orderstatus"),
+        F.lit("intervention.scope"), pick(k % 9, "outside", "adjacent", "inside", "core", "", "", "", "", ""),
+        F.lit("intervention.summary"), pick(k % 4, "x", "y", "z", ""), F.lit("population.evidence_level"), pick(c % 4, "low", "mid", "high", ""),
+        F.lit("study.causal_strength"), pick(k % 3, "descriptive", "associational", "causal"), F.lit("dose"), F.when(k % 4 == 0, "not_reported").otherwise("5"))
+    return o.select(
+        F.concat(F.lit("s"), k.cast("string")).alias("study_id"), F.concat(F.lit("p"), c.cast("string")).alias("publication_id"), fields.alias("fields"), k.alias("seq"))
+
+
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Current evidence locations, named by outcome and position."""
+    rows = outcomes(spark, d).select("outcome_id", "study_id", F.posexplode_outer("evidence").alias("i", "e")).filter("e is not null")
+    name = F.concat(F.lit("e"), "outcome_id", F.lit("-"), F.col("i").cast("string"))
+    return rows.select(name.alias("evidence_id"), "study_id", "outcome_id", F.col("e.validation_status").alias("validation_status"))
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """One claim per order, with the faults an audit looks for at regular intervals."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+
+    def name(prefix: str, key, suffix: str = ""):
+        return F.concat(F.lit(prefix), key.cast("string"), F.lit(suffix))
+
+    def some(*pairs):
+        return F.array_compact(F.array(*[F.when(cond, value) for cond, value in pairs]))
+
+    yes = F.lit(True)
+    return o.select(
+        name("k", k).alias("claim_id"), name("S0", k % 4 + 1).alias("section_id"), name("Order ", k, " was Shipped late.").alias("sentence"),
+        some((k % 50 != 1, name("s", k)), (k % 3 == 0, name("s", k + 1)), (k % 40 == 0, name("s", k)), (k % 50 == 2, name("sX", k))).alias("supporting_studies"),
+        some((k % 6 == 0, name("s", k + 2))).alias("contradicting_studies"),
+        some((k % 10 != 9, name("o", k, "-1")), (k % 5 == 0, name("old", k)), (k % 23 == 0, name("nowhere", k))).alias("supporting_outcomes"),
+        some((k % 6 == 0, name("o", k + 2, "-2"))).alias("contradicting_outcomes"),
+        some((k % 8 != 0, name("eo", k, "-1-0")), (k % 7 == 0, name("eo", k + 1, "-1-0")), (k % 9 == 0, name("stale", k)), (k % 11 == 0, name("ghost", k))).alias("supporting_evidence_refs"),
+        some((k % 12 == 0, name("eo", k + 2, "-2-0"))).alias("contradicting_evidence_refs"),
+        F.when(k % 31 == 0, "unsupported").otherwise("supported").alias("support_level"),
+        F.when(k % 17 == 0, "outside").otherwise("unclear").alias("scope_status"),
+        some((k % 2 == 0, F.lit("high")), (k % 5 == 0, F.lit("mid"))).alias("claimed_levels"),
+        F.when(k % 2 == 1, "causal").otherwise("descriptive").alias("causal_strength"),
+        some((yes, F.lit("dose")), (k % 3 == 1, F.lit("absent"))).alias("asserted_fields"),
+        some((yes, F.lit("shipped")), (k % 13 == 0, F.lit("never"))).alias("required_qualifiers"),
+        F.when(k % 19 == 0, "because").otherwise("").alias("relation_explanation"), k.alias("seq"))
+
+
+SYNTHESIS_SQL = """
+st as (select 's' || o_orderkey as study_id, 'p' || o_custkey as publication_id, o_orderkey as k, 'P' || left(o_orderpriority, 1) as pop, o_orderstatus as design,
+  case o_orderkey % 9 when 0 then 'outside' when 1 then 'adjacent' when 2 then 'inside' when 3 then 'core' else '' end as scope,
+  case o_orderkey % 4 when 0 then 'x' when 1 then 'y' when 2 then 'z' else '' end as summary, case o_custkey % 4 when 0 then 'low' when 1 then 'mid' when 2 then 'high' else '' end as lvl,
+  case o_orderkey % 3 when 0 then 'descriptive' when 1 then 'associational' else 'causal' end as strength, case when o_orderkey % 4 = 0 then 'not_reported' else '5' end as dose from orders),
+evi as (select 'e' || outcome_id || '-' || i as evidence_id, study_id, outcome_id, validation_status from (select *, unnest(generate_series(0, n_evidence - 1)) as i from outc where n_evidence > 0)),
+cl as (select o_orderkey as k, 'k' || o_orderkey as claim_id, 'S0' || (o_orderkey % 4 + 1) as section_id from orders),
+cs as (select claim_id, section_id, k, 'supporting' as side, unnest([case when k % 50 <> 1 then 's' || k end, case when k % 3 = 0 then 's' || (k + 1) end, case when k % 40 = 0 then 's' || k end, case when k % 50 = 2 then 'sX' || k end]) as study_id from cl
+  union all select claim_id, section_id, k, 'contradicting', case when k % 6 = 0 then 's' || (k + 2) end from cl),
+cst as (select * from cs where study_id is not null),
+co as (select claim_id, section_id, k, 'supporting' as side, unnest([case when k % 10 <> 9 then 'o' || k || '-1' end, case when k % 5 = 0 then 'old' || k end, case when k % 23 = 0 then 'nowhere' || k end]) as outcome_id from cl
+  union all select claim_id, section_id, k, 'contradicting', case when k % 6 = 0 then 'o' || (k + 2) || '-2' end from cl),
+cot as (select * from co where outcome_id is not null),
+ce as (select claim_id, section_id, k, 'supporting' as side, unnest([case when k % 8 <> 0 then 'eo' || k || '-1-0' end, case when k % 7 = 0 then 'eo' || (k + 1) || '-1-0' end, case when k % 9 = 0 then 'stale' || k end, case when k % 11 = 0 then 'ghost' || k end]) as evidence_id from cl
+  union all select claim_id, section_id, k, 'contradicting', case when k % 12 = 0 then 'eo' || (k + 2) || '-2-0' end from cl),
+cet as (select * from ce where evidence_id is not null)
+"""
