@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evistrata.plans.registry import ORACLE, QUERIES
 
-SUBJECTS = ("records", "catalog", "screening", "packing", "quotes", "findings", "extraction", "evidence", "synthesis")
+SUBJECTS = ("records", "catalog", "screening", "packing", "quotes", "findings", "extraction", "evidence", "synthesis", "audit")
 
 
 def _load() -> None:
