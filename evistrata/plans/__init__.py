@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evistrata.plans.registry import ORACLE, QUERIES
 
-SUBJECTS = ("records", "catalog", "screening", "packing", "quotes", "findings", "extraction", "evidence", "synthesis", "audit")
+SUBJECTS = (
+    "records", "catalog", "screening", "packing", "quotes", "findings", "extraction", "evidence", "synthesis", "audit", "sources",
+)
 
 
 def _load() -> None:
