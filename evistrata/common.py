@@ -76,7 +76,8 @@ def number_rows(
     ``chunk`` is any expression that never decreases along ``order`` (a prefix
     of a string id, ``seq_chunk`` of an integer).  Each chunk is numbered on its
     own and shifted by the rows in the chunks before it, known from one count
-    per (key, chunk).
+    per (key, chunk).  ``df`` is read twice, so hand in a written table when it
+    is expensive to compute.
     """
     chunk = seq_chunk(order) if chunk is None else chunk
     tagged = df.withColumn("_chunk", chunk)

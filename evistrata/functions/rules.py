@@ -75,32 +75,46 @@ def screen(
             F.lit(True).alias("keep"), F.lit(0).alias("score"), F.lit("B").alias("tier"),
             F.array(F.lit("no domain screening profile configured")).alias("reasons"),
         )
-    hits = {c.name: matched_terms(blob, c.terms) for c in rules}
-    penalty = citation_penalty(year, citations, policy)
-    score = penalty
+    found = F.struct(*[matched_terms(blob, c.terms).alias(f"c{i}") for i, c in enumerate(rules)])
+    cited = F.coalesce(as_col(citations), F.lit(0))
+    facts = F.struct(found.alias("hits"), citation_penalty(year, citations, policy).alias("penalty"), as_col(year).alias("year"), cited.alias("cited"))
+    # One-element arrays bind the matches and then the score, so that no term is searched twice.
+    scored = F.transform(F.array(facts), lambda f: _scored(f, rules))
+    return F.get(F.transform(scored, lambda f: _judged(f, rules, min_score, policy)), 0)
+
+
+def _hit(facts: Column, i: int) -> Column:
+    return F.size(facts["hits"][f"c{i}"]) > 0
+
+
+def _scored(facts: Column, rules: Sequence[Category]) -> Column:
+    score = facts["penalty"]
+    for i, c in enumerate(rules):
+        score = score + F.when(_hit(facts, i), c.weight).otherwise(0)
+    kept = [facts[n].alias(n) for n in ("hits", "penalty", "year", "cited")]
+    return F.struct(*kept, score.alias("score"))
+
+
+def _judged(facts: Column, rules: Sequence[Category], min_score: int, policy: CitationPolicy) -> Column:
     reasons = []
-    for c in rules:
-        found = F.size(hits[c.name]) > 0
-        score = score + F.when(found, c.weight).otherwise(0)
-        listed = F.array_join(F.slice(hits[c.name], 1, 3), ",")
+    for i, c in enumerate(rules):
+        listed = F.array_join(F.slice(facts["hits"][f"c{i}"], 1, 3), ",")
         if c.weight < 0:
             reason = F.concat(F.lit("exclude:"), listed)
         elif c.label is not None or len(c.terms) > 20:
             reason = F.lit(c.label or c.name.replace("_", "-"))
         else:
             reason = F.concat(F.lit(f"{c.name}:"), listed)
-        reasons.append(F.when(found, reason))
-    cited = F.coalesce(as_col(citations), F.lit(0)).cast("string")
-    older = as_col(year) < policy.recent_from
-    note = F.concat(cited, F.lit(" citations for "), F.when(older, F.lit("older paper")).otherwise(as_col(year).cast("string")))
-    reasons.append(F.when(penalty != 0, note))
+        reasons.append(F.when(_hit(facts, i), reason))
+    age = F.when(facts["year"] < policy.recent_from, F.lit("older paper")).otherwise(facts["year"].cast("string"))
+    reasons.append(F.when(facts["penalty"] != 0, F.concat(facts["cited"].cast("string"), F.lit(" citations for "), age)))
     top = F.lit(any(c.required_for_top_tier for c in rules))
-    for c in rules:
+    for i, c in enumerate(rules):
         if c.required_for_top_tier:
-            top = top & (F.size(hits[c.name]) > 0)
+            top = top & _hit(facts, i)
+    enough = facts["score"] >= min_score
     return F.struct(
-        (score >= min_score).alias("keep"), score.alias("score"),
-        F.when(top, "A").when(score >= min_score, "B").otherwise("C").alias("tier"),
+        enough.alias("keep"), facts["score"].alias("score"), F.when(top, "A").when(enough, "B").otherwise("C").alias("tier"),
         F.array_compact(F.array(*reasons)).alias("reasons"),
     )
 

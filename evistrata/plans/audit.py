@@ -26,14 +26,15 @@ def members(spark, d):
     return s.select(F.explode(F.array(*[F.lit(f"S0{i}") for i in (1, 2, 3, 4)])).alias("section_id"), "study_id", "seq").filter("section_id <> 'S04' or seq % 2 = 0")
 
 
-def history(spark, d):
+def history(spark, d, current=None):
+    current = outcomes(spark, d) if current is None else current
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     n = k.cast("string")
     former = o.filter(k % 5 == 0).select(F.concat(F.lit("old"), n).alias("outcome_id"), F.when(k % 2 == 0, "superseded").otherwise("active").alias("status"), F.lit("run1").alias("extraction_run_id"))
     stale = o.filter(k % 9 == 0).select(F.concat(F.lit("stale"), n).alias("evidence_id"), F.concat(F.lit("o"), n, F.lit("-1")).alias("outcome_id"),
                                         F.when(k % 27 == 0, "resolved").otherwise("active").alias("status"), F.when(k % 2 == 0, "run1").otherwise("run2").alias("extraction_run_id"))
-    state = outcomes(spark, d).select("outcome_id", F.lit("run2").alias("extraction_run_id"))
+    state = current.select("outcome_id", F.lit("run2").alias("extraction_run_id"))
     return ops.History(former, stale, state, "run2")
 
 
@@ -132,9 +133,9 @@ union all select side || '_outcome_without_evidence', claim_id, side, outcome_id
 
 
 def linkage(spark, d):
-    c = claims(spark, d)
-    h = history(spark, d)
-    return c, ops.outcome_issues(claims(spark, d), outcomes(spark, d), h, RULES), ops.evidence_issues(c, evidence(spark, d), h)
+    c, o = claims(spark, d), synthesis_plans.written_outcomes(spark, d)
+    h = history(spark, d, o)
+    return c, ops.outcome_issues(c, o, h, RULES), ops.evidence_issues(c, evidence(spark, d, o), h)
 
 
 @query("audit_linkage_issues", f"with {AUDIT_SQL}, {OUTCOME_CTE}, {EVIDENCE_CTE}, {LINK_CTE} {LINK_ISSUES_SQL}")
@@ -234,13 +235,16 @@ def run_issues(spark, d):
 
 
 def full_audit(spark, d):
-    """All issues of the claims, written once and then counted."""
-    c = cut_lineage(synthesis_plans.flagged(spark, d))
-    h, s = history(spark, d), audit_studies(spark, d)
-    o_issues, ro = ops.outcome_issues(c, outcomes(spark, d), h, RULES)
-    e_issues, re = ops.evidence_issues(c, evidence(spark, d), h)
-    parts = [ops.claim_issues(c), ops.study_issues(c, s, members(spark, d)), o_issues, e_issues, ops.linkage_issues(c, ro, re), omissions(spark, d), ops.ineligible_evidence(c, s)]
-    return ops.union_issues(parts)
+    """All issues of the claims; claims and outcomes are written once, as the stages before leave them."""
+    c, o = cut_lineage(synthesis_plans.flagged(spark, d)), synthesis_plans.written_outcomes(spark, d)
+    e = cut_lineage(evidence(spark, d, o))
+    h, s = history(spark, d, o), audit_studies(spark, d)
+    o_issues, ro = ops.outcome_issues(c, o, h, RULES)
+    e_issues, re = ops.evidence_issues(c, e, h)
+    left_out = S.contradiction_omissions(c, synthesis_plans.inconsistent_members(spark, d, o), s.filter("eligible"))
+    return ops.union_issues([
+        ops.claim_issues(c), ops.study_issues(c, s, members(spark, d)), o_issues, e_issues, ops.linkage_issues(c, ro, re),
+        ops.omission_issues(left_out), ops.ineligible_evidence(c, s)])
 
 
 ALL_ISSUES_SQL = f"""

@@ -224,9 +224,10 @@ def described_studies(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("s"), k.cast("string")).alias("study_id"), F.concat(F.lit("p"), c.cast("string")).alias("publication_id"), fields.alias("fields"), k.alias("seq"))
 
 
-def evidence(spark: SparkSession, d: str) -> DataFrame:
+def evidence(spark: SparkSession, d: str, from_outcomes: DataFrame | None = None) -> DataFrame:
     """Current evidence locations, named by outcome and position."""
-    rows = outcomes(spark, d).select("outcome_id", "study_id", F.posexplode_outer("evidence").alias("i", "e")).filter("e is not null")
+    source = outcomes(spark, d) if from_outcomes is None else from_outcomes
+    rows = source.select("outcome_id", "study_id", F.posexplode_outer("evidence").alias("i", "e")).filter("e is not null")
     name = F.concat(F.lit("e"), "outcome_id", F.lit("-"), F.col("i").cast("string"))
     return rows.select(name.alias("evidence_id"), "study_id", "outcome_id", F.col("e.validation_status").alias("validation_status"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evistrata.common import cut_lineage
 from evistrata.functions import values as V
 from evistrata.functions.keys import configured_outcome_key, outcome_identity, stable_id
 from evistrata.operators import extraction as ops
@@ -177,7 +178,8 @@ def two_versions(spark, d):
     previous = old.withColumns({
         "outcome_id": F.coalesce(F.nullif("explicit_id", F.lit("")), stable_id("outcome", "study_id", "identity_key")),
         "extraction_run_id": F.lit("run1"), "extraction_version": F.lit(1), "status": F.lit("active")})
-    new = snapshot(spark, d, "seq % 500 >= 100 and domain <> 'd2'", F.col("seq") % 20 == 5)
+    previous = cut_lineage(previous)
+    new = cut_lineage(snapshot(spark, d, "seq % 500 >= 100 and domain <> 'd2'", F.col("seq") % 20 == 5))
     return previous, new, ops.reingest(previous, new, "run2")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evistrata.common import first_n, first_seen
+from evistrata.common import first_n, first_seen, spread
 from evistrata.functions import keys as K
 from evistrata.functions import rules as R
 from evistrata.functions import text as X
@@ -231,7 +231,7 @@ RULES = {"categories": {
 
 def candidates(spark, d):
     doc = F.col("doc_id")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id").select(
         doc.alias("seq"), (2010 + doc % 16).cast("int").alias("year"), (doc % 12).cast("int").alias("citations"),
         F.when(doc % 3 == 0, F.concat(F.lit("10."), (doc % 211).cast("string"), F.lit("/x"))).alias("doi"),
         X.text_blob(F.substring_index("text", "\n", 1), F.substring("text", 1, 400), "source").alias("blob"))

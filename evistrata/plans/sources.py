@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from evistrata.common import fresh_path, ordered
+from evistrata.common import cut_lineage, fresh_path, ordered
 from evistrata.functions.keys import record_key
 from evistrata.operators import audit as A
 from evistrata.operators import extend, packing, runs
@@ -14,7 +14,7 @@ from evistrata.operators import synthesis as S
 from evistrata.plans import packing as packing_plans
 from evistrata.plans import synthesis as synthesis_plans
 from evistrata.plans.audit import AUDIT_SQL, STUDY_CTE, STUDY_ISSUES_SQL, study_issues
-from evistrata.plans.bindings import LEDGER_SQL, RECORDS_SQL, ledger, outcomes, records
+from evistrata.plans.bindings import LEDGER_SQL, RECORDS_SQL
 from evistrata.plans.registry import query, table
 from evistrata.sources import bibliography as B
 from evistrata.sources import ledgers as L
@@ -165,7 +165,8 @@ def s14(spark, d):
 with {synthesis_plans.SELECT_SQL} select section_id, count(*) as studies, (count(*) + 24) // 25 as memos from sel where reasons = '' group by 1""")
 def s16(spark, d):
     path = fresh_path(spark, "memos")
-    L.write_memos(S.evidence_memos(S.section_members(synthesis_plans.selection(spark, d)), outcomes(spark, d)), path)
+    o = synthesis_plans.written_outcomes(spark, d)
+    L.write_memos(S.evidence_memos(synthesis_plans.written_members(spark, d, o), o), path)
     back = spark.read.json(path)
     return back.groupBy("section_id").agg(F.sum(F.size("items")).alias("studies"), F.count(F.lit(1)).alias("memos"))
 
@@ -267,8 +268,9 @@ with {synthesis_plans.SELECT_SQL}, r as (select section_id, (row_number() over (
 select section_id, section_id || ' has ' || count(*) as section_text, 'available' as evidence_status from r group by section_id, batch
 union all select section_id, 'Evidence is insufficient for this protocol-required section.', 'insufficient' from (select distinct section_id from sel) where section_id not in (select section_id from r)""")
 def x4(spark, d):
-    selection = synthesis_plans.selection(spark, d)
-    memos = S.evidence_memos(S.section_members(selection), outcomes(spark, d))
+    o = synthesis_plans.written_outcomes(spark, d)
+    selection = cut_lineage(synthesis_plans.selection(spark, d, o))
+    memos = S.evidence_memos(S.section_members(selection), o)
     return extend.write_sections(memos, selection.select("section_id").distinct(), _outline).select("section_id", "section_text", "evidence_status")
 
 

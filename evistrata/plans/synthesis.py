@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evistrata.common import cut_lineage
 from evistrata.functions.text import sentences
 from evistrata.functions.values import outcome_filter_reasons
 from evistrata.operators import evidence as E
@@ -21,15 +22,26 @@ SECTIONS = [
 ]
 
 
-def inconsistent_members(spark, d):
+def written_outcomes(spark, d):
+    """Outcomes materialised once for queries that use them several times."""
+    return cut_lineage(outcomes(spark, d))
+
+
+def inconsistent_members(spark, d, o=None):
     """Studies of (publication, domain) groups that disagree."""
-    o = outcomes(spark, d).join(described_studies(spark, d).select("study_id", "publication_id"), "study_id")
+    o = outcomes(spark, d) if o is None else o
+    o = o.select("study_id", "domain", "effect_direction", "support_relation").join(described_studies(spark, d).select("study_id", "publication_id"), "study_id")
     groups = E.contradiction_groups(o, ["publication_id", "domain"]).filter("has_directional_inconsistency").select("group_id")
     return E.group_members(o, ["publication_id", "domain"]).join(groups, "group_id", "left_semi")
 
 
-def selection(spark, d):
-    return ops.select_sections(described_studies(spark, d), outcomes(spark, d), SECTIONS, inconsistent_members(spark, d))
+def selection(spark, d, o=None):
+    o = written_outcomes(spark, d) if o is None else o
+    return ops.select_sections(described_studies(spark, d), o, SECTIONS, inconsistent_members(spark, d, o))
+
+
+def written_members(spark, d, o):
+    return cut_lineage(ops.section_members(selection(spark, d, o)))
 
 
 GROUP_SQL = """
@@ -65,7 +77,8 @@ def p48(spark, d):
 with {SELECT_SQL}, e as (select study_id, 'relation' as kind, support_relation as value from outc union select study_id, 'direction', effect_direction from outc)
 select section_id, kind, value, count(*) as studies from sel join e using (study_id) where reasons = '' group by 1, 2, 3""")
 def a15(spark, d):
-    e = ops.section_evidence(ops.section_members(selection(spark, d)), outcomes(spark, d))
+    o = written_outcomes(spark, d)
+    e = ops.section_evidence(ops.section_members(selection(spark, d, o)), o)
     return e.groupBy("section_id", "kind", "value").agg(F.count(F.lit(1)).alias("studies"))
 
 
@@ -75,14 +88,16 @@ n as (select study_id, count(*) as n from outc group by 1)
 select section_id || '_batch_' || lpad(cast((rn - 1) // 25 + 1 as varchar), greatest(3, length(cast((rn - 1) // 25 + 1 as varchar)))::int, '0') as memo_id, string_agg(r.study_id, ',' order by r.study_id) as studies, coalesce(sum(n), 0)::bigint as outcomes
 from r left join n using (study_id) group by section_id, (rn - 1) // 25""")
 def a14(spark, d):
-    m = ops.evidence_memos(ops.section_members(selection(spark, d)), outcomes(spark, d))
+    o = written_outcomes(spark, d)
+    m = ops.evidence_memos(written_members(spark, d, o), o)
     count = F.aggregate("items", F.lit(0), lambda s, i: s + F.size(i["outcome_ids"]))
     return m.select("memo_id", F.array_join("items.study_id", ",").alias("studies"), count.cast("bigint").alias("outcomes"))
 
 
 @query("j32_dropped_evidence", f"with {SELECT_SQL} select study_id from st where study_id not in (select study_id from sel where section_id = 'S02' and reasons = '')")
 def j32(spark, d):
-    memos = ops.evidence_memos(ops.section_members(selection(spark, d)).filter("section_id = 'S02'"), outcomes(spark, d))
+    o = written_outcomes(spark, d)
+    memos = ops.evidence_memos(written_members(spark, d, o).filter("section_id = 'S02'"), o)
     return described_studies(spark, d).select("study_id").join(ops.memo_studies(memos).select("study_id"), "study_id", "left_anti")
 
 
@@ -147,7 +162,8 @@ n as (select claim_id, (select count(*) from cst x where x.claim_id = cl.claim_i
 select claim_id, case when studies > 0 and explicit = 0 then 'study_only_linkage' when claim_id in (select claim_id from wrong) or coalesce(bad, 0) > 0 then 'evidence_linkage_incomplete'
   when studies > 0 and coalesce(ok, 0) > 0 then 'complete' else 'evidence_linkage_incomplete' end as linkage_status from n left join r using (claim_id)""")
 def a25(spark, d):
-    return ops.linkage_status(claims(spark, d), evidence(spark, d), outcomes(spark, d))
+    o = written_outcomes(spark, d)
+    return ops.linkage_status(claims(spark, d), evidence(spark, d, o), o)
 
 
 @query("j34_section_plan", """
@@ -225,9 +241,9 @@ r as (select *, (row_number() over (partition by section_id order by study_id) -
 select section_id, string_agg(case when rel <> 'contradicts' then outcome_id end, ',' order by study_id) as supporting, string_agg(case when rel = 'contradicts' then outcome_id end, ',' order by study_id) as contradicting,
   'Eligible evidence for this section was reported by ' || count(*) || ' study record(s) ' || string_agg('[' || study_id || ']', ' ' order by study_id) || '.' as sentence from r group by section_id, batch""")
 def x4(spark, d):
-    o = outcomes(spark, d)
+    o = written_outcomes(spark, d)
     first = F.when(F.size("evidence") > 0, F.concat(F.lit("e"), "outcome_id", F.lit("-0")))
     rules = {s["section_id"]: s["rule"] for s in SECTIONS}
-    c = ops.fixture_claims(ops.section_members(selection(spark, d)), o.withColumn("evidence_id", first), rules)
+    c = ops.fixture_claims(written_members(spark, d, o), o.withColumn("evidence_id", first), rules)
     sides = {s: F.nullif(F.array_join(f"{s}_outcomes", ","), F.lit("")).alias(s) for s in ("supporting", "contradicting")}
     return c.select("section_id", sides["supporting"], sides["contradicting"], "sentence")
