@@ -204,14 +204,14 @@ def w5(spark, d):
 
 @query("w5_reingest_state", f"""
 with {VERSION_SQL} select id as outcome_id, 'run2' as extraction_run_id, 'active' as status from new
-union all select id, 'run1', 'superseded' from prev where pub >= 100 and id not in (select id from new)
-union all select id, 'run1', 'active' from prev where pub < 100""")
+union all select id, 'run1', 'superseded' from prev where pub in (select pub from new) and id not in (select id from new)
+union all select id, 'run1', 'active' from prev where pub not in (select pub from new)""")
 def w5b(spark, d):
     return two_versions(spark, d)[2].state.select("outcome_id", "extraction_run_id", "status")
 
 
 @query("w3_current_rows", f"""
-with {VERSION_SQL} select id as outcome_id, 'run2' as extraction_run_id from new union all select id, 'run1' from prev where pub < 100""")
+with {VERSION_SQL} select id as outcome_id, 'run2' as extraction_run_id from new union all select id, 'run1' from prev where pub not in (select pub from new)""")
 def w3(spark, d):
     previous, _, result = two_versions(spark, d)
     columns = ["outcome_id", "extraction_run_id", "status", "seq"]
