@@ -178,7 +178,10 @@ def evidence_issues(claims: DataFrame, evidence: DataFrame, history: History) ->
         (known & ~F.array_contains("outcomes", F.col("outcome_id")), _sided("evidence_wrong_outcome")),
         (known & (status == "failed"), "invalid_quote"), (known & ~status.isin("failed", "passed"), "unverified_critical_quote"))
     resolved = joined.filter(known).select("claim_id", "side", "evidence_id", "study_id", "outcome_id").distinct()
-    return union_issues([empty, _issues(joined, checks, "evidence_id")]), resolved
+    # A supported claim whose references all fail to resolve has no concrete location either.
+    named = cited.filter("side = 'supporting' and size(studies) > 0 and size(refs) > 0")
+    unlocated = named.join(resolved.filter("side = 'supporting'").select("claim_id").distinct(), "claim_id", "left_anti")
+    return union_issues([empty, _issues(joined, checks, "evidence_id"), _issues(unlocated, F.array(_sided("evidence_unresolved")))]), resolved
 
 
 def linkage_issues(claims: DataFrame, outcomes: DataFrame, evidence: DataFrame) -> DataFrame:

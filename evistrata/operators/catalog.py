@@ -15,7 +15,12 @@ PATH_SEPARATOR = " > "
 
 
 def collection_paths(collections: DataFrame) -> DataFrame:
-    """Full path of every collection from its root (J5, downward)."""
+    """Full path of every collection from its root (J5, downward).
+
+    Lifts Spark's row limit of recursive queries, a million by default, in the
+    session; the depth limit of 100 levels still stops a cyclic hierarchy.
+    """
+    collections.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return collections.sparkSession.sql(
         """
         WITH RECURSIVE tree AS (

@@ -114,6 +114,8 @@ v as (select c.*, e.study_id, e.outcome_id, e.validation_status, h.life, exists
 EVIDENCE_ISSUES_SQL = """
 select side || '_evidence_unresolved' as "check", claim_id, side, null as entity_id from side s where exists (select 1 from cst x where x.claim_id = s.claim_id and x.side = s.side) and not exists (select 1 from cet x where x.claim_id = s.claim_id and x.side = s.side)
 union all select case when life = 'superseded' then 'superseded_evidence_reference' when life = 'stale' then 'stale_extraction_reference' else side || '_evidence_unresolved' end, claim_id, side, evidence_id from v where study_id is null
+union all select 'supporting_evidence_unresolved', claim_id, side, null from (select claim_id, side from v where side = 'supporting' group by 1, 2 having count(study_id) = 0)
+  where claim_id in (select claim_id from cst where side = 'supporting')
 union all select side || '_evidence_wrong_study', claim_id, side, evidence_id from v where study_id is not null and not own union all select side || '_evidence_wrong_outcome', claim_id, side, evidence_id from v where study_id is not null and not own_outcome
 union all select 'invalid_quote', claim_id, side, evidence_id from v where validation_status = 'failed' union all select 'unverified_critical_quote', claim_id, side, evidence_id from v where validation_status = 'unverified'"""
 
@@ -228,6 +230,19 @@ def process_issues(spark, d):
     return ops.process_issues(g.incomplete_records, g.included_records, g.studies, text, "required", "required")
 
 
+@query("audit_structured_extraction_gate", f"""
+with {LEDGER_SQL}, {STUDIES_SQL}, inc as ({screening_plans.OPTIONAL})
+select 'included_record_lacking_structured_extraction' as "check", null as claim_id, null as side, record_id as entity_id from inc
+where record_id not in (select record_id from link where regexp_matches(record_id, '[13579]$'))""")
+def structured_gate(spark, d):
+    """Only studies of records with an odd number count as extracted."""
+    g = screening_plans._gate(spark, d, "optional")
+    none = table(spark, d, "customer").filter("false").select(F.lit("").alias("record_id"), F.lit("").alias("path"))
+    extracted = g.studies.filter(F.col("record_id").rlike("[13579]$"))
+    text = gate.fulltext_status(g.included_records, screening_plans.resources(spark, d), none, none.select("path"), links(spark, d), extracted, "structured_extraction_allowed")
+    return ops.process_issues(g.incomplete_records, g.included_records, g.studies, text, "optional", "structured_extraction_allowed")
+
+
 @query("audit_run_issues", """
 select unnest(['placeholder_synthesis_used', 'section_coverage_incomplete']) as "check", null as claim_id, null as side, null as entity_id from (select count(*) from orders)""")
 def run_issues(spark, d):
