@@ -7,7 +7,7 @@ kind are decided in that one pass.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -134,10 +134,17 @@ def reference_lifecycle(former: DataFrame, current: DataFrame, key: str, history
     return joined.groupBy(key).agg(F.min_by(status, F.col("status")).alias("lifecycle"))
 
 
-def outcome_issues(claims: DataFrame, outcomes: DataFrame, history: History, filters: Mapping[str, Mapping]) -> tuple[DataFrame, DataFrame]:
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def outcome_issues(
+    claims: DataFrame, outcomes: DataFrame, history: History, filters: Mapping[str, Mapping], keep: Callable[[DataFrame], DataFrame] = _as_is,
+) -> tuple[DataFrame, DataFrame]:
     """Issues of cited outcomes, and the resolved (claim_id, side, outcome_id, study_id).
 
-    ``filters`` maps section ids to their outcome filter.
+    ``filters`` maps section ids to their outcome filter.  Both results read the
+    judged references; pass ``keep=cut_lineage`` to compute those once.
     """
     cited = claim_sides(claims, "section_id", "relation_explanation")
     empty = _issues(cited, _checks(((F.size("studies") > 0) & (F.size("outcomes") == 0), _sided("outcome_unresolved"))))
@@ -159,11 +166,14 @@ def outcome_issues(claims: DataFrame, outcomes: DataFrame, history: History, fil
         (known & ~F.array_contains("studies", F.col("study_id")), _sided("outcome_wrong_study")),
         (known & against, _sided("support_relation_mismatch")), (known & against, "support_relation_mismatch"),
         (known & ~against & vague, _sided("support_relation_unclear"))), outside)
-    resolved = joined.filter(known).select("claim_id", "side", "outcome_id", "study_id").distinct()
-    return union_issues([empty, _issues(joined, checks, "outcome_id")]), resolved
+    judged = keep(joined.withColumn("_found", checks).select("claim_id", "side", "outcome_id", "study_id", "_found"))
+    resolved = judged.filter(known).select("claim_id", "side", "outcome_id", "study_id").distinct()
+    return union_issues([empty, _issues(judged, F.col("_found"), "outcome_id")]), resolved
 
 
-def evidence_issues(claims: DataFrame, evidence: DataFrame, history: History) -> tuple[DataFrame, DataFrame]:
+def evidence_issues(
+    claims: DataFrame, evidence: DataFrame, history: History, keep: Callable[[DataFrame], DataFrame] = _as_is,
+) -> tuple[DataFrame, DataFrame]:
     """Issues of cited evidence, and the resolved (claim_id, side, evidence_id, study_id, outcome_id)."""
     cited = claim_sides(claims)
     empty = _issues(cited, _checks(((F.size("studies") > 0) & (F.size("refs") == 0), _sided("evidence_unresolved"))))
@@ -177,30 +187,48 @@ def evidence_issues(claims: DataFrame, evidence: DataFrame, history: History) ->
         (known & ~F.array_contains("studies", F.col("study_id")), _sided("evidence_wrong_study")),
         (known & ~F.array_contains("outcomes", F.col("outcome_id")), _sided("evidence_wrong_outcome")),
         (known & (status == "failed"), "invalid_quote"), (known & ~status.isin("failed", "passed"), "unverified_critical_quote"))
-    resolved = joined.filter(known).select("claim_id", "side", "evidence_id", "study_id", "outcome_id").distinct()
+    judged = keep(joined.withColumn("_found", checks).select("claim_id", "side", "evidence_id", "study_id", "outcome_id", "_found"))
+    resolved = judged.filter(known).select("claim_id", "side", "evidence_id", "study_id", "outcome_id").distinct()
     # A supported claim whose references all fail to resolve has no concrete location either.
     named = cited.filter("side = 'supporting' and size(studies) > 0 and size(refs) > 0")
     unlocated = named.join(resolved.filter("side = 'supporting'").select("claim_id").distinct(), "claim_id", "left_anti")
-    return union_issues([empty, _issues(joined, checks, "evidence_id"), _issues(unlocated, F.array(_sided("evidence_unresolved")))]), resolved
+    return union_issues([empty, _issues(judged, F.col("_found"), "evidence_id"), _issues(unlocated, F.array(_sided("evidence_unresolved")))]), resolved
 
 
 def linkage_issues(claims: DataFrame, outcomes: DataFrame, evidence: DataFrame) -> DataFrame:
     """Cited studies and outcomes without their own cited outcome or evidence.
 
     ``outcomes`` and ``evidence`` are the resolved references of the passes above.
+    They come back to their claim and side, whose arrays already hold all the
+    references, and are compared there.
     """
-    cited = claim_sides(claims).select("claim_id", "side", F.explode(F.array_distinct("studies")).alias("study_id"))
-    with_evidence = evidence.select("claim_id", "side", "outcome_id", F.col("study_id").alias("_es")).distinct()
-    pairs = outcomes.join(with_evidence, ["claim_id", "side", "outcome_id"], "left").groupBy("claim_id", "side", "study_id", "outcome_id").agg(
-        F.bool_or(F.col("_es").isNotNull()).alias("any_evidence"), F.bool_or(F.coalesce(F.col("_es") == F.col("study_id"), F.lit(False))).alias("own_evidence"))
-    per_study = pairs.groupBy("claim_id", "side", "study_id").agg(F.bool_or("own_evidence").alias("own"))
-    joined = cited.join(per_study, ["claim_id", "side", "study_id"], "left")
-    study_checks = _checks((F.col("own").isNull(), _sided("study_without_outcome")), (~F.coalesce("own", F.lit(False)), _sided("study_without_evidence")))
-    bare = pairs.filter(~F.col("any_evidence"))
-    side_rows = bare.select("claim_id", "side").distinct()
-    return union_issues([
-        _issues(joined, study_checks, "study_id"), _issues(bare, F.array(_sided("outcome_without_evidence")), "outcome_id"),
-        _issues(side_rows, F.array(F.lit("outcome_evidence_coverage_incomplete")))])
+    keys = ["claim_id", "side"]
+    owned = outcomes.groupBy(*keys).agg(F.collect_set(F.struct("study_id", "outcome_id")).alias("_o"))
+    located = evidence.groupBy(*keys).agg(F.collect_set(F.struct("study_id", "outcome_id")).alias("_e"))
+    none = F.array().cast("array<struct<study_id:string,outcome_id:string>>")
+    rows = claim_sides(claims).select(*keys, F.array_distinct("studies").alias("studies")).join(owned, keys, "left").join(located, keys, "left")
+    rows = rows.withColumns({"_o": F.coalesce("_o", none), "_e": F.coalesce("_e", none)})
+
+    def has_outcome(study: Column) -> Column:
+        return F.exists("_o", lambda o: o["study_id"] == study)
+
+    def has_evidence(study: Column) -> Column:
+        return F.exists("_o", lambda o: (o["study_id"] == study) & F.array_contains("_e", o))
+
+    def named(ids: Column, suffix: str) -> Column:
+        return F.transform(ids, lambda x: F.struct(_sided(suffix).alias("check"), x.alias("entity_id")))
+
+    bare = F.array_distinct(F.transform(
+        F.filter("_o", lambda o: ~F.exists("_e", lambda e: e["outcome_id"] == o["outcome_id"])), lambda o: o["outcome_id"]))
+    incomplete = F.struct(F.lit("outcome_evidence_coverage_incomplete").alias("check"), F.lit(None).cast("string").alias("entity_id"))
+    rows = rows.withColumn("_bare", bare)
+    found = F.concat(
+        named(F.filter("studies", lambda x: ~has_outcome(x)), "study_without_outcome"),
+        named(F.filter("studies", lambda x: ~has_evidence(x)), "study_without_evidence"),
+        named(F.col("_bare"), "outcome_without_evidence"),
+        F.when(F.size("_bare") > 0, F.array(incomplete)).otherwise(F.array().cast("array<struct<check:string,entity_id:string>>")))
+    exploded = rows.withColumn("_found", found).select(*keys, F.explode_outer("_found").alias("_i")).filter("_i is not null")
+    return exploded.select(F.col("_i.check").alias("check"), *keys, F.col("_i.entity_id").alias("entity_id")).select(*ISSUE_COLUMNS)
 
 
 # --- sections, process and configuration ----------------------------------

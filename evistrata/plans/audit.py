@@ -254,8 +254,8 @@ def full_audit(spark, d):
     c, o = cut_lineage(synthesis_plans.flagged(spark, d)), synthesis_plans.written_outcomes(spark, d)
     e = cut_lineage(evidence(spark, d, o))
     h, s = history(spark, d, o), audit_studies(spark, d)
-    o_issues, ro = ops.outcome_issues(c, o, h, RULES)
-    e_issues, re = ops.evidence_issues(c, e, h)
+    o_issues, ro = ops.outcome_issues(c, o, h, RULES, keep=cut_lineage)
+    e_issues, re = ops.evidence_issues(c, e, h, keep=cut_lineage)
     left_out = S.contradiction_omissions(c, synthesis_plans.inconsistent_members(spark, d, o), s.filter("eligible"))
     return ops.union_issues([
         ops.claim_issues(c), ops.study_issues(c, s, members(spark, d)), o_issues, e_issues, ops.linkage_issues(c, ro, re),
