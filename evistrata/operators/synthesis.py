@@ -317,22 +317,26 @@ def claim_flags(
     known_strength = F.when(strength.isin("descriptive", "associational", "causal"), strength)
     summary = F.nullif(F.try_element_at(fields, F.lit("intervention.summary")), F.lit(""))
     reported = F.filter("asserted_fields", lambda f: ~F.coalesce(F.try_element_at(fields, f), F.lit(NOT_REPORTED)).isin("", NOT_REPORTED))
+    def any_of(value: Column, wanted: Sequence[str]) -> Column:
+        return F.coalesce(F.bool_or(value.isin(*wanted)), F.lit(False)) if wanted else F.lit(False)
+
     summed = rows.groupBy("claim_id").agg(
-        F.collect_set(scope).alias("_scopes"), F.collect_set(F.nullif(level, F.lit(""))).alias("_levels"), F.collect_set(known_strength).alias("_strengths"),
-        F.collect_set(summary).alias("_interventions"), F.array_distinct(F.flatten(F.collect_set(reported))).alias("_reported"))
+        any_of(scope, ["outside"]).alias("_outside"), any_of(scope, ["adjacent"]).alias("_adjacent"), any_of(scope, ["inside", "core"]).alias("_inside"),
+        any_of(summary, adjacent).alias("_adjacent_summary"), F.count(summary).alias("_summaries"),
+        F.count_if(summary.isin(*core) if core else F.lit(False)).alias("_core_summaries"),
+        F.count(known_strength).alias("_strengths"), F.count_if(known_strength != "causal").alias("_weaker"),
+        F.collect_set(F.nullif(level, F.lit(""))).alias("_levels"), F.array_distinct(F.flatten(F.collect_set(reported))).alias("_reported"))
     joined = claims.join(summed, "claim_id", "left")
     nothing = F.array().cast("array<string>")
-    sets = {n: F.coalesce(n, nothing) for n in ("_scopes", "_levels", "_strengths", "_interventions")}
-    joined = joined.withColumn("_any", F.col("_levels").isNotNull()).withColumns(sets)
+    joined = joined.withColumn("_any", F.col("_levels").isNotNull()).withColumn("_levels", F.coalesce("_levels", nothing))
 
     def literal(values: Sequence[str]) -> Column:
         return F.array(*[F.lit(v) for v in values]) if values else nothing
 
     inferred = (
-        F.when(F.array_contains("_scopes", "outside"), "outside").when(F.array_contains("_scopes", "adjacent"), "adjacent")
-        .when(F.arrays_overlap("_scopes", literal(["inside", "core"])), "inside")
-        .when(F.arrays_overlap("_interventions", literal(adjacent)), "adjacent")
-        .when((F.size("_interventions") > 0) & (F.size(F.array_except("_interventions", literal(core))) == 0), "inside").otherwise("unclear"))
+        F.when(F.col("_outside"), "outside").when(F.col("_adjacent"), "adjacent").when(F.col("_inside"), "inside")
+        .when(F.col("_adjacent_summary"), "adjacent")
+        .when((F.col("_summaries") > 0) & (F.col("_summaries") == F.col("_core_summaries")), "inside").otherwise("unclear"))
     stated = F.col("scope_status")
     order = literal(hierarchy)
 
@@ -343,14 +347,15 @@ def claim_flags(
     crossed = F.lit(False)
     for evidence_level, claim_level in cross_pairs:
         crossed = crossed | (F.array_contains("_levels", evidence_level) & F.array_contains("claimed_levels", claim_level))
-    inflated = (F.col("causal_strength") == "causal") & (F.size("_strengths") > 0) & (F.size(F.array_except("_strengths", literal(["causal"]))) > 0)
+    inflated = (F.col("causal_strength") == "causal") & (F.col("_strengths") > 0) & (F.col("_weaker") > 0)
     unreported = F.when(F.col("_any"), F.array_sort(F.array_except("asserted_fields", F.coalesce("_reported", nothing)))).otherwise(nothing)
     return joined.withColumns({
         "protocol_scope_status": F.when(stated.isin("inside", "adjacent", "outside"), stated).otherwise(inferred),
         "population_levels": F.array_sort("_levels"), "population_overgeneralization": over, "animal_to_human": crossed,
         "causal_inflation": F.coalesce(inflated, F.lit(False)), "unreported_field_claims": unreported,
         "missing_required_qualifiers": missing_qualifiers("sentence", "required_qualifiers"),
-    }).drop("_scopes", "_levels", "_strengths", "_interventions", "_reported", "_any")
+    }).select(*claims.columns, "protocol_scope_status", "population_levels", "population_overgeneralization", "animal_to_human",
+              "causal_inflation", "unreported_field_claims", "missing_required_qualifiers")
 
 
 def linkage_status(claims: DataFrame, evidence: DataFrame, outcomes: DataFrame) -> DataFrame:
