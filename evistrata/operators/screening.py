@@ -22,7 +22,10 @@ def check_level(value: str, allowed: Sequence[str], what: str) -> str:
 
 
 def latest_decisions(ledger: DataFrame) -> DataFrame:
-    """Last appended decision per record and stage; timestamps do not matter."""
+    """Last appended decision per record and stage; timestamps do not matter.
+
+    All columns of ``ledger`` travel with the decision: select the needed ones first.
+    """
     known = ledger.filter((F.coalesce("record_id", F.lit("")) != "") & F.col("stage").isin(*SCREENING_STAGES))
     return latest_by(known, ["record_id", "stage"], "seq")
 

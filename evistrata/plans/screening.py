@@ -10,9 +10,14 @@ from evistrata.plans.bindings import LEDGER_SQL, STUDIES_SQL, ledger, links, stu
 from evistrata.plans.registry import query, table
 
 
+def latest(spark, d):
+    """Latest decisions, reduced to the decision before they are shuffled."""
+    return ops.latest_decisions(ledger(spark, d).select("record_id", "stage", "decision", "seq"))
+
+
 @query("w1_latest_decisions", f"with {LEDGER_SQL} select record_id, stage, decision, seq from latest")
 def w1(spark, d):
-    return ops.latest_decisions(ledger(spark, d)).select("record_id", "stage", "decision", "seq")
+    return latest(spark, d).select("record_id", "stage", "decision", "seq")
 
 
 @query("w2_previous_decision", f"""
@@ -35,25 +40,25 @@ with {LEDGER_SQL} select stage, count(*) as total, count(*) filter (where decisi
   count(*) filter (where decision = 'exclude') as exclude, count(*) filter (where decision = 'include') as include,
   count(*) filter (where decision = 'uncertain') as uncertain from latest group by stage""")
 def a5(spark, d):
-    return ops.prisma_counts(ops.latest_decisions(ledger(spark, d)))
+    return ops.prisma_counts(latest(spark, d))
 
 
 @query("a5_identified_unique", f"with {LEDGER_SQL} select count(distinct record_id) as identified_unique from latest")
 def a5b(spark, d):
-    return ops.identified_unique(ops.latest_decisions(ledger(spark, d)))
+    return ops.identified_unique(latest(spark, d))
 
 
 @query("j11_u4_completeness", f"""
 with {LEDGER_SQL} select record_id, title_state, fulltext_state, illegal::int as illegal, inc::int as title_included from states""")
 def j11(spark, d):
-    s = ops.completeness(universe(spark, d), ops.latest_decisions(ledger(spark, d)))
+    s = ops.completeness(universe(spark, d), latest(spark, d))
     return s.select("record_id", "title_state", "fulltext_state", F.col("illegal").cast("int").alias("illegal"), F.col("title_included").cast("int").alias("title_included"))
 
 
 @query("j11_incomplete_records", f"""
 with {LEDGER_SQL} select record_id from states where illegal or title_state in ('missing', 'uncertain') or fulltext_state in ('missing', 'uncertain')""")
 def j11b(spark, d):
-    return ops.incomplete_records(ops.completeness(universe(spark, d), ops.latest_decisions(ledger(spark, d)))).select("record_id")
+    return ops.incomplete_records(ops.completeness(universe(spark, d), latest(spark, d))).select("record_id")
 
 
 @query("w4_latest_links", f"with {STUDIES_SQL} select study_id, coalesce(record_id, '') as record_id from link")
@@ -63,7 +68,7 @@ def w4(spark, d):
 
 def _gate(spark, d, enforcement):
     return gate.resolve_eligibility(
-        studies(spark, d), links(spark, d), ops.latest_decisions(ledger(spark, d)), universe(spark, d), enforcement)
+        studies(spark, d), links(spark, d), latest(spark, d), universe(spark, d), enforcement)
 
 
 def _gate_sql(included: str) -> str:
@@ -131,7 +136,7 @@ from doc left join latest l on l.record_id = doc.record_id and l.stage = 'fullte
 def j33(spark, d):
     doc = F.col("doc_id")
     docs = table(spark, d, "documents").select("doc_id", F.when(doc % 5 != 0, F.concat(F.lit("c"), (doc % 200).cast("string"))).alias("record_id"))
-    return gate.route_documents(docs, ops.latest_decisions(ledger(spark, d)), "required").select("doc_id", "route")
+    return gate.route_documents(docs, latest(spark, d), "required").select("doc_id", "route")
 
 
 @query("u3_id_set_algebra", f"""
