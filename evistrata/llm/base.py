@@ -5,17 +5,27 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from evistrata.common import shared_folder
 from evistrata.session import configure
 
+#: Rows that a Python operator handles at once, and the bound on an Arrow batch handed to it.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, under the session settings the operators are designed for."""
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -48,3 +58,54 @@ def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker process, across its tasks."""
     home = sys.modules.setdefault("_evistrata_worker_state", types.ModuleType("_evistrata_worker_state"))
     return home.__dict__.setdefault(name, {})
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+    """Apply ``make()``, called once per task, to every Arrow batch; it returns the columns of ``schema``."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                columns = work(batch.slice(start, BATCH_ROWS))
+                yield pa.RecordBatch.from_arrays(
+                    [_array(columns[field.name], field.type) for field in target], schema=target
+                )
+
+    return df.mapInArrow(run, schema)
+
+
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose text (null as empty) ``make()``, called once per task, keeps; all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                rows = [text or "" for text in part.column("text").to_pylist()]
+                yield part.filter(pa.array(keep(rows), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int) -> list[Row]:
+    """At most ``per_label`` rows of each label, chosen by a hash of ``doc_id``, on the driver.
+
+    The rows of every label are counted first (map-side), which gives the share of hash values
+    to keep; so one task never sees more than about twice the rows asked for.
+    """
+    counts = {row[label]: row["count"] for row in rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    if not counts:
+        return []
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    wanted = F.lit(False)
+    for value, count in counts.items():
+        wanted |= (F.col(label) == F.lit(value)) & (place < F.lit(min(1.0, 2.0 * per_label / count)))
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return rows.filter(wanted).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label).drop("_rank").collect()

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.llm import chat, dedup
-from evistrata.llm.base import table
+from evistrata.llm import chat, dedup, html, language, lines
+from evistrata.llm.base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +82,30 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
+
+
+# --- 6 ----------------------------------------------------------------------
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.clean(table(spark, sf_dir, "documents"), with_text=False)
+
+
+# --- 7 ----------------------------------------------------------------------
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+# --- 10 ---------------------------------------------------------------------
+
+def language_training_rows(docs: DataFrame) -> DataFrame:
+    return docs.filter(~held_out(F.col("doc_id"), 5, 0))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(language_training_rows(docs)))
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
