@@ -30,10 +30,10 @@ class Settings:
 
     sample_docs: int = 400
     sample_chars: int = 20_000
-    dictionary_bytes: int = 96 << 10
+    dictionary_bytes: int = 256 << 10
     block_bytes: int = 8 << 10
-    level: int = 3
-    min_margin: float = 0.01
+    level: int = 6
+    min_margin: float = 0.001
 
 
 def letters(text: str) -> str:

@@ -31,12 +31,14 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rules:
-    """A line fails when it does not end like a sentence, when at least ``separators`` of its
+    """A line of under ``cut_words`` words fails when it does not end like a sentence (a longer
+    one is text that was cut off).  Any line fails when at least ``separators`` of its
     words are bare separators, when over ``symbol_share`` of its words hold a symbol, when over
     ``upper_share`` of its letters are capitals and it has at least ``shout_words`` words, when
     a word follows itself ``stutter`` times, or when it holds a boilerplate phrase.  A document
     needs ``min_kept`` of its word characters in the lines that stay."""
 
+    cut_words: int = 20
     separators: int = 2
     symbol_share: float = 0.3
     upper_share: float = 0.7
@@ -51,7 +53,7 @@ def split_words(text: str) -> list[str]:
 
 def line_fails(line: str, rules: Rules = Rules()) -> bool:
     words = split_words(line)
-    if not words or not words[-1].endswith(TERMINAL):
+    if not words or len(words) < rules.cut_words and not words[-1].endswith(TERMINAL):
         return True
     if sum(word in SEPARATOR for word in words) >= rules.separators:
         return True
