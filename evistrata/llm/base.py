@@ -54,6 +54,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own intermediate files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker process, across its tasks."""
     home = sys.modules.setdefault("_evistrata_worker_state", types.ModuleType("_evistrata_worker_state"))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.llm import bpe, chat, dedup, html, language, lines
-from evistrata.llm.base import held_out, table
+from evistrata.llm import bpe, chat, dedup, html, language, lines, packing, tokenfile
+from evistrata.llm.base import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,3 +124,25 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+# --- 5 ----------------------------------------------------------------------
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack(docs, path, end_id=1, capacity=4096, carry={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# --- 9 ----------------------------------------------------------------------
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-corpus")
+    tokenfile.write_corpus(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokenfile.read_corpus(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
