@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.llm import bpe, chat, dedup, html, language, lines, packing, tokenfile
+from evistrata.llm import bpe, chat, dedup, html, language, lines, ngrams, packing, tokenfile
 from evistrata.llm.base import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-corpus")
     tokenfile.write_corpus(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return tokenfile.read_corpus(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# --- 3 ----------------------------------------------------------------------
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = ngrams.Settings(width=3, numerator=9, denominator=10)
+    found = ngrams.jaccard_components(table(spark, sf_dir, "documents"), settings)
+    return found.select("doc_id", F.col("n_tokens").alias("n_shingles"), "component_id")
