@@ -65,3 +65,22 @@ def exact_groups(
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, keep: str = "min", digest: Callable[[Column], Column] = content_hash) -> DataFrame:
+    """One row of each group of equal texts, with all its columns: the one with the least (or largest) id.
+
+    The same grouping, with the row carried along, so texts move once.  Rows that repeat id and
+    text become one; null texts equal empty ones; a row without id stays only if its whole
+    group has none.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    held = F.struct(F.struct(*rest).alias("rest"), F.col("text").isNull().alias("was_null"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+    pick = F.min_by
+    if keep == "max":
+        rank, pick = F.struct(F.col("doc_id").isNotNull().alias("has_id"), F.col("doc_id").alias("id")), F.max_by
+    base = docs.select(F.coalesce("text", F.lit("")).alias("text"), held.alias("held"), rank.alias("rank"))
+    one = base.groupBy(digest(F.col("text")).alias("hash"), "text").agg(pick("held", "rank").alias("held"))
+    back = {c: F.col("held.rest")[c] for c in rest} | {"text": F.when(~F.col("held.was_null"), F.col("text"))}
+    return one.select(*[back[c].alias(c) for c in docs.columns])

@@ -302,6 +302,12 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     )
 
 
+def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` without those that a link leads from to a lesser id; rows without id stay."""
+    found = jaccard_components(docs, settings)
+    return docs.join(found.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def _relabel(long: DataFrame, found: DataFrame) -> DataFrame:
     """Long lists with the components so far, without those that lie in one or are used up."""
     labelled = long.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.llm import bpe, chat, dedup, html, language, lines, ngrams, packing, tokenfile
+from evistrata.llm import bpe, chat, dedup, html, language, lines, ngrams, packing, quality, tokenfile
 from evistrata.llm.base import held_out, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,16 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = ngrams.Settings(width=3, numerator=9, denominator=10)
     found = ngrams.jaccard_components(table(spark, sf_dir, "documents"), settings)
     return found.select("doc_id", F.col("n_tokens").alias("n_shingles"), "component_id")
+
+
+# --- 2 ----------------------------------------------------------------------
+
+def quality_training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 4, 2))
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.learn(docs, quality_training_labels(spark, sf_dir)))
+    return scored.withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
