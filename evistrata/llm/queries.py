@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-corpus")
     tokenfile.write_corpus(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return tokenfile.read_corpus(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return tokenfile.read_corpus(spark, path, carry={"ids_crc32": F.crc32("ids")})
 
 
 # --- 3 ----------------------------------------------------------------------

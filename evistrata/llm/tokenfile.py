@@ -16,12 +16,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
 from evistrata.llm.base import map_batches, remove, scratch_path, texts
-from evistrata.llm.tokens import library_encoder
+from evistrata.llm.tokens import library_encoder, vocabulary_size
 
 #: Bytes of each of the four values behind a control byte, and of all four.
 WIDTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -63,8 +63,8 @@ def unpack_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     return stock[place].view("<u4").ravel()[:count]
 
 
-def _tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Ids per row, compressed, and one more row per task with the counts of its ids."""
+def _tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> DataFrame:
+    """Ids per row, compressed, and with the first row of each batch the counts of the batch's ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
@@ -74,12 +74,16 @@ def _tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             ids, lengths = encode(batch.column("text").to_pylist())
             parts = np.split(ids, np.cumsum(lengths)[:-1])
             whole = [np.append(part, np.int32(end_id)) for part in parts]
-            seen, times = np.unique(np.concatenate(whole), return_counts=True)
+            counts = np.bincount(ids)
+            counts = np.pad(counts, (0, max(0, end_id + 1 - len(counts))))
             rows = len(whole)
+            counts[end_id] += rows
+            seen = np.flatnonzero(counts)
+            times = counts[seen]
             return {
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": lengths + 1,
-                "ids": [shrink.compress(part.astype("<u4").tobytes()) for part in whole],
+                "ids": [shrink.compress(part.astype(width).tobytes()) for part in whole],
                 "seen": [seen] + [None] * (rows - 1),
                 "times": [times] + [None] * (rows - 1),
             }
@@ -101,7 +105,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """
     spark = docs.sparkSession
     kept = scratch_path(spark, "token-ids")
-    staged = _tokenise(texts(docs), tokenizer_path, end_id)
+    width = "<u2" if vocabulary_size(tokenizer_path) <= 1 << 16 and end_id < 1 << 16 else "<u4"
+    staged = _tokenise(texts(docs), tokenizer_path, end_id, width)
     staged.write.option("compression", "none").parquet(kept)
     staged = spark.read.schema(staged.schema).parquet(kept)
 
@@ -122,7 +127,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         def work(batch):
             nonlocal total
-            packed = [pack_values(rank_of[np.frombuffer(expand.decompress(ids), "<u4")]) for ids in batch.column("ids").to_pylist()]
+            packed = [pack_values(rank_of[np.frombuffer(expand.decompress(ids), width)]) for ids in batch.column("ids").to_pylist()]
             lengths = batch.column("n_tokens").to_numpy()
             ends = total + np.cumsum(lengths)
             total = int(ends[-1])
@@ -144,12 +149,14 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     remove(spark, kept)
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all rows before it), ``n_tokens`` and ``ids`` (unsigned
-    little-endian 32-bit ids, as bytes) per document, decoded from the files.
+def read_corpus(spark: SparkSession, path: str, carry: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all rows before it), ``n_tokens`` and, decoded from the
+    files, ``ids`` (unsigned little-endian 32-bit ids, as bytes) per document.
 
-    Starts come from one sum per shard; the window runs over these sums only.
+    ``carry`` names columns computed from ``ids`` to be returned in its place; they are worked
+    out before rows move.  Starts come from one sum per shard; the window runs over these only.
     """
+    carry = {"ids": F.col("ids")} if carry is None else carry
     dictionary = spark.read.parquet(f"{path}/dictionary").orderBy("rank").collect()
     id_of = np.array([row.token_id for row in dictionary], "<u4")
     shards = spark.read.parquet(f"{path}/shards")
@@ -167,7 +174,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
         return work
 
     decoded = map_batches(shards, make, f"shard int, doc_id {kind}, start_in_shard long, n_tokens long, ids binary")
+    decoded = decoded.select("shard", "doc_id", "start_in_shard", "n_tokens", *[column.alias(name) for name, column in carry.items()])
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = shards.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     bases = sums.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return decoded.join(bases, "shard").select("doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
+    start = (F.col("base") + F.col("start_in_shard")).alias("start")
+    return decoded.join(bases, "shard").select("doc_id", start, "n_tokens", *carry)

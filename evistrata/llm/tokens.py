@@ -44,25 +44,40 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[0] == LITERAL else key if key[0] == "\n" else " " + key
 
 
+class _Index(dict):
+    """Place of each chunk; a chunk asked for the first time gets the next place and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        place = self[key] = len(self)
+        self.new.append(key)
+        return place
+
+
 class _Store:
     """Ids of the known chunks, end to end, with the place of each chunk."""
 
     def __init__(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.ids = np.empty(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
         self.bytes = 0
 
-    def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        count, used = len(self.index), self.ends[len(self.index)]
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the new chunks."""
+        count = len(self.index) - len(self.index.new)
+        used = self.ends[count]
         while used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while count + len(keys) + 1 > len(self.ends):
+        while len(self.index) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[used : used + len(ids)] = ids
-        self.ends[count + 1 : count + 1 + len(keys)] = used + np.cumsum(lengths)
-        self.index.update(zip(keys, range(count, count + len(keys))))
-        self.bytes += 190 * len(keys) + sum(map(len, keys)) + 4 * len(ids)
+        self.ends[count + 1 : len(self.index) + 1] = used + np.cumsum(lengths)
+        self.bytes += 190 * len(lengths) + sum(map(len, self.index.new)) + 4 * len(ids)
+        self.index.new = []
 
 
 class ChunkEncoder:
@@ -82,9 +97,13 @@ class ChunkEncoder:
             own = chunk_keys(text, self.special)
             keys += own
             counts[i] = len(own)
-        if new := list(set(keys).difference(store.index)):
-            store.add(new, *self.encode([chunk_of(key) for key in new]))
         place = np.fromiter(map(store.index.__getitem__, keys), np.int64, len(keys))
+        if store.index.new:
+            try:
+                store.add(*self.encode([chunk_of(key) for key in store.index.new]))
+            except BaseException:
+                del self.state["store"]  # it names chunks that have no ids
+                raise
         starts = store.ends[place]
         lengths = store.ends[place + 1] - starts
         ids, ends = gather(store.ids, starts, lengths)
@@ -131,6 +150,13 @@ def pieces_to_chunks(chunks: list[list[str]], encode_pieces: Callable[[list[str]
     return flat([known[chunk[0]] if len(chunk) == 1 else [i for piece in chunk for i in known[piece]] for chunk in chunks])
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a ``tokenizers`` file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def library_encoder(path: str) -> ChunkEncoder:
     """Encoder with the ``tokenizers`` library, ``add_special_tokens=False``, for a BPE file.
 
@@ -139,7 +165,9 @@ def library_encoder(path: str) -> ChunkEncoder:
     which skips the library's alignment work.
     """
     import json
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     import regex
     from tokenizers import Tokenizer, models
 
