@@ -28,24 +28,28 @@ WIDTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 TOTALS = WIDTHS.sum(axis=1)
 
 
-def _shuffles() -> np.ndarray:
-    """Per control byte, where each of the 16 bytes of four values stands; -1 for a zero byte."""
+def _shuffles() -> tuple[np.ndarray, np.ndarray]:
+    """Per control byte: where each of the 16 bytes of four values stands, and which of them count."""
     firsts = np.cumsum(WIDTHS, axis=1) - WIDTHS
     inside = np.arange(4)
-    return np.where(inside < WIDTHS[:, :, None], firsts[:, :, None] + inside, -1).reshape(256, 16)
+    real = inside < WIDTHS[:, :, None]
+    return np.where(real, firsts[:, :, None] + inside, 0).reshape(256, 16), np.where(real, 255, 0).astype(np.uint8).reshape(256, 16)
 
 
-SHUFFLES = _shuffles()
+SHUFFLES, MASKS = _shuffles()
 
 
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
-    values = np.ascontiguousarray(values, "<u4")
-    widths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    widest = 4 if len(values) and values.max() > 0xFFFF else 2
+    values = np.ascontiguousarray(values, f"<u{widest}")
+    widths = 1 + (values > 0xFF).astype(np.uint8)
+    if widest == 4:
+        widths += (values > 0xFFFF).astype(np.uint8) + (values > 0xFFFFFF)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = widths - 1
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < widths[:, None]]
+    data = values.view(np.uint8).reshape(-1, widest)[np.arange(widest, dtype=np.uint8) < widths[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -57,10 +61,10 @@ def unpack_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     codes = np.frombuffer(control, np.uint8)
     stock = np.zeros(len(data) + 4, np.uint8)
     stock[: len(data)] = np.frombuffer(data, np.uint8)
-    ends = np.cumsum(TOTALS[codes])
-    shuffle = SHUFFLES[codes]
-    place = np.where(shuffle < 0, len(stock) - 1, shuffle + (ends - TOTALS[codes])[:, None])
-    return stock[place].view("<u4").ravel()[:count]
+    totals = TOTALS[codes]
+    found = stock[SHUFFLES[codes] + (np.cumsum(totals) - totals)[:, None]]
+    found &= MASKS[codes]
+    return found.view("<u4").ravel()[:count]
 
 
 def _tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> DataFrame:
