@@ -20,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK_WIDTH = 65_536
+#: Parts that the range of an order is cut into.
+CHUNKS = 1024
 
 
 def as_col(value: str | Column) -> Column:
@@ -58,9 +59,32 @@ def first_seen(df: DataFrame, key: str | Column, order: str | Column) -> DataFra
 
 # --- numbering along an order --------------------------------------------
 
-def seq_chunk(seq: str | Column, width: int = CHUNK_WIDTH) -> Column:
-    """Chunk number of an integer position: at most ``width`` distinct positions share one."""
-    return F.floor(as_col(seq) / F.lit(width))
+def range_chunk(df: DataFrame, order: str | Column, chunks: int = CHUNKS) -> Column:
+    """Chunk number that never decreases along ``order``: the range of its values in ``chunks`` equal parts.
+
+    The range comes from the data (least and greatest value, one small aggregate), so dense and
+    sparse numbers are split alike.  Strings are compared by the bytes behind the prefix that
+    least and greatest share; ids with a common prefix split by what tells them apart.
+    """
+    value = as_col(order)
+    low_high = df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    if dict(df.select(value.alias("v")).dtypes)["v"] == "string":
+        width = F.least(F.octet_length("low"), F.octet_length("high"))
+        shared = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(width, F.lit(1))), F.lit(0),
+            lambda n, i: F.when((n == i - 1) & (F.substring(F.hex("low"), 1, 2 * i) == F.substring(F.hex("high"), 1, 2 * i)), i).otherwise(n),
+        )
+        known = low_high.select("low", "high", shared.alias("shared")).agg(F.first(F.struct("low", "high", "shared")).alias("r")).scalar()
+
+        def number(text: Column) -> Column:
+            tail = F.substring(F.hex(text), 2 * known["shared"] + 1, F.lit(12))
+            return F.conv(F.rpad(tail, 12, "0"), 16, 10).cast("double")
+
+        place, low, high = number(value), number(known["low"]), number(known["high"])
+    else:
+        known = low_high.agg(F.first(F.struct(F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))).alias("r")).scalar()
+        place, low, high = value.cast("double"), known["low"], known["high"]
+    return F.coalesce(F.floor((place - low) / F.greatest((high - low) / F.lit(float(chunks - 1)), F.lit(1e-300))), F.lit(-1))
 
 
 def number_rows(
@@ -73,13 +97,13 @@ def number_rows(
 ) -> DataFrame:
     """``row_number()`` per ``keys`` along ``order`` without one task per group.
 
-    ``chunk`` is any expression that never decreases along ``order`` (a prefix
-    of a string id, ``seq_chunk`` of an integer).  Each chunk is numbered on its
-    own and shifted by the rows in the chunks before it, known from one count
-    per (key, chunk).  ``df`` is read twice, so hand in a written table when it
-    is expensive to compute.
+    ``chunk`` is any expression that never decreases along ``order``; by default
+    :func:`range_chunk`.  Each chunk is numbered on its own and shifted by the rows in the
+    chunks before it, known from one count per (key, chunk), of which there are at most
+    ``CHUNKS`` per key.  ``df`` is read three times, so hand in a written table when it is
+    expensive to compute.
     """
-    chunk = seq_chunk(order) if chunk is None else chunk
+    chunk = range_chunk(df, order) if chunk is None else chunk
     tagged = df.withColumn("_chunk", chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(as_col(order), *extra_order)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,9 +121,9 @@ def number_rows(
     )
 
 
-def lag_along(df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, width: int = CHUNK_WIDTH) -> DataFrame:
-    """``lag(value)`` per ``keys`` along integer ``seq``, chunked like :func:`number_rows`."""
-    tagged = df.withColumn("_chunk", seq_chunk(seq, width))
+def lag_along(df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, chunks: int = CHUNKS) -> DataFrame:
+    """``lag(value)`` per ``keys`` along ``seq``, chunked like :func:`number_rows`."""
+    tagged = df.withColumn("_chunk", range_chunk(df, seq, chunks))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(seq)
     carry = (
         tagged.groupBy(*keys, "_chunk").agg(F.max_by(value, seq).alias("_last"))
@@ -143,18 +167,6 @@ def distinct_first_terms(values: Column) -> Column:
     return F.array_distinct(F.filter(stripped, lambda v: v.isNotNull() & (v != "")))
 
 
-# --- input parallelism ----------------------------------------------------
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows of a bare scan over the cores when it has fewer splits than that.
-
-    For CPU-bound text work on small inputs; a large table has splits enough and
-    is left alone.  Planning only, no job runs.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
-
-
 # --- lineage and shared scratch space -------------------------------------
 
 def shared_folder(spark: SparkSession) -> str:

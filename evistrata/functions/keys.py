@@ -19,13 +19,14 @@ def norm_doi(*candidates: str | Column) -> Column:
 
     A ``PMID:`` value standing in a DOI slot is not a DOI.
     """
-    bare = F.regexp_replace(F.lower(strip(first_text(*candidates))), r"^https?://(dx\.)?doi\.org/", "")
-    return F.when(~bare.startswith("pmid:"), F.nullif(bare, F.lit("")))
+    given = [F.when(~F.upper(strip(c)).startswith("PMID:"), as_col(c)) for c in candidates]
+    bare = F.regexp_replace(F.lower(strip(first_text(*given))), r"^https?://(dx\.)?doi\.org/", "")
+    return F.nullif(bare, F.lit(""))
 
 
 def pmid_from_doi_slot(value: str | Column) -> Column:
     """PMID written into a DOI slot, else NULL."""
-    return F.when(F.upper(as_col(value)).startswith("PMID:"), F.trim(F.substring(as_col(value), 6, 64)))
+    return F.when(F.upper(as_col(value)).startswith("PMID:"), F.trim(F.substring(as_col(value), F.lit(6), F.length(as_col(value)))))
 
 
 def title_key(title: str | Column) -> Column:

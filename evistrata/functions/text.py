@@ -176,8 +176,13 @@ def sentences(value: str | Column) -> Column:
 
 
 def coverage_text(value: str | Column) -> Column:
-    """Prose without emphasis marks, single-spaced and lower-case."""
-    return F.lower(collapse_space(F.regexp_replace(F.coalesce(as_col(value), F.lit("")), "[`*_]", "")))
+    """Prose without emphasis marks, single-spaced and case-folded."""
+    return case_fold(collapse_space(F.regexp_replace(F.coalesce(as_col(value), F.lit("")), "[`*_]", "")))
+
+
+def case_fold(value: str | Column) -> Column:
+    """Lower case by way of upper case, which spells out ß and ligatures, with one form of sigma."""
+    return F.replace(F.lower(F.upper(as_col(value))), F.lit("ς"), F.lit("σ"))
 
 
 def missing_qualifiers(sentence: str | Column, required: str | Column) -> Column:
@@ -206,7 +211,8 @@ def paragraph_chunks(value: str | Column, max_chars: int = 10_000) -> Column:
 
 
 def _heading_blocks(report: Column) -> Column:
-    return F.slice(F.split(F.concat(F.lit("\n"), report), "\n## ", -1), 2, 1_000_000)
+    blocks = F.split(F.concat(F.lit("\n"), report), "\n## ", -1)
+    return F.slice(blocks, F.lit(2), F.size(blocks))
 
 
 def report_headings(report: str | Column) -> Column:
@@ -234,6 +240,8 @@ def _first_json(value: str | None) -> str | None:
             return json.dumps(decoder.raw_decode(value, start)[0], ensure_ascii=False)
         except ValueError:
             continue
+        except RecursionError:  # nested beyond what can be decoded; so is all inside it down to that depth
+            return None
     return None
 
 

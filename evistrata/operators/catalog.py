@@ -17,10 +17,9 @@ PATH_SEPARATOR = " > "
 def collection_paths(collections: DataFrame) -> DataFrame:
     """Full path of every collection from its root (J5, downward).
 
-    Lifts Spark's row limit of recursive queries, a million by default, in the
-    session; the depth limit of 100 levels still stops a cyclic hierarchy.
+    ``session.configure`` lifts Spark's row limit of recursive queries, a million by
+    default; the depth limit of 100 levels still stops a cyclic hierarchy.
     """
-    collections.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return collections.sparkSession.sql(
         """
         WITH RECURSIVE tree AS (
@@ -80,13 +79,13 @@ def attachment_candidates(
         .when(drive, "drive").when(path.startswith("/"), "absolute").otherwise("unknown")
     )
     options = [
-        F.when(kind == "stored", F.concat(F.lit(f"{base_dir}/storage/"), "key", F.lit("/"), F.substring(path, 9, 4096))),
-        F.when((kind == "linked") & F.lit(bool(linked_dir)), F.concat(F.lit(f"{linked_dir}/"), F.substring(path, 13, 4096))),
+        F.when(kind == "stored", F.concat(F.lit(f"{base_dir}/storage/"), "key", F.lit("/"), F.substring(path, F.lit(9), F.length(path)))),
+        F.when((kind == "linked") & F.lit(bool(linked_dir)), F.concat(F.lit(f"{linked_dir}/"), F.substring(path, F.lit(13), F.length(path)))),
         F.when(kind == "absolute", path),
     ]
     for prefix, local in prefix_map:
         prefix = prefix.replace("\\", "/")
-        mapped = F.concat(F.lit(local), F.substring(path, len(prefix) + 1, 4096))
+        mapped = F.concat(F.lit(local), F.substring(path, F.lit(len(prefix) + 1), F.length(path)))
         options.append(F.when(drive & F.startswith(F.lower(path), F.lit(prefix.lower())), mapped))
     return attachments.withColumn("kind", kind).select(
         "*", F.posexplode(F.array_compact(F.array(*options))).alias("rank", "target"))

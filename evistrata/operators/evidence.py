@@ -15,7 +15,7 @@ COMPARATOR_ROLES = ("comparator", "control")
 
 def study_outcome_sets(outcomes: DataFrame) -> DataFrame:
     """Sorted distinct domains, directions, relations and quote statuses per study."""
-    statuses = F.flatten(F.collect_set(F.transform("evidence", lambda e: F.coalesce(e["validation_status"], F.lit("pending")))))
+    statuses = F.flatten(F.collect_set(F.array_sort(F.array_distinct(F.transform("evidence", lambda e: F.coalesce(e["validation_status"], F.lit("pending")))))))
     return outcomes.groupBy("study_id").agg(
         F.array_sort(F.collect_set(F.coalesce("domain", F.lit(NOT_REPORTED)))).alias("outcome_domains"),
         F.array_sort(F.collect_set(F.coalesce("effect_direction", F.lit("unclear")))).alias("effect_directions"),
@@ -51,13 +51,18 @@ def inconsistent(relation: str = "support_relation") -> Column:
     return F.bool_or(r == "mixed") | (F.bool_or(r == "supports") & F.bool_or(r == "contradicts"))
 
 
-def contradiction_groups(outcomes: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Outcome groups over the claim dimensions with their relations.
+def eligible_only(outcomes: DataFrame, eligible: DataFrame | None) -> DataFrame:
+    """Outcomes of eligible studies; all of them without a gate."""
+    return outcomes if eligible is None else outcomes.join(eligible.select("study_id").distinct(), "study_id", "left_semi")
+
+
+def contradiction_groups(outcomes: DataFrame, dimensions: Sequence[str], eligible: DataFrame | None = None) -> DataFrame:
+    """Outcome groups of eligible studies over the claim dimensions with their relations.
 
     Directions and relations are closed vocabularies; the members of a group are
     left in :func:`group_members`, since one group may hold most of the outcomes.
     """
-    keyed = with_group(outcomes, dimensions)
+    keyed = with_group(eligible_only(outcomes, eligible), dimensions)
     return keyed.groupBy("group_id", *dimensions).agg(
         F.count(F.lit(1)).alias("outcomes"), F.countDistinct("study_id").alias("studies"),
         F.array_sort(F.collect_set("effect_direction")).alias("effect_directions"),
@@ -66,20 +71,25 @@ def contradiction_groups(outcomes: DataFrame, dimensions: Sequence[str]) -> Data
 
 
 def with_group(outcomes: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Outcomes with absent dimensions shown as the not-reported mark, and their group id."""
+    """Outcomes with absent dimensions shown as the not-reported mark, and their group id.
+
+    The id joins the dimensions with ``|``; a bar or backslash inside one is escaped, so
+    different dimensions never share an id.
+    """
     shown = outcomes.withColumns({d: F.coalesce(F.nullif(d, F.lit("")), F.lit(NOT_REPORTED)) for d in dimensions})
-    return shown.withColumn("group_id", F.concat_ws("|", *dimensions))
+    parts = [F.regexp_replace(F.col(d).cast("string"), r"([|\\])", r"\\$1") for d in dimensions]
+    return shown.withColumn("group_id", F.concat_ws("|", *parts))
 
 
-def group_members(outcomes: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Distinct (group_id, study_id) pairs."""
-    return with_group(outcomes, dimensions).select("group_id", "study_id").distinct()
+def group_members(outcomes: DataFrame, dimensions: Sequence[str], eligible: DataFrame | None = None) -> DataFrame:
+    """Distinct (group_id, study_id) pairs of eligible studies."""
+    return with_group(eligible_only(outcomes, eligible), dimensions).select("group_id", "study_id").distinct()
 
 
-def moderator_candidates(outcomes: DataFrame, dimensions: Sequence[str], moderators: Sequence[str]) -> DataFrame:
+def moderator_candidates(outcomes: DataFrame, dimensions: Sequence[str], moderators: Sequence[str], eligible: DataFrame | None = None) -> DataFrame:
     """Values of the moderators that vary inside a group (A11), as (group_id, moderator, value)."""
     pairs = F.array(*[F.struct(F.lit(m).alias("moderator"), F.coalesce(F.nullif(F.col(m).cast("string"), F.lit("")), F.lit(NOT_REPORTED)).alias("value")) for m in moderators])
-    values = with_group(outcomes, dimensions).select("group_id", F.inline(pairs)).distinct()
+    values = with_group(eligible_only(outcomes, eligible), dimensions).select("group_id", F.inline(pairs)).distinct()
     varying = values.groupBy("group_id", "moderator").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return values.join(varying, ["group_id", "moderator"], "left_semi")
 

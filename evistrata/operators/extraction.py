@@ -92,16 +92,24 @@ def match_previous(incoming: DataFrame, previous: DataFrame) -> DataFrame:
         "row_id", F.col("_p.outcome_id").alias("previous_id"), F.col("_p.extraction_run_id").alias("previous_run"))
 
 
-def reingest(previous: DataFrame, incoming: DataFrame, run_id: str) -> Reingest:
+def reingest(previous: DataFrame, incoming: DataFrame, run_id: str, reextracted: DataFrame | None = None) -> Reingest:
     """Supersede the outcomes of every re-extracted publication and open the new version.
 
     ``previous``: active rows with outcome_id, study_id, publication_id, aliases,
     extraction_run_id, extraction_version, seq.  ``incoming``: row_id, study_id,
     publication_id, identity_key, explicit_id, aliases.  An outcome keeps its id
-    when an alias matches; outcomes that vanished are closed.
+    when an alias matches; outcomes that vanished are closed.  ``reextracted`` names all
+    re-extracted publications with their ``extraction_version`` before, if they had one; a
+    publication that lost every outcome is only known from there.
     """
-    touched = incoming.select("publication_id").distinct()
-    versions = previous.groupBy("publication_id").agg(F.max("extraction_version").alias("_version"))
+    touched = incoming.select("publication_id")
+    if reextracted is not None:
+        touched = touched.unionByName(reextracted.select("publication_id"))
+    touched = touched.distinct()
+    before = previous.select("publication_id", "extraction_version")
+    if reextracted is not None and "extraction_version" in reextracted.columns:
+        before = before.unionByName(reextracted.select("publication_id", "extraction_version"))
+    versions = before.groupBy("publication_id").agg(F.max("extraction_version").alias("_version"))
     matched = incoming.join(match_previous(incoming, previous), "row_id", "left").join(versions, "publication_id", "left")
     fresh = stable_id("outcome", "study_id", "identity_key")
     chosen = F.coalesce(F.nullif("explicit_id", F.lit("")), F.col("previous_id"), fresh)

@@ -83,12 +83,12 @@ def build_evidence_pack(documents: DataFrame, terms: Sequence[str], text: str =
 
 
 def add_vector_scores(rows: DataFrame, vectors: DataFrame, query: Sequence[float], selected: DataFrame | None = None) -> DataFrame:
-    """Hybrid score of chunk rows from an embeddings table keyed by chunk hash.
+    """Hybrid score of chunk rows from an embeddings table keyed by the full SHA-256 of the chunk text.
 
     ``vectors``: chunk_hash, vector; ``selected``: (doc_id, chunk_id) chosen outside.
     """
     wanted = F.array(*[F.lit(float(x)) for x in query])
-    hashed = rows.withColumn("chunk_hash", F.substring(F.sha2("text", 256), 1, 16))
+    hashed = rows.withColumn("chunk_hash", F.sha2("text", 256))
     joined = hashed.join(vectors.select("chunk_hash", "vector"), "chunk_hash", "left")
     similarity = F.when(F.col("vector").isNotNull(), cosine("vector", wanted)).otherwise(0.0)
     flag = None
@@ -101,7 +101,7 @@ def add_vector_scores(rows: DataFrame, vectors: DataFrame, query: Sequence[float
 
 def missing_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """Distinct chunk texts without an embedding yet."""
-    hashed = rows.select(F.substring(F.sha2("text", 256), 1, 16).alias("chunk_hash"), "text")
+    hashed = rows.select(F.sha2("text", 256).alias("chunk_hash"), "text")
     todo = hashed.join(vectors.select("chunk_hash").distinct(), "chunk_hash", "left_anti")
     return todo.groupBy("chunk_hash").agg(F.min("text").alias("text"))
 

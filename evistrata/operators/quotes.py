@@ -101,36 +101,72 @@ def clean_reports(reports: DataFrame, known: DataFrame, heading: str = "Referenc
     return split.withColumn("report", report).drop("_s", "_refs")
 
 
-# Fixed value: what a study citation looks like in prose.
-STUDY_CITATION = r"(?U)\b(?:study|pub|record)_[A-Za-z0-9_-]+\b"
+# Prefixes that mark a study citation whatever the known ids are.
+STUDY_PREFIXES = ("study", "pub", "record")
+ALNUM = "[A-Za-z0-9]"
 
 
 def study_citations(
     texts: DataFrame, known: DataFrame, key: str = "section_id", text: str = "text", id_column: str = "study_id",
-    prefixes: Sequence[str] = (), patterns: Sequence[str] = (), max_segments: int = 3,
+    prefixes: Sequence[str] = (), patterns: Sequence[str] = (),
 ) -> DataFrame:
     """Study-like tokens of each text, with ``known``.
 
-    Known ids are found by an equi-join: every run of up to ``max_segments``
-    alphanumeric segments of the text is a candidate, so the cost does not grow
-    with texts times ids.  Ids must start and end with a letter or digit.
+    A token is study-like by its prefix before the first underscore (the fixed ones, the
+    caller's, and those of the known ids), by one of ``patterns``, or because it is a known id
+    that no letter or digit touches.
+
+    Known ids are found by an equi-join: every run of as many alphanumeric segments as some
+    known id has is a candidate, so the cost does not grow with texts times ids.  The segment
+    counts come from the ids themselves.  Leading and trailing separators of an id are compared
+    with those around the run; an id without letter or digit is never found.
     """
-    pattern_list = [STUDY_CITATION, *[rf"(?U)\b{p}_[A-Za-z0-9_-]+\b" for p in prefixes], *patterns]
-    shaped = F.concat(*[F.regexp_extract_all(F.col(text), F.lit(p), 0) for p in pattern_list])
-    segments = F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), 0)
-    prepared = texts.select(key, F.array_distinct(shaped).alias("_shaped"), segments.alias("_seg"))
-    starts = F.filter(F.sequence(F.lit(1), F.size("_seg")), lambda i: F.element_at(F.col("_seg"), i).rlike("^[A-Za-z0-9]"))
-    runs = [
-        F.transform(starts, _run(2 * n + 1)) for n in range(max_segments)
-    ]
-    candidates = F.array_except(F.array_distinct(F.flatten(F.array(*runs))), F.col("_shaped"))
-    with_text = prepared.filter(F.size("_seg") > 0)
-    tokens = with_text.select(key, F.explode("_shaped").alias("token"), F.lit(True).alias("shaped")).unionByName(
-        with_text.select(key, F.explode(candidates).alias("token"), F.lit(False).alias("shaped")))
-    ids = known.select(F.col(id_column).alias("token")).distinct().withColumn("known", F.lit(True))
-    joined = tokens.join(ids, "token", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    return joined.filter("shaped or known").select(key, "token", "known")
-
-
-def _run(width: int):
-    return lambda i: F.array_join(F.slice(F.col("_seg"), i, F.lit(width)), "")
+    ids = known.select(F.col(id_column).alias("id")).filter("id <> ''").distinct()
+    prefix = F.regexp_extract("id", r"^([A-Za-z][A-Za-z0-9-]*)_", 1)
+    fixed = F.lit([*STUDY_PREFIXES, *prefixes])
+    derived = ids.select(prefix.alias("prefix")).filter("prefix <> ''").distinct()
+
+    # words with underscores, from every place where a word may begin
+    words = F.regexp_extract_all(F.col(text), F.lit(r"(?U)(?<!\w)[A-Za-z0-9_-]+\b"), 0)
+
+    def tails(word: Column) -> Column:
+        parts = F.split(word, "-", -1)
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "-"))
+
+    shaped = F.filter(F.array_distinct(F.flatten(F.transform(words, tails))), lambda w: w.rlike("^[A-Za-z][A-Za-z0-9-]*_[A-Za-z0-9_-]+$"))
+    by_prefix = texts.select(key, F.explode(shaped).alias("token")).withColumn("prefix", F.substring_index("token", "_", 1))
+    tokens = by_prefix.filter(F.array_contains(fixed, F.col("prefix"))).select(key, "token")
+    tokens = tokens.unionByName(by_prefix.join(derived, "prefix", "left_semi").select(key, "token"))
+    for pattern in patterns:
+        tokens = tokens.unionByName(texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("token")))
+
+    core = F.regexp_replace("id", "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+    cored = ids.select(
+        "id", core.alias("core"), F.regexp_extract("id", "^([^A-Za-z0-9]*)", 1).alias("lead"), F.regexp_extract("id", "([^A-Za-z0-9]*)$", 1).alias("trail"),
+    ).filter("core <> ''")
+    counts = cored.agg(F.array_sort(F.collect_set(F.size(F.regexp_extract_all("core", F.lit(f"{ALNUM}+"), 0))))).scalar()
+    prepared = texts.select(
+        key, F.regexp_extract_all(F.col(text), F.lit(f"{ALNUM}+"), 0).alias("_words"), F.split(F.col(text), f"{ALNUM}+", -1).alias("_gaps"),
+        F.coalesce(counts, F.array().cast("array<int>")).alias("_counts"),
+    ).filter(F.size("_words") > 0)
+
+    def runs(n: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: i + n - 1 <= F.size("_words"))
+        return F.transform(starts, lambda i: F.struct(
+            F.concat(
+                F.element_at("_words", i),
+                F.array_join(F.zip_with(F.slice("_gaps", i + 1, n - 1), F.slice("_words", i + 1, n - 1), lambda g, w: F.concat(g, w)), ""),
+            ).alias("core"),
+            F.element_at("_gaps", i).alias("before"), F.element_at("_gaps", i + n).alias("after"),
+            (i == 1).alias("first"), (i + n - 1 == F.size("_words")).alias("last"),
+        ))
+
+    asked = prepared.select(key, F.inline(F.array_distinct(F.flatten(F.transform("_counts", runs)))))
+    fits = (
+        F.col("before").endswith(F.col("lead")) & (F.col("first") | (F.length("lead") == 0) | (F.length("before") > F.length("lead")))
+        & F.col("after").startswith(F.col("trail")) & (F.col("last") | (F.length("trail") == 0) | (F.length("after") > F.length("trail")))
+    )
+    found = asked.join(cored, "core").filter(fits).select(key, F.col("id").alias("token"))
+    marked = ids.select(F.col("id").alias("token"), F.lit(True).alias("known"))
+    joined = tokens.unionByName(found).distinct().join(marked, "token", "left")
+    return joined.select(key, "token", F.coalesce("known", F.lit(False)).alias("known"))

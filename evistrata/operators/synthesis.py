@@ -127,12 +127,9 @@ def section_evidence(members: DataFrame, outcomes: DataFrame) -> DataFrame:
     return members.select("section_id", "study_id").join(per_study, "study_id").select("section_id", "kind", "value", "study_id")
 
 
-def evidence_memos(members: DataFrame, outcomes: DataFrame, size: int = 25, prefix: int = 4) -> DataFrame:
-    """Batches of at most ``size`` studies per section, in study order.
-
-    ``prefix`` characters of the study id split a section for numbering.
-    """
-    numbered = number_rows(members, ["section_id"], "study_id", "rank", chunk=F.substring("study_id", 1, prefix))
+def evidence_memos(members: DataFrame, outcomes: DataFrame, size: int = 25) -> DataFrame:
+    """Batches of at most ``size`` studies per section, in study order."""
+    numbered = number_rows(members, ["section_id"], "study_id", "rank")
     batched = numbered.withColumn("batch", batch_number("rank", size))
     listed = outcomes.groupBy("study_id").agg(F.array_sort(F.collect_list("outcome_id")).alias("outcome_ids"))
     items = F.array_sort(F.collect_list(F.struct("study_id", "publication_id", F.coalesce("outcome_ids", F.array().cast("array<string>")).alias("outcome_ids"))))
@@ -144,7 +141,7 @@ def memo_studies(memos: DataFrame) -> DataFrame:
     return memos.select("section_id", F.explode("items.study_id").alias("study_id"))
 
 
-def fixture_claims(members: DataFrame, outcomes: DataFrame, rules: Mapping[str, Mapping], size: int = 25, prefix: int = 4) -> DataFrame:
+def fixture_claims(members: DataFrame, outcomes: DataFrame, rules: Mapping[str, Mapping], size: int = 25) -> DataFrame:
     """Deterministic claims, one per memo batch (X4): each study's first matching outcome with evidence.
 
     ``outcomes``: outcome_id, study_id, domain, effect_direction, support_relation,
@@ -158,7 +155,7 @@ def fixture_claims(members: DataFrame, outcomes: DataFrame, rules: Mapping[str,
         unmatched = unmatched | ((F.col("section_id") == section) & bad)
     first = joined.filter(~unmatched).groupBy("section_id", "study_id").agg(
         F.min_by(F.struct("outcome_id", "evidence_id", "support_relation"), F.struct("seq", "outcome_id")).alias("o"))
-    ranked = number_rows(first, ["section_id"], "study_id", "rank", chunk=F.substring("study_id", 1, prefix))
+    ranked = number_rows(first, ["section_id"], "study_id", "rank")
     batched = ranked.withColumn("batch", batch_number("rank", size)).withColumn("against", F.col("o.support_relation") == "contradicts")
 
     def listed(keep: Column, value: Column) -> Column:
@@ -303,7 +300,11 @@ def claim_flags(
     claims: DataFrame, studies: DataFrame, hierarchy: Sequence[str] = (), cross_pairs: Sequence[tuple[str, str]] = (),
     core: Sequence[str] = (), adjacent: Sequence[str] = (),
 ) -> DataFrame:
-    """Scope, population and causal flags of each claim from its supporting studies.
+    """Scope, population and causal flags of each claim, stated or from its supporting studies.
+
+    A flag or the population levels that the claim itself carries (``population_overgeneralization``,
+    ``animal_to_human``, ``causal_inflation``, ``population_levels``) stand where they are given; a
+    stated flag is never taken back by the studies.
 
     ``claims``: claim_id, sentence, supporting_studies, scope_status, claimed_levels,
     causal_strength, asserted_fields, required_qualifiers; ``studies``: study_id, fields.
@@ -349,13 +350,20 @@ def claim_flags(
         crossed = crossed | (F.array_contains("_levels", evidence_level) & F.array_contains("claimed_levels", claim_level))
     inflated = (F.col("causal_strength") == "causal") & (F.col("_strengths") > 0) & (F.col("_weaker") > 0)
     unreported = F.when(F.col("_any"), F.array_sort(F.array_except("asserted_fields", F.coalesce("_reported", nothing)))).otherwise(nothing)
-    return joined.withColumns({
+    derived = {
         "protocol_scope_status": F.when(stated.isin("inside", "adjacent", "outside"), stated).otherwise(inferred),
         "population_levels": F.array_sort("_levels"), "population_overgeneralization": over, "animal_to_human": crossed,
         "causal_inflation": F.coalesce(inflated, F.lit(False)), "unreported_field_claims": unreported,
         "missing_required_qualifiers": missing_qualifiers("sentence", "required_qualifiers"),
-    }).select(*claims.columns, "protocol_scope_status", "population_levels", "population_overgeneralization", "animal_to_human",
-              "causal_inflation", "unreported_field_claims", "missing_required_qualifiers")
+    }
+    for flag in ("population_overgeneralization", "animal_to_human", "causal_inflation"):
+        if flag in claims.columns:
+            derived[flag] = F.coalesce(F.col(flag), F.lit(False)) | derived[flag]
+    if "population_levels" in claims.columns:
+        given = F.filter(F.coalesce("population_levels", nothing), lambda v: v != "")
+        derived["population_levels"] = F.when(F.size(given) > 0, F.array_sort(F.array_distinct(given))).otherwise(derived["population_levels"])
+    own = [c for c in claims.columns if c not in derived]
+    return joined.select(*own, *[value.alias(name) for name, value in derived.items()])
 
 
 def linkage_status(claims: DataFrame, evidence: DataFrame, outcomes: DataFrame) -> DataFrame:

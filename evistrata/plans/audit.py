@@ -211,7 +211,7 @@ def missing_sections(spark, d):
 @query("audit_unknown_citations", """
 select 'unknown_study_citation_in_text' as "check", null as claim_id, null as side, 'study_' || (doc_id % 3000) as entity_id from documents where doc_id % 3000 not in (select c_custkey from customer where c_custkey % 2 = 0)""")
 def unknown_citations(spark, d):
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.concat(F.lit("See (study_"), (F.col("doc_id") % 3000).cast("string"), F.lit(").")).alias("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.concat("text", F.lit("\nSee (study_"), (F.col("doc_id") % 3000).cast("string"), F.lit(").")).alias("text"))
     known = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("study_"), F.col("c_custkey").cast("string")).alias("study_id"))
     return ops.citation_token_issues(citations.study_citations(texts, known))
 

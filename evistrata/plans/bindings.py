@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.common import spread
 from evistrata.functions.keys import norm_doi
 from evistrata.plans.registry import table
 
@@ -179,7 +178,7 @@ link as (select 's' || o_orderkey as study_id, case when o_orderstatus = 'P' the
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
     """One outcome per order and line; each has an evidence location, some two or none."""
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
-    li = spread(table(spark, d, "lineitem").select(columns), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
+    li = table(spark, d, "lineitem").select(columns).groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"))
     pk, sk = F.col("pk"), F.col("sk")
     order, line = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
@@ -211,7 +210,7 @@ outc as (select 'o' || l_orderkey || '-' || l_linenumber as outcome_id, 's' || l
 
 def described_studies(spark: SparkSession, d: str) -> DataFrame:
     """Studies with declared fields."""
-    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
 
     def pick(index, *values: str):
@@ -236,7 +235,7 @@ def evidence(spark: SparkSession, d: str, from_outcomes: DataFrame | None = None
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
     """One claim per order, with the faults an audit looks for at regular intervals."""
-    o = spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
 
     def name(prefix: str, key, suffix: str = ""):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evistrata.common import cut_lineage, spread
+from evistrata.common import cut_lineage
 from evistrata.functions import findings as N
 from evistrata.functions import values as V
 from evistrata.operators import findings as ops
@@ -36,7 +36,7 @@ def payloads(spark, d):
 
 
 def findings(spark, d):
-    return ops.normalize_findings(spread(payloads(spark, d), "seq"))
+    return ops.normalize_findings(payloads(spark, d))
 
 
 def written_findings(spark, d):
@@ -68,7 +68,7 @@ def p24(spark, d):
 
 @query("p25_document_relevance", f"with {FINDINGS_SQL} select event_id as seq, (rel0 or relevance_level <> 'irrelevant')::int as relevant from f0")
 def p25(spark, d):
-    return ops.document_relevance(spread(payloads(spark, d), "seq")).select("seq", F.col("relevant").cast("int").alias("relevant"))
+    return ops.document_relevance(payloads(spark, d)).select("seq", F.col("relevant").cast("int").alias("relevant"))
 
 
 @query("p26_metadata_text", f"""
@@ -273,4 +273,4 @@ r as (select *, row_number() over (partition by claim_id order by shared desc, d
 select claim_id, doc_id, shared, cast(rank as int) as rank from r where rank <= 3""")
 def j22(spark, d):
     claims = table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-    return ops.relevant_documents(claims, spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
+    return ops.relevant_documents(claims, table(spark, d, "documents").select("doc_id", "text"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evistrata.common import spread
 from evistrata.functions import packing as P
 from evistrata.functions import text as X
 from evistrata.functions.values import cosine
@@ -21,7 +20,7 @@ def headed(spark, d):
     t = F.col("text")
     with_heads = F.concat(F.lit("Front line\nAbstract\n"), t, F.lit("\n2. Results:\n"), F.substring("text", 1, 700), F.lit("\nMETHODS\ntable 1 of the study\nIV. Findings\n"),
                           F.substring("text", 1, 300), F.lit("\nReferences\nthe and with"))
-    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.when(F.col("doc_id") % 3 == 0, with_heads).otherwise(t).alias("text"))
+    return table(spark, d, "documents").select("doc_id", "text").select("doc_id", F.when(F.col("doc_id") % 3 == 0, with_heads).otherwise(t).alias("text"))
 
 
 STRIP = r"regexp_replace({0}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')"
@@ -265,25 +264,25 @@ UNIT = "[" + ", ".join(["1.0"] + ["0.0"] * 63) + "]"
 
 
 @query("p23_hybrid_score", f"""
-with {HEADED_SQL}, {KEYWORD_SQL}, c as (select doc_id, chunk_id, substr(sha256(txt), 1, 16) as h from kw where txt <> ''),
-e as (select d.doc_id, embedding from documents d join embeddings v on v.vec_id = d.doc_id % 500 where v.vec_id < 400)
+with {HEADED_SQL}, {KEYWORD_SQL}, c as (select doc_id, chunk_id, sha256(txt) as h from kw where txt <> ''),
+e as (select d.doc_id, embedding from documents d join embeddings v on v.vec_id = d.doc_id % 500 where v.vec_id % 5 <> 0)
 select c.doc_id, chunk_id, round(1.0 + 10 * coalesce(list_cosine_similarity(embedding::double[], {UNIT}::double[]), 0) + case when c.doc_id % 2 = 0 and chunk_id = 'k000' then 10 else 0 end, 5) as score
 from c left join e on e.doc_id = c.doc_id""")
 def p23(spark, d):
     rows = ops.explode_chunks(headed(spark, d), P.keyword_windows("text", TERMS, SIZES["radius"], SIZES["gap"]))
     rows = rows.select("doc_id", "chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").alias("text"), F.lit(1.0).alias("score"))
     docs = table(spark, d, "documents").select((F.col("doc_id") % 500).alias("vec_id"), "doc_id")
-    emb = table(spark, d, "embeddings").filter("vec_id < 400").select("vec_id", F.col("embedding").alias("vector"))
+    emb = table(spark, d, "embeddings").filter("vec_id % 5 <> 0").select("vec_id", F.col("embedding").alias("vector"))
     by_doc = docs.join(emb, "vec_id").select("doc_id", "vector")
-    vectors = rows.join(by_doc, "doc_id").select(F.substring(F.sha2("text", 256), 1, 16).alias("chunk_hash"), "vector").dropDuplicates(["chunk_hash"])
+    vectors = rows.join(by_doc, "doc_id").select(F.sha2("text", 256).alias("chunk_hash"), "vector").dropDuplicates(["chunk_hash"])
     chosen = rows.filter("doc_id % 2 = 0 and chunk_id = 'k000'")
     out = ops.add_vector_scores(rows, vectors, [1.0] + [0.0] * 63, chosen)
     return out.select("doc_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
 @query("j27_missing_vectors", f"""
-with {HEADED_SQL}, {KEYWORD_SQL} select distinct substr(sha256(txt), 1, 16) as chunk_hash from kw where txt <> '' and substr(sha256(txt), 1, 1) not in ('0', '1', '2', '3')""")
+with {HEADED_SQL}, {KEYWORD_SQL} select distinct sha256(txt) as chunk_hash from kw where txt <> '' and substr(sha256(txt), 1, 1) not in ('0', '1', '2', '3')""")
 def missing_vectors(spark, d):
     rows = ops.explode_chunks(headed(spark, d), P.keyword_windows("text", TERMS, SIZES["radius"], SIZES["gap"]))
-    have = rows.select(F.substring(F.sha2("text", 256), 1, 16).alias("chunk_hash")).filter("chunk_hash < '4'")
+    have = rows.select(F.sha2("text", 256).alias("chunk_hash")).filter("chunk_hash < '4'")
     return ops.missing_vectors(rows, have).select("chunk_hash")

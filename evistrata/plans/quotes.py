@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evistrata.common import spread
 from evistrata.functions import text as X
 from evistrata.functions.values import id_union
 from evistrata.operators import quotes as ops
@@ -31,7 +30,7 @@ v as (select *, quote = '' or (q60 <> '' and contains(lt, q60)) or (qf <> '' and
 
 
 def docs(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 @query("j21_p28_prefix_quotes", f"with {QUOTES_SQL} select doc_id, found::int as found from v")
@@ -62,7 +61,7 @@ def reports(spark, d):
     cite = F.concat(F.lit("\nSeen [1, 3-5] and ["), n.cast("string"), F.lit("] not [9-2] or ["), (n + 20).cast("string"), F.lit("-"), (n + 21).cast("string"), F.lit("] x []."))
     refs = F.concat(F.lit("\n## References\n[1] Au One. *Title 1 of "), doc.cast("string"), F.lit("*. 2001.\n[3] Au Two. *Other*. 2003.\n[3] Twice\n[4] Au Four. *Title 4 of "),
                     doc.cast("string"), F.lit("*. 1999.\n["), (n + 30).cast("string"), F.lit("] Orphan. 2000."))
-    report = F.concat(F.substring("text", 1, 200), cite, F.when(doc % 4 != 0, refs).otherwise(""))
+    report = F.concat("text", cite, F.when(doc % 4 != 0, refs).otherwise(""))
     return table(spark, d, "documents").select(doc.alias("report_id"), report.alias("report"))
 
 
@@ -87,17 +86,16 @@ known as (select doc_id as report_id, unnest([1, 3, 4, 5, 24]) as num from docum
 @query("p29_numeric_citations", f"with {CITES_SQL} select report_id, string_agg(cast(num as varchar), ',' order by i) as numbers from (select report_id, unnest([1, 3, 4, 5, n, n + 20, n + 21]) as num, unnest([1,2,3,4,5,6,7]) as i from n) group by 1")
 def p29(spark, d):
     r = reports(spark, d).select("report_id", X.split_references("report")["body"].alias("b"))
-    tail = F.substring_index("b", "\n", -1)
-    return r.select("report_id", F.array_join(X.numeric_citations(tail).cast("array<string>"), ",").alias("numbers"))
+    return r.select("report_id", F.array_join(X.numeric_citations("b").cast("array<string>"), ",").alias("numbers"))
 
 
 @query("p30_sanitized_citations", """
-select doc_id as report_id, 'Seen [1, 4] and ' || case when n in (1, 4) then '[' || n || ']' else '' end || ' not  or ' ||
-  case when n = 4 then '[24, 25]' when n = 3 then '[24]' when n = 5 then '[25]' else '' end || ' x [].' as line from (select doc_id, doc_id % 9 + 1 as n from documents)""")
+select doc_id as report_id, md5(text || chr(10) || 'Seen [1, 4] and ' || case when n in (1, 4) then '[' || n || ']' else '' end || ' not  or ' ||
+  case when n = 4 then '[24, 25]' when n = 3 then '[24]' when n = 5 then '[25]' else '' end || ' x [].') as digest from (select doc_id, text, doc_id % 9 + 1 as n from documents)""")
 def p30(spark, d):
-    r = reports(spark, d).select("report_id", F.substring_index(X.split_references("report")["body"], "\n", -1).alias("line"))
+    r = reports(spark, d).select("report_id", X.split_references("report")["body"].alias("body"))
     allowed = F.array(*[F.lit(i).cast("bigint") for i in (25, 4, 1, 24)])
-    return r.select("report_id", X.sanitize_citations("line", allowed).alias("line"))
+    return r.select("report_id", F.md5(X.sanitize_citations("body", allowed)).alias("digest"))
 
 
 @query("j24_reference_issues", f"""
@@ -137,17 +135,19 @@ def p46(spark, d):
 
 @query("p31_study_citations", """
 with t as (select doc_id as section_id, doc_id % 50 as a, doc_id % 70 as b from documents),
-known as (select 'study_' || c_custkey as id from customer union select 'trial-' || c_custkey || 'x' from customer),
-tok as (select section_id, unnest(['study_' || a, 'pub_u' || b, 'cohort_' || b, case when a % 2 = 0 then 'trial-' || b || 'x' end]) as token from t)
-select distinct section_id, token, case when token in (select id from known) then 1 else 0 end as known from tok where token is not null""")
+known as (select unnest(['study_' || c_custkey, 'trial-' || c_custkey || 'x', 'RCT-2020-smith-' || c_custkey || '-a-b', 'arm_' || c_custkey]) as id from customer),
+tok as (select section_id, unnest(['study_' || a, 'pub_u' || b, 'cohort_' || b, 'arm_z' || b, 'RCT-2020-smith-' || (a + 1) || '-a-b', case when a % 2 = 0 then 'trial-' || b || 'x' end]) as token from t)
+select distinct section_id, token, case when token in (select id from known) then 1 else 0 end as known from tok where token is not null and (regexp_matches(token, '^(study|pub|cohort|arm)_') or token in (select id from known))""")
 def p31(spark, d):
     doc = F.col("doc_id")
     a, b = (doc % 50).cast("string"), (doc % 70).cast("string")
     trial = F.when(doc % 50 % 2 == 0, F.concat(F.lit(" see trial-"), b, F.lit("x;"))).otherwise("")
-    text = F.concat(F.lit("As [study_"), a, F.lit("] and pub_u"), b, F.lit(", mystudy_9 or cohort_"), b, F.lit(" show."), trial)
+    own = F.concat(F.lit("\nAs [study_"), a, F.lit("] and pub_u"), b, F.lit(", mystudy_9, pre-arm_z"), b, F.lit(" or cohort_"), b, F.lit(" show; (RCT-2020-smith-"), (doc % 50 + 1).cast("string"), F.lit("-a-b)."), trial)
+    text = F.concat("text", own)
     texts = table(spark, d, "documents").select(doc.alias("section_id"), text.alias("text"))
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k"))
-    known = c.select(F.concat(F.lit("study_"), "k").alias("study_id")).unionByName(c.select(F.concat(F.lit("trial-"), "k", F.lit("x")).alias("study_id")))
+    shapes = F.array(F.concat(F.lit("study_"), "k"), F.concat(F.lit("trial-"), "k", F.lit("x")), F.concat(F.lit("RCT-2020-smith-"), "k", F.lit("-a-b")), F.concat(F.lit("arm_"), "k"))
+    known = c.select(F.explode(shapes).alias("study_id"))
     return ops.study_citations(texts, known, prefixes=["cohort"]).select("section_id", "token", F.col("known").cast("int").alias("known"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evistrata.common import first_n, first_seen, spread
+from evistrata.common import first_n, first_seen
 from evistrata.functions import keys as K
 from evistrata.functions import rules as R
 from evistrata.functions import text as X
@@ -231,10 +231,10 @@ RULES = {"categories": {
 
 def candidates(spark, d):
     doc = F.col("doc_id")
-    return spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id").select(
+    return table(spark, d, "documents").select("doc_id", "text", "source").select(
         doc.alias("seq"), (2010 + doc % 16).cast("int").alias("year"), (doc % 12).cast("int").alias("citations"),
         F.when(doc % 3 == 0, F.concat(F.lit("10."), (doc % 211).cast("string"), F.lit("/x"))).alias("doi"),
-        X.text_blob(F.substring_index("text", "\n", 1), F.substring("text", 1, 400), "source").alias("blob"))
+        X.text_blob(F.substring_index("text", "\n", 1), "text", "source").alias("blob"))
 
 
 def _has(term: str) -> str:
@@ -250,7 +250,7 @@ def _any(category: str) -> str:
 CAND_SQL = """
 cand as (select doc_id as seq, 2010 + doc_id % 16 as year, doc_id % 12 as citations,
   case when doc_id % 3 = 0 then '10.' || (doc_id % 211) || '/x' end as doi,
-  lower(split_part(text, chr(10), 1) || ' ' || substr(text, 1, 400) || ' ' || source) as blob from documents)"""
+  lower(split_part(text, chr(10), 1) || ' ' || text || ' ' || source) as blob from documents)"""
 SCREEN_SQL = f"""{CAND_SQL},
 hit as (select *, {_any('topic')} as h1, {_any('method')} as h2, {_any('phrase')} as h3, {_any('noise')} as h4,
   case when year >= 2024 then 0 when year >= 2021 then case when citations < 3 then -1 else 0 end

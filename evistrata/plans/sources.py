@@ -44,10 +44,10 @@ def s3(spark, d):
 
 
 @query("s4_s5_csv", r"""
-select cast(conv_id as varchar) as record_id, role as decision, regexp_replace(substr(text, 1, 60), '^\s+|\s+$', '', 'g') as note from conversations""")
+select cast(conv_id as varchar) as record_id, role as decision, regexp_replace(text, '^\s+|\s+$', '', 'g') as note from conversations""")
 def s4(spark, d):
     path = fresh_path(spark, "csv")
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.concat(F.lit(" "), "role").alias("status"), F.substring("text", 1, 60).alias("why"), "turn")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.concat(F.lit(" "), "role").alias("status"), F.col("text").alias("why"), "turn")
     L.export_csv(rows, ["id", "status", "why"], path)
     return L.import_csv(spark, path, {"record_id": "id", "decision": "status", "note": "why"}, ["record_id", "decision"])
 

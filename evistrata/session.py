@@ -12,10 +12,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Set-collecting aggregates hold small sets per key; the default of 128 keys per
-    # task before sorting would sort nearly every one of them.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.session.timeZone": "UTC",
+    # Recursive queries walk hierarchies of any number of rows; their depth stays limited.
+    "spark.sql.cteRecursionRowLimit": "-1",
+    # Keyed streaming state lives on disk, not in the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -32,6 +33,8 @@ def local_session(cores: int | str = 8, name: str = "evistrata", shuffle_partiti
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")

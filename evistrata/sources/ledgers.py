@@ -14,9 +14,12 @@ from evistrata.functions.text import strip
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a fixed schema; an absent path is an empty ledger."""
+    """JSON lines with a fixed schema; an absent path is an empty ledger.
+
+    A malformed line fails the read, as a damaged ledger must not pass for a shorter one.
+    """
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
