@@ -21,10 +21,16 @@ def arms(spark, d):
     return s.withColumn("arms", F.array(arm("a", F.lit("intervention")), arm("b", second), arm("c", F.when(k % 2 == 0, "intervention").otherwise("control"))))
 
 
+def eligible(spark, d):
+    return studies(spark, d).filter("seq % 10 <> 3")
+
+
+ELIGIBLE = "l_orderkey % 10 <> 3"
+
+
 def matrix(spark, d, per_comparison=False):
     publications = table(spark, d, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("publication_id"), F.col("c_name").alias("title"))
-    eligible = studies(spark, d).filter("seq % 10 <> 3")
-    return ops.evidence_matrix(arms(spark, d), publications, outcomes(spark, d), eligible, per_comparison)
+    return ops.evidence_matrix(arms(spark, d), publications, outcomes(spark, d), eligible(spark, d), per_comparison)
 
 
 @query("a8_j9_evidence_matrix", f"""
@@ -50,23 +56,23 @@ def j10(spark, d):
 @query("a9_a10_contradiction_groups", f"""
 with {OUTCOMES_SQL} select domain || '|' || timepoint as group_id, count(*) as outcomes, count(distinct study_id) as studies, string_agg(distinct effect_direction, ',' order by effect_direction) as directions,
   string_agg(distinct support_relation, ',' order by support_relation) as relations,
-  (bool_or(support_relation = 'mixed') or (bool_or(support_relation = 'supports') and bool_or(support_relation = 'contradicts')))::int as inconsistent from outc group by domain, timepoint""")
+  (bool_or(support_relation = 'mixed') or (bool_or(support_relation = 'supports') and bool_or(support_relation = 'contradicts')))::int as inconsistent from outc where {ELIGIBLE} group by domain, timepoint""")
 def a9(spark, d):
-    g = ops.contradiction_groups(outcomes(spark, d), DIMENSIONS)
+    g = ops.contradiction_groups(outcomes(spark, d), DIMENSIONS, eligible(spark, d))
     return g.select("group_id", "outcomes", "studies", F.array_join("effect_directions", ",").alias("directions"), F.array_join("support_relations", ",").alias("relations"),
                     F.col("has_directional_inconsistency").cast("int").alias("inconsistent"))
 
 
-@query("a9_group_members", f"with {OUTCOMES_SQL} select distinct domain || '|' || timepoint as group_id, study_id from outc")
+@query("a9_group_members", f"with {OUTCOMES_SQL} select distinct domain || '|' || timepoint as group_id, study_id from outc where {ELIGIBLE}")
 def a9b(spark, d):
-    return ops.group_members(outcomes(spark, d), DIMENSIONS)
+    return ops.group_members(outcomes(spark, d), DIMENSIONS, eligible(spark, d))
 
 
 @query("a11_moderator_candidates", f"""
-with {OUTCOMES_SQL}, m as (select study_id as g, unnest(['design', 'dose']) as moderator, unnest([design, dose]) as value from outc),
+with {OUTCOMES_SQL}, m as (select study_id as g, unnest(['design', 'dose']) as moderator, unnest([design, dose]) as value from outc where {ELIGIBLE}),
 v as (select g, moderator from m group by 1, 2 having count(distinct value) > 1) select distinct g as group_id, moderator, value from m join v using (g, moderator)""")
 def a11(spark, d):
-    return ops.moderator_candidates(outcomes(spark, d), ["study_id"], ["design", "dose"])
+    return ops.moderator_candidates(outcomes(spark, d), ["study_id"], ["design", "dose"], eligible(spark, d))
 
 
 @query("a9_interpretation", f"""

@@ -28,11 +28,13 @@ def written_outcomes(spark, d):
 
 
 def inconsistent_members(spark, d, o=None):
-    """Studies of (publication, domain) groups that disagree."""
+    """Eligible studies of (publication, domain) groups that disagree."""
     o = outcomes(spark, d) if o is None else o
-    o = o.select("study_id", "domain", "effect_direction", "support_relation").join(described_studies(spark, d).select("study_id", "publication_id"), "study_id")
-    groups = E.contradiction_groups(o, ["publication_id", "domain"]).filter("has_directional_inconsistency").select("group_id")
-    return E.group_members(o, ["publication_id", "domain"]).join(groups, "group_id", "left_semi")
+    s = described_studies(spark, d)
+    eligible = s.filter("seq % 4 <> 0")
+    o = o.select("study_id", "domain", "effect_direction", "support_relation").join(s.select("study_id", "publication_id"), "study_id")
+    groups = E.contradiction_groups(o, ["publication_id", "domain"], eligible).filter("has_directional_inconsistency").select("group_id")
+    return E.group_members(o, ["publication_id", "domain"], eligible).join(groups, "group_id", "left_semi")
 
 
 def selection(spark, d, o=None):
@@ -45,7 +47,7 @@ def written_members(spark, d, o):
 
 
 GROUP_SQL = """
-om as (select o.*, s.publication_id from outc o join st s using (study_id)),
+om as (select o.*, s.publication_id from outc o join st s using (study_id) where s.k % 4 <> 0),
 grp as (select publication_id || '|' || domain as group_id, count(distinct study_id) as size from om group by 1
   having bool_or(support_relation = 'mixed') or (bool_or(support_relation = 'supports') and bool_or(support_relation = 'contradicts'))),
 mem as (select distinct publication_id || '|' || domain as group_id, study_id from om where publication_id || '|' || domain in (select group_id from grp))"""
