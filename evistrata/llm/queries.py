@@ -15,6 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Words between ASCII white space.
+WORDS_SQL = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -87,7 +91,31 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 6 ----------------------------------------------------------------------
 
-@query("op6_quality_rules")
+RULES_SQL = rf"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, text, {WORDS_SQL.format('text')} as ws from t),
+windows as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)),
+repeats as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from windows) where n > 1),
+covered as (select doc_id, count(distinct i + k) as n from repeats, range(0, 8) as r(k) group by 1),
+l as (select doc_id, line, {WORDS_SQL.format('line')} as ws from (select doc_id, unnest(string_split(text, chr(10))) as line from t)),
+judged as (select doc_id, line, list_sum(list_transform(ws, lambda x: length(x))) as chars,
+    (len(ws) < 20 and not regexp_matches(ws[-1], '[.!?…。！？:;"''”’»›)\]]$'))
+    or len(list_filter(ws, lambda x: x in ('|', '>', '»', '›', '·', '•', '/'))) >= 2
+    or len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 0.3 * len(ws)
+    or (len(ws) >= 3 and length(regexp_replace(line, '\P{{Lu}}', '', 'g')) > 0.7 * length(regexp_replace(line, '\P{{L}}', '', 'g')))
+    or len(list_filter(range(1, len(ws) - 3), lambda i: ws[i] = ws[i + 1] and ws[i] = ws[i + 2] and ws[i] = ws[i + 3] and ws[i] = ws[i + 4])) > 0
+    or list_bool_or(list_transform([{', '.join(repr(phrase) for phrase in lines.BOILERPLATE)}], lambda x: contains(lower(line), x))) as fails
+  from l where len(ws) > 0),
+by_doc as (select doc_id, count(*) - count(distinct line) as dups, coalesce(sum(chars) filter (where not fails), 0) as kept_chars from judged group by 1),
+base as (select w.doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dups, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words, coalesce(kept_chars, 0) as kept_chars
+  from w left join covered using (doc_id) left join by_doc using (doc_id))
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and kept_chars >= 0.5 * word_chars as kept, kept_chars::bigint as kept_chars
+from base"""
+
+
+@query("op6_quality_rules", RULES_SQL)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -150,7 +178,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 3 ----------------------------------------------------------------------
 
-@query("op3_ngram_join")
+@query(
+    "op3_ngram_join",
+    rf"""
+    with recursive t as (
+        select doc_id, {WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents
+    ), s as (
+        select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+            when len(ws) > 0 then ['short ' || array_to_string(ws, ' ')] else [] end) as shingle from t
+    ), sizes as (select doc_id, count(*) as n from s group by 1),
+    pairs as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+    links as (select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * shared >= 90 * (p.n + q.n - shared)),
+    both_ways as (select x, y from links union all select y, x from links),
+    reached as (select doc_id as a, doc_id as b from t union select a, y from reached join both_ways on b = x)
+    select t.doc_id, coalesce(n, 0)::bigint as n_shingles, (select min(b) from reached where a = t.doc_id) as component_id from t left join sizes using (doc_id)
+    """,
+)
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = ngrams.Settings(width=3, numerator=9, denominator=10)
     found = ngrams.jaccard_components(table(spark, sf_dir, "documents"), settings)
