@@ -10,12 +10,14 @@ pair must share as many prefix tokens as the smaller ``l`` of the two before it
    from the counts of all prefix tokens under hash order; any table gives the same links.
 3. Prefix tokens are counted, each document picks its ``l`` and keeps the postings it needs.
 4. Short posting lists give all their pairs, and those that share enough tokens are candidates.
-   Long lists do not: their documents are compared with a pivot (first the one with the fewest
-   rare tokens), components are formed, and further pivots are compared with the documents of
-   other components only, until every list lies in one component or is used up.  A pair that
-   is never compared is in one component already; no link between components is lost.
-5. Bucket counts of both sets bound the overlap from above; pairs that pass are verified on the
-   whole sets.  Sets are hashes of 64 bits.
+   Bucket counts of both sets bound their overlap from above; pairs that pass are verified on
+   the whole sets.  Sets are hashes of 64 bits.
+5. Long lists do not give their pairs.  Each has a pivot, the document with the fewest rare
+   tokens; every member is compared with it and described by its difference from it.  Two
+   members that both link with the pivot are connected.  Any other two that link either differ
+   so little from the pivot together that the closest linked member serves for all of them, or
+   share elements of their differences, which a prefix join on these finds: differences are
+   short and mostly rare.  So no link between components is lost and no list is paired.
 
 Work tables are written to the shared folder; nothing about documents passes the driver.
 """
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -68,6 +70,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def class_key(words: list[bytes]) -> bytes | None:
+    """128 bits that documents with the same words share."""
+    return blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def _mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(31))) * ODD
     return values ^ (values >> np.uint64(29))
@@ -121,7 +128,7 @@ def _signatures(docs: DataFrame, settings: Settings, order: np.ndarray | None) -
                     ordered = tokens[np.argsort(late, kind="stable")] if late.any() else tokens
                 else:
                     ordered = tokens
-                keys.append(blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                keys.append(class_key(words))
                 sizes.append(len(tokens))
                 prefixes.append(ordered[:first].view(np.int64))
                 counts.append(bucket_counts(tokens).tobytes() if words else None)
@@ -201,14 +208,6 @@ def _short_pairs(postings: DataFrame, settings: Settings) -> DataFrame:
     return counted.filter("shared >= l").select("a", "b")
 
 
-def _pivot_pairs(long: DataFrame, pivots: int, settings: Settings) -> DataFrame:
-    """Pairs of the first documents of each list that are not done with those of other components."""
-    order = Window.partitionBy("token").orderBy("rare", "rep")
-    first = long.filter("not done").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pivots)
-    pairs = first.alias("x").join(long.alias("y"), F.expr("x.token = y.token and x.component <> y.component and " + _fits(settings, "x", "y")))
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-
-
 # --- verification ---------------------------------------------------------------
 
 def _both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -242,17 +241,93 @@ def _shared_tokens(left: bytes, right: bytes) -> int:
 
 
 def _whole_sets(docs: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
-    rows = texts(docs).join(needed, "doc_id")
+    """``rep, n, tokens`` of the documents that stand for the needed classes."""
+    rows = texts(docs).join(needed.select("rep", F.col("rep").alias("doc_id"), "key"), "doc_id")
 
     def make():
         def work(batch):
-            sets = [tokens_of(words_of(text), settings.width) for text in batch.column("text").to_pylist()]
-            return {"rep": batch.column("rep"), "n": list(map(len, sets)), "tokens": [tokens.tobytes() for tokens in sets]}
+            found: dict[str, list] = {"rep": [], "n": [], "tokens": []}
+            for rep, text, key in zip(*(batch.column(name).to_pylist() for name in ("rep", "text", "key"))):
+                words = words_of(text)
+                if class_key(words) == key:  # ids may repeat with other texts
+                    tokens = tokens_of(words, settings.width)
+                    for name, value in zip(found, (rep, len(tokens), tokens.tobytes())):
+                        found[name].append(value)
+            return found
 
         return work
 
     kind = needed.schema["rep"].dataType.simpleString()
-    return map_batches(rows.select("rep", "text"), make, f"rep {kind}, n long, tokens binary")
+    return map_batches(rows.select("rep", "text", "key"), make, f"rep {kind}, n long, tokens binary")
+
+
+# --- long lists -------------------------------------------------------------------
+
+def _differences(long: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """``pivot, rep, n, d, linked, diff``: each member of a long list against the list's pivot.
+
+    ``diff`` holds the ``d`` tokens that only one of the two sets has.
+    """
+    pivots = long.groupBy("token").agg(F.min(F.struct("rare", "rep"))["rep"].alias("pivot"))
+    pairs = long.join(pivots, "token").filter("rep <> pivot").select("pivot", "rep").distinct()
+    own = pairs.join(sets, "rep")
+    both = own.join(sets.select(F.col("rep").alias("pivot"), F.col("tokens").alias("center")), "pivot")
+    kind = sets.schema["rep"].dataType.simpleString()
+
+    def make():
+        def work(batch):
+            columns = [batch.column(name).to_pylist() for name in ("tokens", "center")]
+            sizes, linked, diffs = [], [], []
+            for tokens, center in zip(*columns):
+                a, b = np.frombuffer(tokens, np.uint64), np.frombuffer(center, np.uint64)
+                diff = np.setxor1d(a, b, assume_unique=True)
+                shared = (len(a) + len(b) - len(diff)) // 2
+                sizes.append(len(diff))
+                linked.append(settings.denominator * shared >= settings.numerator * (shared + len(diff)))
+                diffs.append(diff.view(np.int64))
+            return {"pivot": batch.column("pivot"), "rep": batch.column("rep"), "n": batch.column("n"), "d": sizes, "linked": linked, "diff": diffs}
+
+        return work
+
+    return map_batches(both.select("pivot", "rep", "n", "tokens", "center"), make, f"pivot {kind}, rep {kind}, n long, d long, linked boolean, diff array<long>")
+
+
+def _links_around_pivots(diffs: DataFrame, settings: Settings) -> DataFrame:
+    """Links between the members of long lists that connect all that link there.
+
+    With ``s = numerator + denominator`` and ``k = denominator - numerator``, two sets link if
+    ``s * |x ^ y| <= k * (n_x + n_y)``; and ``|x ^ y| = d_x + d_y - 2 * |diff_x & diff_y|``.
+    """
+    s, k = settings.numerator + settings.denominator, settings.denominator - settings.numerator
+    to_pivot = diffs.filter("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+
+    # close to the pivot together: one of the two links with it, and the closest such member will do
+    closest = diffs.filter("linked").groupBy("pivot").agg(F.min(F.struct(F.expr(f"{s} * d - {k} * n").alias("slack"), "rep")).alias("best"))
+    near = diffs.filter("not linked").join(closest, "pivot").filter(F.expr(f"{s} * d - {k} * n + best.slack <= 0"))
+    near = near.select(F.col("best.rep").alias("a"), F.col("rep").alias("b"))
+
+    # otherwise they share so many elements of their differences
+    elements = diffs.select("pivot", "rep", "n", "d", "linked", F.explode("diff").alias("element"))
+    counts = elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("df"))
+    ordered = (
+        elements.join(counts, ["pivot", "element"]).groupBy("pivot", "rep", "n", "d", "linked")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("elements"))
+    )
+    placed = ordered.select("pivot", "rep", "n", "d", "linked", F.posexplode("elements").alias("pos", "e"))
+    placed = stage(placed.select("pivot", "rep", "n", "d", "linked", "pos", F.col("e.element").alias("element")).filter("e.df > 1"), "elements")
+    need = f"(({s} * (x.d + y.d) - {k} * (x.n + y.n) + {2 * s - 1}) div {2 * s})"
+    pairs = placed.filter("not linked").alias("x").join(placed.alias("y"), F.expr(
+        f"x.pivot = y.pivot and x.element = y.element and (y.linked and x.rep <> y.rep or x.rep < y.rep) "
+        f"and {settings.denominator} * least(x.n, y.n) >= {settings.numerator} * greatest(x.n, y.n) "
+        f"and {need} > 0 and x.pos <= x.d - {need} and y.pos <= y.d - {need}"
+    ))
+    pairs = pairs.select("x.pivot", F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    left = diffs.select("pivot", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"), F.col("diff").alias("left"))
+    right = diffs.select("pivot", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"), F.col("diff").alias("right"))
+    compared = pairs.join(left, ["pivot", "a"]).join(right, ["pivot", "b"])
+    shared = F.size(F.array_intersect("left", "right"))
+    far = compared.filter(F.lit(s) * (F.col("d_a") + F.col("d_b") - 2 * shared) <= F.lit(k) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return to_pivot.unionByName(near).unionByName(far)
 
 
 # --- the operator ---------------------------------------------------------------
@@ -273,27 +348,13 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     )
     postings = _postings(classes, settings)
     short = stage(_checked(_both(_short_pairs(postings, settings), classes, "counts"), settings, overlap_bound), "pairs")
-    long = postings.filter(F.col("df") > settings.short)
-    long = stage(long.withColumn("component", F.col("rep")).withColumn("done", F.lit(False)), "lists")
+    long = postings.filter(F.col("df") > settings.short).select("token", "rep", "rare")
 
     involved = short.select(F.col("a").alias("rep")).unionByName(short.select(F.col("b").alias("rep"))).unionByName(long.select("rep")).distinct()
-    # one row of each class is enough: its least id, and that row once
-    needed = involved.select("rep", F.col("rep").alias("doc_id"))
-    sets = stage(_whole_sets(docs.filter("doc_id is not null"), needed, settings).dropDuplicates(["rep"]), "sets")
-
-    links = stage(_checked(_both(short, sets, "tokens"), settings, _shared_tokens), "links")
-    pivots = 1
-    while True:
-        found = stage(components(links), "components")
-        long = _relabel(long, found)
-        if long.isEmpty():
-            break
-        pairs = _checked(_both(_pivot_pairs(long, pivots, settings), classes, "counts"), settings, overlap_bound)
-        fresh = _checked(_both(pairs, sets, "tokens"), settings, _shared_tokens)
-        links = stage(links.unionByName(fresh), "links")
-        order = Window.partitionBy("token", "done").orderBy("rare", "rep")
-        long = stage(long.withColumn("done", F.col("done") | (F.row_number().over(order) <= pivots)), "lists")
-        pivots *= 8
+    sets = stage(_whole_sets(docs, involved.join(classes.select("rep", "key"), "rep"), settings), "sets")
+    diffs = stage(_differences(long, sets, settings), "differences")
+    links = _checked(_both(short, sets, "tokens"), settings, _shared_tokens).unionByName(_links_around_pivots(diffs, settings))
+    found = components(links)
 
     member = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("key", F.coalesce("component", "rep").alias("component_id"))
@@ -306,14 +367,3 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` without those that a link leads from to a lesser id; rows without id stay."""
     found = jaccard_components(docs, settings)
     return docs.join(found.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-
-
-def _relabel(long: DataFrame, found: DataFrame) -> DataFrame:
-    """Long lists with the components so far, without those that lie in one or are used up."""
-    labelled = long.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
-    open_ = (
-        labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("done").alias("all_done"))
-        .filter("low <> high and not all_done").select("token")
-    )
-    return stage(labelled.join(open_, "token"), "lists")
