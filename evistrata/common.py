@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Parts that the range of an order is cut into.
-CHUNKS = 1024
+CHUNKS = 1 << 14
 
 
 def as_col(value: str | Column) -> Column:

@@ -180,9 +180,16 @@ def coverage_text(value: str | Column) -> Column:
     return case_fold(collapse_space(F.regexp_replace(F.coalesce(as_col(value), F.lit("")), "[`*_]", "")))
 
 
+# Letters whose case folding is not their lower case.
+FOLDED = {"ß": "ss", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn", "ſ": "s"}
+
+
 def case_fold(value: str | Column) -> Column:
-    """Lower case by way of upper case, which spells out ß and ligatures, with one form of sigma."""
-    return F.replace(F.lower(F.upper(as_col(value))), F.lit("ς"), F.lit("σ"))
+    """Lower case with ß and the Latin ligatures spelled out and one form of sigma."""
+    folded = F.lower(as_col(value))
+    for letter, spelled in FOLDED.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(spelled))
+    return folded
 
 
 def missing_qualifiers(sentence: str | Column, required: str | Column) -> Column:

@@ -162,7 +162,7 @@ def p32(spark, d):
 
 
 @query("p33_coverage_text", r"""
-select conv_id, turn, md5(lower(trim(regexp_replace(replace(replace(replace(text, '*', ''), '_', ''), '`', ''), '[\s\pZ]+', ' ', 'g')))) as digest from conversations""")
+select conv_id, turn, md5(replace(lower(trim(regexp_replace(replace(replace(replace(text, '*', ''), '_', ''), '`', ''), '[\s\pZ]+', ' ', 'g'))), 'ß', 'ss')) as digest from conversations""")
 def p33(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.coverage_text("text")).alias("digest"))
 

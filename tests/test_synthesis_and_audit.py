@@ -27,7 +27,7 @@ def test_section_rules(spark):
     reasons = {r.section_id: r.reasons for r in selection.filter("study_id = 'study_0'").collect()}
     assert reasons["some"] == ["outcome_domain_not_matched", "support_relation_not_matched"]
     assert (reasons["none"], reasons["bare"], reasons["odd"]) == (["no_evidence_requested"], ["no_selection_rule"], ["no_supported_filter"])
-    memos = S.evidence_memos(S.section_members(selection), o, size=4, prefix=7)
+    memos = S.evidence_memos(S.section_members(selection), o, size=4)
     assert rows(memos.filter("section_id = 'all'").select("memo_id", F.size("items")), "memo_id") == [("all_batch_001", 4), ("all_batch_002", 4), ("all_batch_003", 2)]
     assert A.dropped_evidence(s, S.memo_studies(memos)).count() == 0
     calls = extend.write_sections(memos, selection.select("section_id").distinct(), lambda section, items: {"section_text": section, "claims": []})
