@@ -241,37 +241,50 @@ def _shared_tokens(left: bytes, right: bytes) -> int:
 
 
 def _whole_sets(docs: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
-    """``rep, n, tokens`` of the documents that stand for the needed classes."""
-    rows = texts(docs).join(needed.select("rep", F.col("rep").alias("doc_id"), "key"), "doc_id")
+    """``rep, long, n, tokens`` of the documents that stand for the needed classes."""
+    rows = texts(docs).join(needed.select("rep", "long", F.col("rep").alias("doc_id"), "key"), "doc_id")
 
     def make():
         def work(batch):
-            found: dict[str, list] = {"rep": [], "n": [], "tokens": []}
-            for rep, text, key in zip(*(batch.column(name).to_pylist() for name in ("rep", "text", "key"))):
+            found: dict[str, list] = {"rep": [], "long": [], "n": [], "tokens": []}
+            for rep, long, text, key in zip(*(batch.column(name).to_pylist() for name in ("rep", "long", "text", "key"))):
                 words = words_of(text)
                 if class_key(words) == key:  # ids may repeat with other texts
                     tokens = tokens_of(words, settings.width)
-                    for name, value in zip(found, (rep, len(tokens), tokens.tobytes())):
+                    for name, value in zip(found, (rep, long, len(tokens), tokens.tobytes())):
                         found[name].append(value)
             return found
 
         return work
 
     kind = needed.schema["rep"].dataType.simpleString()
-    return map_batches(rows.select("rep", "text", "key"), make, f"rep {kind}, n long, tokens binary")
+    return map_batches(rows.select("rep", "long", "text", "key"), make, f"rep {kind}, long boolean, n long, tokens binary")
 
 
 # --- long lists -------------------------------------------------------------------
 
+def _pivots(long: DataFrame) -> DataFrame:
+    """``token, pivot``: the member with the fewest rare tokens, then twice the best pivot of the lists that this one is in.
+
+    The lists of a group of near copies come to share one pivot that way.  A pivot need not be
+    a member of its list: any document will do as the centre, as long as a list has just one.
+    """
+    chosen = long.groupBy("token").agg(F.min(F.struct("rare", "rep")).alias("p"))
+    best = long.select("token", "rep").join(chosen, "token").groupBy("rep").agg(F.min("p").alias("q"))
+    for _ in range(2):
+        chosen = chosen.join(best, F.col("p.rep") == F.col("rep")).select("token", F.col("q").alias("p"))
+    return chosen.select("token", F.col("p.rep").alias("pivot"))
+
+
 def _differences(long: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """``pivot, rep, n, d, linked, diff``: each member of a long list against the list's pivot.
 
     ``diff`` holds the ``d`` tokens that only one of the two sets has.
     """
-    pivots = long.groupBy("token").agg(F.min(F.struct("rare", "rep"))["rep"].alias("pivot"))
+    pivots = _pivots(long)
     pairs = long.join(pivots, "token").filter("rep <> pivot").select("pivot", "rep").distinct()
-    own = pairs.join(sets, "rep")
-    both = own.join(sets.select(F.col("rep").alias("pivot"), F.col("tokens").alias("center")), "pivot")
+    own = pairs.join(sets.filter("long").select("rep", "n", "tokens"), "rep")
+    both = own.join(sets.filter("long").select(F.col("rep").alias("pivot"), F.col("n").alias("n_center"), F.col("tokens").alias("center")), "pivot")
     kind = sets.schema["rep"].dataType.simpleString()
 
     def make():
@@ -314,7 +327,10 @@ def _links_around_pivots(diffs: DataFrame, settings: Settings) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("elements"))
     )
     placed = ordered.select("pivot", "rep", "n", "d", "linked", F.posexplode("elements").alias("pos", "e"))
-    placed = stage(placed.select("pivot", "rep", "n", "d", "linked", "pos", F.col("e.element").alias("element")).filter("e.df > 1"), "elements")
+    placed = stage(placed.select("pivot", "rep", "n", "d", "linked", "pos", F.col("e.element").alias("element")).filter(
+        # a link leaves at most this many elements before the first shared one, whatever the other size
+        F.expr(f"e.df > 1 and {settings.numerator} * pos <= {k} * n")
+    ), "elements")
     need = f"(({s} * (x.d + y.d) - {k} * (x.n + y.n) + {2 * s - 1}) div {2 * s})"
     pairs = placed.filter("not linked").alias("x").join(placed.alias("y"), F.expr(
         f"x.pivot = y.pivot and x.element = y.element and (y.linked and x.rep <> y.rep or x.rep < y.rep) "
@@ -350,7 +366,8 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     short = stage(_checked(_both(_short_pairs(postings, settings), classes, "counts"), settings, overlap_bound), "pairs")
     long = postings.filter(F.col("df") > settings.short).select("token", "rep", "rare")
 
-    involved = short.select(F.col("a").alias("rep")).unionByName(short.select(F.col("b").alias("rep"))).unionByName(long.select("rep")).distinct()
+    paired = short.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(False).alias("long"))
+    involved = paired.unionByName(long.select("rep", F.lit(True).alias("long"))).groupBy("rep").agg(F.max("long").alias("long"))
     sets = stage(_whole_sets(docs, involved.join(classes.select("rep", "key"), "rep"), settings), "sets")
     diffs = stage(_differences(long, sets, settings), "differences")
     links = _checked(_both(short, sets, "tokens"), settings, _shared_tokens).unionByName(_links_around_pivots(diffs, settings))
