@@ -179,13 +179,19 @@ def claims_with_verdicts(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     return claims.join(verdicts, "claim_id", "left").withColumn("verified", F.col("level").isNotNull())
 
 
-def relevant_documents(claims: DataFrame, documents: DataFrame, k: int = 3) -> DataFrame:
+def relevant_documents(claims: DataFrame, documents: DataFrame, k: int = 3, common: float = 0.1) -> DataFrame:
     """``k`` documents per claim sharing most distinct terms.
 
-    Terms meet in an equi-join, so pairs arise only from shared terms; they are
-    counted on the map side and the top-k limit runs before the last shuffle.
+    A term in more than the share ``common`` of all documents says nothing about any of them
+    and weighs zero; it forms no pairs.  The others meet in an equi-join, so pairs arise only
+    from shared terms; they are counted on the map side and the top-k limit runs before the
+    last shuffle.
     """
     asked = claims.select("claim_id", F.explode(search_terms(F.lower("claim"))).alias("term"))
     offered = documents.select("doc_id", F.explode(search_terms(F.lower("text"))).alias("term"))
+    offered = offered.join(asked.select("term").distinct(), "term", "left_semi")
+    total = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
+    telling = offered.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= F.lit(common) * total).select("term")
+    asked = asked.join(telling, "term", "left_semi")
     shared = offered.join(asked, "term").groupBy("claim_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     return top_k(shared, ["claim_id"], [F.col("shared").desc(), F.col("doc_id")], k)
