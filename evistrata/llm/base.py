@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -47,10 +48,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows reads files that outlive any executor and are the same
-    at every reading.
+    at every reading.  Spark drops the shuffle files of finished work when the driver collects
+    its garbage, which may take long; it is asked to here, so that the shuffles of one stage
+    do not stay on disk beside those of the next.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
