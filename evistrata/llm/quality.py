@@ -137,7 +137,7 @@ class Model:
 
 
 def train(vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int], settings: Settings) -> Model:
-    """Fit by stochastic gradient descent with per-feature rates (AdaGrad); both labels weigh the same.
+    """Fit by stochastic gradient descent with per-feature rates (AdaGrad) on the rows as they are.
 
     Without rows, or with one label only, the model gives the share of label 1 (no rows: 0.5).
     """
@@ -153,8 +153,6 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list
             model.bias = 30.0 if labels[0] else -30.0
         model.latent[:] = 0
         return model
-    share = target.mean()
-    weight = np.where(target > 0, 0.5 / share, 0.5 / (1 - share))
     rate, seen_bias = settings.rate, 1e-8
     seen, seen_latent = np.full(size, 1e-8), np.full((size, settings.rank), 1e-8)
     for _ in range(settings.epochs):
@@ -163,7 +161,7 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list
             chosen = order[begin : begin + settings.batch]
             at, value, starts = model.rows([vectors[i] for i in chosen])
             margin, terms, sums = model.margins(at, value, starts)
-            slope = weight[chosen] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target[chosen])
+            slope = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target[chosen]
             row = np.repeat(np.arange(len(chosen)), np.diff(np.append(starts, len(at))))
             touched, inverse = np.unique(at, return_inverse=True)
             spread = slope[row] * value
