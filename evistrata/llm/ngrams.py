@@ -55,7 +55,7 @@ class Settings:
     denominator: int = 5
     longest: int = 4
     verify_cost: int = 8
-    short: int = 32
+    short: int = 128
     frequent: int = 16
     order_entries: int = 1 << 17
 
