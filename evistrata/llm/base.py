@@ -106,17 +106,23 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
 
 
 def labelled_sample(rows: DataFrame, label: str, per_label: int) -> list[Row]:
-    """At most ``per_label`` rows of each label, chosen by a hash of ``doc_id``, on the driver.
+    """At most ``per_label`` rows of each label, chosen by a hash of ``doc_id``, on the driver."""
+    return counted_sample(rows, label, per_label)[0]
+
+
+def counted_sample(rows: DataFrame, label: str, per_label: int) -> tuple[list[Row], dict]:
+    """The rows of ``labelled_sample``, and how many rows each label has in all of ``rows``.
 
     The rows of every label are counted first (map-side), which gives the share of hash values
     to keep; so one task never sees more than about twice the rows asked for.
     """
     counts = {row[label]: row["count"] for row in rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if not counts:
-        return []
+        return [], counts
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.lit(False)
     for value, count in counts.items():
         wanted |= (F.col(label) == F.lit(value)) & (place < F.lit(min(1.0, 2.0 * per_label / count)))
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.filter(wanted).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label).drop("_rank").collect()
+    drawn = rows.filter(wanted).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label).drop("_rank")
+    return drawn.collect(), counts

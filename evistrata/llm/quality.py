@@ -6,12 +6,14 @@ Each feature has a weight and a short latent vector; pairs of features interact
 product of their vectors.  All pairs are summed in linear time,
 ``sum_{i<j} <v_i, v_j> x_i x_j = 1/2 (|sum v_i x_i|^2 - sum |v_i x_i|^2)``.
 
-Training reads a bounded sample of labelled rows; scoring reads every whole text.
+Training reads a bounded sample of labelled rows, in which each row stands for as many as its
+label has rows per row drawn; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evistrata.llm.base import filter_texts, labelled_sample, map_batches, texts, worker_state
+from evistrata.llm.base import counted_sample, filter_texts, map_batches, texts, worker_state
 
 STRUCTURE = (
     "upper", "digit", "symbol", "space", "other", "exclamation", "comma", "sentence_end", "bar",
@@ -136,8 +138,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(*self.rows(vectors))[0], -30, 30)))
 
 
-def train(vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int], settings: Settings) -> Model:
-    """Fit by stochastic gradient descent with per-feature rates (AdaGrad) on the rows as they are.
+def train(
+    vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int], settings: Settings, shares: list[float] | None = None
+) -> Model:
+    """Fit by stochastic gradient descent with per-feature rates (AdaGrad) on rows that count
+    as much as ``shares`` says, or all the same.
 
     Without rows, or with one label only, the model gives the share of label 1 (no rows: 0.5).
     """
@@ -145,8 +150,10 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list
     draw = np.random.default_rng(7)
     target = np.array(labels, float)
     dense = np.array([row[2] for row in vectors]).reshape(-1, len(DENSE))
-    mean = dense.mean(axis=0) if len(dense) else np.zeros(len(DENSE))
-    deviation = np.maximum(dense.std(axis=0), 1e-3) if len(dense) else np.ones(len(DENSE))
+    share = np.ones(len(labels)) if shares is None else np.array(shares, float) / max(np.mean(shares), 1e-12)
+    mean = np.average(dense, axis=0, weights=share) if len(dense) else np.zeros(len(DENSE))
+    spread = np.sqrt(np.average((dense - mean) ** 2, axis=0, weights=share)) if len(dense) else np.ones(len(DENSE))
+    deviation = np.maximum(spread, 1e-3)
     model = Model(0.0, np.zeros(size), draw.normal(0, 0.01, (size, settings.rank)), mean, deviation)
     if len(set(labels)) < 2:
         if labels:
@@ -161,7 +168,7 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list
             chosen = order[begin : begin + settings.batch]
             at, value, starts = model.rows([vectors[i] for i in chosen])
             margin, terms, sums = model.margins(at, value, starts)
-            slope = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target[chosen]
+            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target[chosen]) * share[chosen]
             row = np.repeat(np.arange(len(chosen)), np.diff(np.append(starts, len(at))))
             touched, inverse = np.unique(at, return_inverse=True)
             spread = slope[row] * value
@@ -184,11 +191,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", settings:
     """Fit on the rows of ``labels`` (``doc_id``, ``label`` 0 or 1) that have a document.
 
     The sample is drawn from the labels alone, by a hash of the id; the texts of the rows drawn
-    are then looked up.  Null labels, and rows without a document, teach nothing.  A document
+    are then looked up.  A row drawn counts as much as the rows of its label it stands for, so
+    that the model learns the shares of the labels whatever the size of the sample.  Null labels, and rows without a document, teach nothing.  A document
     labelled twice counts twice.
     """
     spark = docs.sparkSession
-    drawn = labelled_sample(labels.select("doc_id", label).filter(F.col(label).isin(0, 1)), label, settings.per_label)
+    drawn, rows_of = counted_sample(labels.select("doc_id", label).filter(F.col(label).isin(0, 1)), label, settings.per_label)
     if not drawn:
         return train([], [], settings)
     kind = labels.schema["doc_id"].dataType.simpleString()
@@ -214,8 +222,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", settings:
         row["doc_id"]: (np.array(row["buckets"], np.int64), np.array(row["weights"], float), np.array(row["dense"], float))
         for row in rows.collect()
     }
-    pairs = sorted((row["doc_id"], int(row[label])) for row in drawn if row["doc_id"] in vector)
-    return train([vector[key] for key, _ in pairs], [value for _, value in pairs], settings)
+    drawn_of = Counter(row[label] for row in drawn)
+    pairs = sorted((row["doc_id"], int(row[label]), rows_of[row[label]] / drawn_of[row[label]]) for row in drawn if row["doc_id"] in vector)
+    return train([vector[key] for key, _, _ in pairs], [value for _, value, _ in pairs], settings, [share for _, _, share in pairs])
 
 
 def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:

@@ -420,6 +420,15 @@ def test_quality_is_right_on_held_out_rows(spark):
     assert found.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] >= 0.95
 
 
+def test_quality_scores_hold_when_the_sample_is_far_smaller_than_the_labels(spark):
+    """Texts that say nothing about the label: the score is the share of label 1, however few rows of each label are drawn."""
+    rows = spark.range(2100).select(F.col("id").alias("doc_id"), F.lit("some words that both labels share").alias("text"), (F.col("id") % 7 > 0).cast("int").alias("quality"))
+    for per_label in (40, 200, 4000):
+        settings = quality.Settings(per_label=per_label)
+        found = quality.score(rows.limit(5), quality.learn(rows, rows, settings=settings), settings).collect()
+        assert all(abs(row.score - 6 / 7) < 0.05 and row.predicted for row in found), (per_label, found)
+
+
 def test_samples_are_bounded_and_repeatable(spark):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("label"))
     first, again = (labelled_sample(rows.repartition(n), "label", 50) for n in (3, 7))
