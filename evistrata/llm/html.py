@@ -25,6 +25,9 @@ NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # How HTML elements behave.
 RAW = frozenset("script style textarea title noscript template svg math iframe object select option canvas xmp noembed noframes".split())
+ENDLESS = frozenset("script style textarea title".split())  # without an end tag they hold the rest of the page
+UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]+/$")
+OPTION_STOP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span "
@@ -88,13 +91,50 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends in ``/>``, and the slash is not part of an unquoted value."""
+    return attributes.endswith("/") and not UNQUOTED_SLASH.search(attributes)
+
+
+def _ends(html: str, name: str) -> dict[int, int]:
+    """Where each element ``name`` that has an end tag starts, and where that end tag ends.
+
+    An end tag belongs to the last open start tag; comments, scripts and styles are passed over.
+    """
+    tag = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1|\Z)|<(/?){re.escape(name)}(?=[\s/>]|\Z)([^>]*)(?:>|\Z)", re.S | re.I)
+    opened, found = [], {}
+    for match in tag.finditer(html):
+        if match[2] is None:
+            continue
+        if match[2]:
+            if opened:
+                found[opened.pop()] = match.end()
+        elif not _self_closed(match[3]):
+            opened.append(match.start())
+    return found
+
+
+def _option_end(html: str, at: int) -> int:
+    """Where an option ends whose tag ends at ``at``: at its end tag, or the next tag that it can't hold."""
+    for match in OPTION_STOP.finditer(html, at):
+        name = match[2].lower()
+        if match[1] and name == "option":
+            end = html.find(">", match.end())
+            return end + 1 if end >= 0 else len(html)
+        if name not in INLINE:
+            return match.start()
+    return len(html)
+
+
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order.
 
     Unclosed and crossed tags are tolerated: an end tag closes everything up to its start tag
     and is ignored if there is none; a new ``<p>`` ends an open one; a tag cut off by the end
-    of the page is dropped.
+    of the page is dropped.  An element that is skipped whole ends at its own end tag; without
+    one only the tag is skipped, but for those in ``ENDLESS``.
     """
+    ends: dict[str, dict[int, int]] = {}
     found: list[Block] = []
     open_tags: list[tuple[str, bool, bool]] = []
     pieces: list[str] = []
@@ -152,10 +192,19 @@ def blocks(html: str) -> list[Block]:
                 if last[0] == name:
                     break
             continue
-        if name in RAW:
+        if name in ENDLESS:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
+        if name == "option":
+            at = _option_end(html, at)
+            continue
+        if name in RAW:
+            if not _self_closed(token[3]):
+                if name not in ends:
+                    ends[name] = _ends(html, name)
+                at = ends[name].get(tag, at)
+            continue
         if name not in INLINE:
             close()
             if name in ("p", "li", "tr", "td", "th", "dt", "dd") or re.fullmatch("h[1-6]", name):
@@ -178,10 +227,11 @@ def blocks(html: str) -> list[Block]:
                 close_links = links
                 pieces.clear()
                 close()
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                if name not in ends:
+                    ends[name] = _ends(html, name)
                 open_tags.pop()
                 in_link -= name == "a"
-                at = end.end() if end else len(html)
+                at = ends[name].get(tag, at)
                 pieces[:] = pending
                 links = close_links
             continue

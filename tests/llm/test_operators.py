@@ -343,6 +343,27 @@ def test_pages_without_article_inherit_from_neighbours():
     assert html.main_text(page) == f"x\n\nTitle\n\n{long}\n\nOk.\n\n{long}\n\nEnd."
 
 
+@pytest.mark.parametrize(
+    "skipped",
+    [
+        '<svg class="i"/>', "<math/>", '<svg viewBox="0 0 1 1" /><b></b>', "<object data=x>", "<iframe src=x>", "<iframe src=x />", "<canvas>", "<select>", "<noscript>",
+        "<option>A<option>B</option>", "<svg><svg><text>in</text></svg><text>out</text></svg>", "<svg><!-- <svg> --><text>in</text></svg>", "<svg><text>in</text></svg>",
+        '<span class="ad">', '<span class="ad"><span>in</span> out</span>', "<span hidden><span>in</span><span>in</span> out</span>",
+    ],
+)
+def test_skipped_elements_take_no_text_after_them(skipped):
+    page = f"<article><p>Before {skipped} after</p><p>Next</p><svg><text>icon</text></svg><p>Last</p></article>"
+    assert html.main_text(page) == "Before after\n\nNext\n\nLast"
+
+
+def test_options_without_end_tag_stop_at_the_parents_end():
+    assert html.main_text("<article><datalist><option>A<option>B <b>C</b></datalist><p>Text</p><option>D<p>More</p></article>") == "Text\n\nMore"
+
+
+def test_script_without_end_takes_the_rest():
+    assert html.main_text("<article><p>Text</p><script>var a = 1; <p>b</p></article>") == "Text"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<a href='x'>", "</a>", "<div class=ad>", "</div>", "<", ">", "&amp", "&#x41;", "a b", "<!--", "-->", "<script>", "</script>", "<article>", "\n"]), max_size=25))
 def test_broken_pages_do_not_fail(parts):
