@@ -1,7 +1,8 @@
 """Main-text extraction from web pages by two-pass block rules.
 
 The page is cut into blocks at block-level tags.  The first pass classifies each block by the
-container it stands in, by stop-word density, length and link density.  Short or middling
+container it stands in, by stop-word density, length and link density.  An article speaks for
+the blocks in it, and a class or id against them; neither decides over the rest of the page.  Short or middling
 blocks stay ambiguous; in the second pass they inherit the label of their nearest decided
 neighbour, good ones winning a tie.
 """
@@ -40,6 +41,12 @@ CHROME_NAMES = frozenset(
     "header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond share sharing "
     "shoutbox sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside a chrome name in a class or id without changing what it says.
+NEUTRAL_NAMES = frozenset(
+    "area articles bar block bottom box button buttons col column container global group icon icons inner item items left link links list main page "
+    "posts primary right row secondary section site text top wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 STOP_WORDS = frozenset(
     # English
@@ -61,12 +68,15 @@ GOOD, BAD, UNSURE = "good", "bad", "unsure"
 @dataclass(frozen=True)
 class Limits:
     """A block over ``link_density`` is chrome.  One of at least ``long_chars`` with a share of
-    ``stop_words`` is text, and chrome with fewer than ``few_stop_words``; the rest is ambiguous."""
+    ``stop_words`` is text, and chrome with fewer than ``few_stop_words``; the rest is ambiguous.
+    Where a class or id speaks for chrome, text takes ``named_chars`` and at most ``named_links``."""
 
     link_density: float = 0.5
     long_chars: int = 70
     stop_words: float = 0.25
     few_stop_words: float = 0.08
+    named_chars: int = 200
+    named_links: float = 0.2
 
 
 @dataclass
@@ -75,9 +85,26 @@ class Block:
     link_chars: int
     chrome: bool
     article: bool
+    named: bool = False
+
+
+def _names_chrome(value: str, in_article: bool) -> bool:
+    """Whether a class or id has a token that says chrome as a whole.
+
+    Each part of such a token is a chrome name or a neutral word: ``cookie-notice`` and
+    ``share-buttons`` are chrome, ``related-work`` and ``entry-header`` are not.  In an article
+    a header is its own, as with the tag.
+    """
+    for token in value.split():
+        parts = [part.lower() for part in NAME_PART.findall(token)]
+        names = [part for part in parts if part in CHROME_NAMES and not (in_article and part == "header")]
+        if names and all(part in CHROME_NAMES or part in NEUTRAL_NAMES for part in parts):
+            return True
+    return False
 
 
 def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether the tag, its role or its state make an element chrome."""
     if tag in CHROME_TAGS:
         return not (in_article and tag == "header")
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
@@ -86,7 +113,17 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in CHROME_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body") and any(part.lower() in CHROME_NAMES for part in NAME_PART.findall(value)):
+    return False
+
+
+def _is_named(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether a class or id speaks for chrome; ids of headings and of an article's sections are anchors."""
+    if not attributes or tag in ("html", "body"):
+        return False
+    anchor = tag in HEADINGS or tag in ARTICLE_TAGS or in_article and tag == "section"
+    for name, value in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if (name == "class" or name == "id" and not anchor) and _names_chrome(value.strip("\"'"), in_article):
             return True
     return False
 
@@ -136,10 +173,10 @@ def blocks(html: str) -> list[Block]:
     """
     ends: dict[str, dict[int, int]] = {}
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []
+    open_tags: list[tuple[str, bool, bool, bool]] = []
     pieces: list[str] = []
     links = 0
-    chrome = article = False
+    chrome = article = named = False
     in_link = 0
 
     def close() -> None:
@@ -147,7 +184,7 @@ def blocks(html: str) -> list[Block]:
         if pieces:
             text = SPACE.sub(" ", unescape("".join(pieces))).strip()
             if text:
-                found.append(Block(text, links, chrome, article))
+                found.append(Block(text, links, chrome, article, named))
             pieces.clear()
         links = 0
 
@@ -188,7 +225,7 @@ def blocks(html: str) -> list[Block]:
                     close()
                 elif last[0] == "a":
                     in_link -= 1
-                chrome, article = last[1], last[2]
+                chrome, article, named = last[1:]
                 if last[0] == name:
                     break
             continue
@@ -212,16 +249,17 @@ def blocks(html: str) -> list[Block]:
                 while open_tags and (open_tags[-1][0] in INLINE or open_tags[-1][0] == "p"):
                     last = open_tags.pop()
                     in_link -= last[0] == "a"
-                    chrome, article = last[1], last[2]
+                    chrome, article, named = last[1:]
                     if last[0] == "p":
                         break
         if name in VOID or token[3].endswith("/"):
             continue
         now = _is_chrome(name, token[3], article)
-        open_tags.append((name, chrome, article))
+        called = _is_named(name, token[3], article)
+        open_tags.append((name, chrome, article, named))
         if name in INLINE:
             in_link += name == "a"
-            if now and not chrome:
+            if (now or called) and not chrome:
                 # a hidden or chrome-named span: its text stands alone
                 pending = pieces[:]
                 close_links = links
@@ -235,25 +273,32 @@ def blocks(html: str) -> list[Block]:
                 pieces[:] = pending
                 links = close_links
             continue
-        chrome = chrome or now
+        chrome, named = chrome or now, named or called
         article = article or name in ARTICLE_TAGS
     close()
     return found
 
 
-def classify(block: Block, limits: Limits = Limits(), has_article: bool = False) -> str:
+def _stop_share(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(word in STOP_WORDS for word in words) / len(words) if words else 0.0
+
+
+def classify(block: Block, limits: Limits = Limits()) -> str:
     """First pass."""
     if block.chrome:
         return BAD
     density = block.link_chars / len(block.text)
+    if block.named:
+        text = len(block.text) >= limits.named_chars and density <= limits.named_links and _stop_share(block.text) >= limits.stop_words
+        return GOOD if text else BAD
     if block.article:
         return BAD if density > limits.link_density and block.link_chars >= limits.long_chars else GOOD
-    if has_article or density > limits.link_density:
+    if density > limits.link_density:
         return BAD
-    words = WORD.findall(block.text.lower())
-    share = sum(word in STOP_WORDS for word in words) / len(words) if words else 0.0
     if len(block.text) < limits.long_chars:
         return UNSURE
+    share = _stop_share(block.text)
     if share >= limits.stop_words:
         return GOOD
     return BAD if share < limits.few_stop_words else UNSURE
@@ -277,8 +322,7 @@ def decide(labels: list[str]) -> list[bool]:
 
 def main_text(html: str, limits: Limits = Limits()) -> str:
     page = blocks(html)
-    has_article = any(block.article and not block.chrome for block in page)
-    kept = decide([classify(block, limits, has_article) for block in page])
+    kept = decide([classify(block, limits) for block in page])
     return "\n\n".join(block.text for block, keep in zip(page, kept) if keep)
 
 

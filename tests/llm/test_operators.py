@@ -343,6 +343,35 @@ def test_pages_without_article_inherit_from_neighbours():
     assert html.main_text(page) == f"x\n\nTitle\n\n{long}\n\nOk.\n\n{long}\n\nEnd."
 
 
+LONG = "The man and the dog were in the house when it was dark and they had to go to the town for the food."
+
+
+@pytest.mark.parametrize(
+    "opening, closing",
+    [('<section id="related-work">', "</section>"), ('<section id="comments">', "</section>"), ('<div class="entry-header">', "</div>"), ('<div class="share-prices">', "</div>"), ('<div class="header">', "</div>")],
+)
+def test_names_of_sections_are_no_chrome(opening, closing):
+    assert html.main_text(f"<article>{opening}<h1>Title</h1><p>{LONG}</p>{closing}<p>End.</p></article>") == f"Title\n\n{LONG}\n\nEnd."
+
+
+@pytest.mark.parametrize("heading", ['<h2 id="social-effects">', '<h2 id="share-prices">', '<h2 id="share">', '<h2 id="related-work">'])
+def test_anchors_of_headings_are_no_chrome(heading):
+    assert html.main_text(f"<article><p>{LONG}</p>{heading}Title</h2><p>{LONG}</p></article>") == f"{LONG}\n\nTitle\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "share-buttons", "siteFooter", "left sidebar", "related-posts", "nav_main"])
+def test_chrome_names_drop_short_blocks_and_long_text_overrules_them(name):
+    page = "<article><p>Text</p><div class='{0}'><p>{1}</p></div></article>"
+    assert html.main_text(page.format(name, LONG)) == "Text"
+    assert html.main_text(page.format(name, f"{LONG} {LONG} {LONG}")) == f"Text\n\n{LONG} {LONG} {LONG}"
+    assert html.main_text(page.format(name, f"{LONG} {LONG} <a href='x'>{LONG}</a>")) == "Text"
+
+
+def test_text_outside_a_teaser_article_is_kept():
+    page = f"<nav>Menu</nav><h1>Title</h1><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><nav>More</nav><article><p>Teaser</p></article><footer>{LONG}</footer>"
+    assert html.main_text(page) == f"Title\n\n{LONG}\n\nShort.\n\n{LONG}\n\nTeaser"
+
+
 @pytest.mark.parametrize(
     "skipped",
     [
