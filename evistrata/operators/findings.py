@@ -180,10 +180,10 @@ def claims_with_verdicts(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def relevant_documents(claims: DataFrame, documents: DataFrame, k: int = 3, common: float = 0.1) -> DataFrame:
-    """``k`` documents per claim sharing most distinct terms.
+    """``k`` documents per claim sharing most distinct terms that are not common.
 
-    A term in more than the share ``common`` of all documents says nothing about any of them
-    and weighs zero; it forms no pairs.  The others meet in an equi-join, so pairs arise only
+    A term in more than the share ``common`` of all documents weighs zero; it forms no pairs.
+    A claim that has only such terms gets no row.  The others meet in an equi-join, so pairs arise only
     from shared terms; they are counted on the map side and the top-k limit runs before the
     last shuffle.
     """
