@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -424,6 +425,26 @@ def test_language_of_awkward_rows(spark, docs, awkward, no_docs):
     assert {r.lang_pred for r in language.identify(awkward, {"en": b"the"}).collect()} == {"en", "und"}
 
 
+def test_mixed_and_unknown_languages_are_rejected_and_clean_texts_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null and length(text) between 400 and 4000").orderBy("doc_id")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    learned = language.learn(docs)
+    draw, of = random.Random(3), {}
+    for row in rows:
+        of.setdefault(row.lang, []).append(row.text)
+    mixed = [of["en"][i][:600] + " " + of["fr"][i][:600] + " " + of["de"][i][:600] + " " + of["es"][i][:600] for i in range(20)]
+    noise = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (300, 600, 1200, 2400, 4800) for _ in range(8)]
+    cases = [(i, text) for i, text in enumerate(mixed + noise)] + [(1000 + i, row.text) for i, row in enumerate(rows)]
+    found = language.identify(spark.createDataFrame(cases, "doc_id long, text string"), learned).collect()
+    share = lambda low, high: np.mean([r.accepted for r in found if low <= r.doc_id < high])
+    assert share(20, 60) == 0 and share(0, 20) <= 0.1 and share(1000, 10**9) >= 0.99
+
+
+def test_a_difference_of_one_byte_is_no_margin():
+    judge = language._judge({"a": b"the cat and the dog", "b": b"le chat et le chien"}, language.Settings(min_bytes=1000))
+    assert not judge("the cat and the dog")[3]
+
+
 def test_language_is_right_on_held_out_rows(spark):
     from evistrata.llm.queries import QUERIES
 
