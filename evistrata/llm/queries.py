@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.llm import bpe, chat, dedup, html, language, lines, ngrams, packing, quality, tokenfile
-from evistrata.llm.base import held_out, scratch_path, table
+from evistrata.llm import bpe, chat, dedup, html, language, lines, ngrams, packing, quality, repair, secret_scan, tokenfile, whitening
+from evistrata.llm.base import held_out, scratch_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -211,3 +211,122 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.learn(docs, quality_training_labels(spark, sf_dir)))
     return scored.withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+
+
+# --- 11 ---------------------------------------------------------------------
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"), components=8)
+
+
+# --- 12 ---------------------------------------------------------------------
+
+def damage(conversations: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` with the faults that crc32 of ``conv_id:turn`` gives them; nulls are one space."""
+    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20
+    text = F.when(code == 1, "").when(code == 2, F.regexp_replace(part("text"), "[.!?]", "")).otherwise(part("text"))
+    role = F.when(code == 4, "user").otherwise(part("role"))
+    times = F.when(code == 3, 2).otherwise(1)
+    return conversations.filter(code != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("times"))
+
+
+#: One step of the dynamic programme per row; an entry is the cost of a state and the least edits that reach it.
+REPAIR_SQL = r"""
+with recursive coded as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(list_reduce(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)),
+            lambda c, b: list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b::bigint)), 4294967295::bigint), 4294967295) % 20 as code
+    from conversations
+), damaged as (
+    select conv_id, turn, case when code = 4 then 'user' else role end as role,
+        case when code = 1 then '' when code = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when code = 3 then 2 else 1 end)) as copy
+    from coded where code <> 0
+), numbered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i,
+        row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth from damaged
+), marked as (
+    select *, left(role, 1) as initial, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when nth > 1 then 'duplicate'
+        when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault,
+        left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) as pair from numbered
+), priced as (
+    select conv_id, i, case when fault in ('blank', 'duplicate') then 1000000000 when fault = 'truncated' then 3 else 0 end as base, initial from marked
+), moves as (
+    select conv_id, i, case when initial = 's' then base else 1000000000 end as m1, base + case when initial = 'u' then 0 else 3 end as m2, if(initial = 'u', 'K', 'R') as l2,
+        base + case when initial = 'a' then 0 else 3 end as m3, if(initial = 'a', 'K', 'R') as l3 from priced
+), steps as (
+    select conv_id, 0::bigint as i, {'c': 0::bigint, 'a': ''} as x0, {'c': 1000000000::bigint, 'a': ''} as x1, {'c': 3::bigint, 'a': 'I'} as x2, {'c': 6::bigint, 'a': 'II'} as x3
+    from (select distinct conv_id from marked)
+    union all
+    select conv_id, i, w0, w1,
+        list_min([w2, {'c': w0.c + 3, 'a': w0.a || 'I'}, {'c': w1.c + 3, 'a': w1.a || 'I'}, {'c': w3.c + 3, 'a': w3.a || 'I'}]),
+        list_min([w3, {'c': w2.c + 3, 'a': w2.a || 'I'}, {'c': w0.c + 6, 'a': w0.a || 'II'}, {'c': w1.c + 6, 'a': w1.a || 'II'}])
+    from (select m.conv_id, m.i, {'c': x0.c + 4, 'a': x0.a || 'D'} as w0, list_min([{'c': x1.c + 4, 'a': x1.a || 'D'}, {'c': x0.c + m1, 'a': x0.a || 'K'}]) as w1,
+            list_min([{'c': x2.c + 4, 'a': x2.a || 'D'}, {'c': x0.c + m2, 'a': x0.a || l2}, {'c': x1.c + m2, 'a': x1.a || l2}, {'c': x3.c + m2, 'a': x3.a || l2}]) as w2,
+            list_min([{'c': x3.c + 4, 'a': x3.a || 'D'}, {'c': x2.c + m3, 'a': x2.a || l3}]) as w3
+        from steps s join moves m on m.conv_id is not distinct from s.conv_id and m.i = s.i + 1)
+), counted as (
+    select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+        count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+    from marked group by conv_id
+), best as (
+    select c.*, list_min([x0, x3]) as b from counted c join steps s on c.conv_id is not distinct from s.conv_id and c.n = s.i
+), letters as (
+    select conv_id, k, b.a[k] as edit from (select conv_id, b, unnest(range(1, length(b.a) + 1)) as k from best)
+), placed as (
+    select *, count(*) filter (edit <> 'I') over (partition by conv_id order by k) as i, count(*) filter (edit <> 'D') over (partition by conv_id order by k) as o from letters
+), joined as (
+    select p.conv_id, p.k, p.o, p.edit, m.role, m.text from placed p left join marked m on m.conv_id is not distinct from p.conv_id and m.i = p.i and p.edit <> 'I' where p.edit <> 'D'
+), headed as (
+    select *, max((o = 1 and edit = 'K' and left(role, 1) = 's')::int) over (partition by conv_id) as head from joined
+), hashed as (
+    select conv_id, sha256(string_agg(case when edit = 'K' then role when (o - head) % 2 = 1 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else text end, chr(10) order by k)) as sha
+    from headed group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+    coalesce(illegal, 0)::bigint as illegal, coalesce(b.b.c, 0)::bigint as cost, coalesce(b.b.a, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join best b on b.conv_id is not distinct from o.conv_id left join hashed h on h.conv_id is not distinct from o.conv_id
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "conversations")
+    rows = damage(stored)
+    plan = stage(repair.plan_repair(rows, ids=stored), "repair-plan")
+    return plan.join(repair.repaired_digests(rows, plan).withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
+
+
+# --- 13 ---------------------------------------------------------------------
+
+def _rule_sql(number: int, rule: secret_scan.Rule) -> str:
+    pattern, keep = ("'" + value.replace("'", "''") + "'" for value in ("[0-9a-f]+" if rule.kind == "hex" else rule.pattern, rule.keep or rule.pattern))
+    return f"""select r, {number} as n, '{rule.kind}' as kind, m, begin from (
+        select r, m, sum(length(p) + length(m)) over (partition by r order by i) - length(m) as begin
+        from (select r, i, ms[i] as m, ps[i] as p from (select r, ms, ps, unnest(range(1, len(ms) + 1)) as i
+            from (select r, regexp_extract_all(text, {pattern}) as ms, string_split_regex(text, {pattern}) as ps from t)))
+        ) where regexp_full_match(m, {keep})"""
+
+
+SECRETS_SQL = f"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+hits as ({' union all '.join(_rule_sql(i, rule) for i, rule in enumerate(secret_scan.RULES))}),
+spans as (select r, n, begin, kind || ':' || begin::bigint || ':' || (begin + length(m))::bigint as span from hits)
+select doc_id, count(*) filter (n = 0) as n_assign, count(*) filter (n = 1) as n_access, count(*) filter (n = 2) as n_hex,
+    sha256(coalesce(string_agg(span, ',' order by begin, n) filter (n < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by begin, n), '') as spans
+from t left join spans using (r) group by r, doc_id
+"""
+
+
+@query("op13_secret_scan", SECRETS_SQL)
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = [rule.kind for rule in secret_scan.BASE_RULES]
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    own = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select("doc_id", *map(of, base), F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -22,8 +22,8 @@ def test_query_equals_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, SF_DIR)) == sql_rows(connection(SF_DIR), ORACLE[name])
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_native_queries_run_no_python(spark):
