@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from zstandard import ZstdCompressor, ZstdDecompressor
 
 from evistrata.llm.base import map_batches, remove, scratch_path, texts
 from evistrata.llm.tokens import library_encoder, vocabulary_size
@@ -39,57 +38,81 @@ def _shuffles() -> tuple[np.ndarray, np.ndarray]:
 SHUFFLES, MASKS = _shuffles()
 
 
-def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
+def pack_rows(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of all rows, and how many of each a row has.
+
+    ``values`` holds the unsigned 32-bit values of all rows end to end; a row starts a control
+    byte of its own.
+    """
     widest = 4 if len(values) and values.max() > 0xFFFF else 2
     values = np.ascontiguousarray(values, f"<u{widest}")
     widths = 1 + (values > 0xFF).astype(np.uint8)
     if widest == 4:
         widths += (values > 0xFFFF).astype(np.uint8) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = widths - 1
+    groups = -(-lengths // 4)
+    codes = np.zeros(4 * int(groups.sum()), np.uint8)
+    ends = np.cumsum(lengths)
+    codes[np.arange(len(values)) + np.repeat(4 * np.cumsum(groups) - 4 * groups - ends + lengths, lengths)] = widths - 1
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
     data = values.view(np.uint8).reshape(-1, widest)[np.arange(widest, dtype=np.uint8) < widths[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    before = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+    return control.astype(np.uint8), data, groups, before[ends] - before[ends - lengths]
 
 
-def unpack_values(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The ``count`` values behind control and data bytes, by table lookup.
+def unpack_rows(control: np.ndarray, data: np.ndarray, groups: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The values of all rows end to end, by table lookup.
 
-    The last control byte may speak of up to three one-byte values that are not there.
+    A row has ``groups`` control bytes, ``lengths`` values, and its data bytes from ``starts``
+    on.  Its last control byte may speak of up to three one-byte values that are not there.
     """
-    codes = np.frombuffer(control, np.uint8)
     stock = np.zeros(len(data) + 4, np.uint8)
-    stock[: len(data)] = np.frombuffer(data, np.uint8)
-    totals = TOTALS[codes]
-    found = stock[SHUFFLES[codes] + (np.cumsum(totals) - totals)[:, None]]
-    found &= MASKS[codes]
-    return found.view("<u4").ravel()[:count]
+    stock[: len(data)] = data
+    totals = TOTALS[control]
+    place = np.cumsum(totals) - totals
+    ends = np.cumsum(groups)
+    some = groups > 0
+    place += np.repeat(starts[some] - place[(ends - groups)[some]], groups[some])
+    found = stock[np.minimum(SHUFFLES[control] + place[:, None], len(data) + 3)]
+    found &= MASKS[control]
+    real = np.ones(4 * len(control), bool)
+    spare = 4 * groups - lengths
+    for back in (1, 2, 3):
+        real[4 * ends[spare >= back] - back] = False
+    return found.view("<u4").ravel()[real]
+
+
+def binary_rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of ``sizes`` bytes cut from ``data`` without a copy per row."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, end to end, and where each row starts; the last entry is the end."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return whole, at - at[0]
 
 
 def _tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> DataFrame:
-    """Ids per row, compressed, and with the first row of each batch the counts of the batch's ids."""
+    """Ids per row as bytes, and with the first row of each batch the counts of the batch's ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        encode, shrink = library_encoder(tokenizer_path), ZstdCompressor(level=1)
+        encode = library_encoder(tokenizer_path)
 
         def work(batch):
             ids, lengths = encode(batch.column("text").to_pylist())
-            parts = np.split(ids, np.cumsum(lengths)[:-1])
-            whole = [np.append(part, np.int32(end_id)) for part in parts]
-            counts = np.bincount(ids)
-            counts = np.pad(counts, (0, max(0, end_id + 1 - len(counts))))
-            rows = len(whole)
-            counts[end_id] += rows
+            whole = np.insert(ids, np.cumsum(lengths), end_id).astype(width)
+            counts = np.bincount(whole)
             seen = np.flatnonzero(counts)
-            times = counts[seen]
             return {
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": lengths + 1,
-                "ids": [shrink.compress(part.astype(width).tobytes()) for part in whole],
-                "seen": [seen] + [None] * (rows - 1),
-                "times": [times] + [None] * (rows - 1),
+                "ids": binary_rows(whole.view(np.uint8), (lengths + 1) * whole.itemsize),
+                "seen": [seen] + [None] * (len(lengths) - 1),
+                "times": [counts[seen]] + [None] * (len(lengths) - 1),
             }
 
         return work
@@ -103,7 +126,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     Null and empty texts are ``end_id`` alone.  Null ids come first; rows that repeat an id
     stay next to each other, ordered by content.  An empty table gives an empty corpus.
 
-    Two passes: the ids are kept compressed in the shared folder while their frequencies are
+    Two passes: the ids are kept in the shared folder while their frequencies are
     counted, then sorted by ``doc_id`` across the shards, ranked and written.  Only the
     dictionary, at most one row per token of the vocabulary, passes through the driver.
     """
@@ -111,7 +134,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     kept = scratch_path(spark, "token-ids")
     width = "<u2" if vocabulary_size(tokenizer_path) <= 1 << 16 and end_id < 1 << 16 else "<u4"
     staged = _tokenise(texts(docs), tokenizer_path, end_id, width)
-    staged.write.option("compression", "none").parquet(kept)
+    staged.write.option("compression", "zstd").parquet(kept)
     staged = spark.read.schema(staged.schema).parquet(kept)
 
     counts = (
@@ -127,21 +150,21 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     rank_of[[token for token, _ in ranked]] = np.arange(len(ranked))
 
     def make():
-        expand, shard, total = ZstdDecompressor(), TaskContext.get().partitionId(), 0
+        shard, total = TaskContext.get().partitionId(), 0
 
         def work(batch):
             nonlocal total
-            packed = [pack_values(rank_of[np.frombuffer(expand.decompress(ids), width)]) for ids in batch.column("ids").to_pylist()]
             lengths = batch.column("n_tokens").to_numpy()
+            control, data, groups, sizes = pack_rows(rank_of[rows_of(batch.column("ids"))[0].view(width)], lengths)
             ends = total + np.cumsum(lengths)
             total = int(ends[-1])
             return {
-                "shard": [shard] * len(packed),
+                "shard": [shard] * len(lengths),
                 "doc_id": batch.column("doc_id"),
                 "start_in_shard": ends - lengths,
                 "n_tokens": lengths,
-                "control": [control for control, _ in packed],
-                "data": [data for _, data in packed],
+                "control": binary_rows(control, groups),
+                "data": binary_rows(data, sizes),
             }
 
         return work
@@ -168,11 +191,12 @@ def read_corpus(spark: SparkSession, path: str, carry: dict[str, Column] | None
 
     def make():
         def work(batch):
-            columns = (batch.column(name).to_pylist() for name in ("control", "data", "n_tokens"))
-            ids = [id_of[unpack_values(control, data, count)].tobytes() for control, data, count in zip(*columns)]
+            lengths = batch.column("n_tokens").to_numpy()
+            (control, firsts), (data, starts) = rows_of(batch.column("control")), rows_of(batch.column("data"))
+            ids = id_of[unpack_rows(control, data, np.diff(firsts), starts[:-1], lengths)]
             return {
                 "shard": batch.column("shard"), "doc_id": batch.column("doc_id"), "start_in_shard": batch.column("start_in_shard"),
-                "n_tokens": batch.column("n_tokens"), "ids": pa.array(ids, pa.binary()),
+                "n_tokens": batch.column("n_tokens"), "ids": binary_rows(ids.view(np.uint8), 4 * lengths),
             }
 
         return work

@@ -164,6 +164,11 @@ def pieces_to_chunks(chunks: list[list[str]], encode_pieces: Callable[[list[str]
     return flat([known[chunk[0]] if len(chunk) == 1 else [i for piece in chunk for i in known[piece]] for chunk in chunks])
 
 
+def _halves(merge) -> tuple[str, ...]:
+    """Both sides of a merge, which files give as a pair or with a space between."""
+    return tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge)
+
+
 def vocabulary_size(path: str) -> int:
     """One more than the largest id of a ``tokenizers`` file."""
     from tokenizers import Tokenizer
@@ -197,26 +202,45 @@ def library_encoder(path: str) -> ChunkEncoder:
             pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         else:
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return whole, bare, lower, regex.compile(pattern)
+        return whole, bare, lower, regex.compile(pattern), spec
 
     state = worker_state("library:" + path)
     if "loaded" not in state:
         state["loaded"] = load()
-    whole, bare, lower, pattern = state["loaded"]
+    whole, bare, lower, pattern, spec = state["loaded"]
     alphabet = byte_alphabet() | {0: LITERAL}
     # composed Latin letters and ASCII: neither changed by NFC nor by context when lower-cased
     plain = regex.compile(r"[ \n!-~À-ÖØ-öø-įĲ-ňŊ-ž]*")
 
+    # pieces around it never merge with it, and no text holds its byte
+    model, stop = spec["model"], alphabet[0xFF]
+    standing = not (lower or model["dropout"] or model["continuing_subword_prefix"] or model["end_of_word_suffix"] or model.get("ignore_merges"))
+    standing = standing and stop in model["vocab"] and not any(stop in pair[0] or stop in pair[-1] for pair in map(_halves, model["merges"]))
+    together = alphabet | {0: stop}
+
     def merges(pieces: list[str]) -> list[list[int]]:
         if not pieces:
             return []
         shown = LITERAL.join(pieces).encode().decode("latin-1").translate(alphabet).split(LITERAL)
         return [e.ids for e in bare.encode_batch_fast(shown, add_special_tokens=False)]
 
+    def merged_together(chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids per chunk from its pieces, which go to the library side by side with a stop after each."""
+        pieces = list(chain.from_iterable(chunks))
+        runs = [LITERAL.join(pieces[i : i + 512]) + LITERAL for i in range(0, len(pieces), 512)]
+        shown = [run.encode().decode("latin-1").translate(together) for run in runs]
+        parts = [np.array(e.ids, np.int32) for e in bare.encode_batch_fast(shown, add_special_tokens=False)]
+        ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        stops = ids == model["vocab"][stop]
+        last = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))) - 1  # piece that ends each chunk
+        ends = np.flatnonzero(stops)[last] - last
+        return ids[~stops], np.diff(ends, prepend=0)
+
     def easy_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if lower:  # white space never joins a piece
             chunks = [chunk.lower().lstrip() or "\n" for chunk in chunks]
-        return pieces_to_chunks(split_pieces(chunks, pattern.findall), merges)
+        pieces = split_pieces(chunks, pattern.findall)
+        return merged_together(pieces) if standing else pieces_to_chunks(pieces, merges)
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(chunks)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,6 +116,7 @@ def brute_components(rows, s):
 
 @pytest.mark.parametrize("s", [
     ngrams.Settings(), ngrams.Settings(3, 9, 10), ngrams.Settings(2, 1, 2, short=2, frequent=2), ngrams.Settings(3, 4, 5, longest=1, short=3, frequent=1), ngrams.Settings(1, 3, 4, longest=6, short=2),
+    ngrams.Settings(2, 4, 5, short=2, frequent=3, levels=0), ngrams.Settings(3, 9, 10, short=3, frequent=10**6), ngrams.Settings(2, 2, 3, longest=1, short=1, frequent=2, levels=3),
 ], ids=str)
 def test_links_equal_brute_force(spark, s):
     draw = np.random.default_rng(5)
@@ -132,6 +134,16 @@ def test_links_equal_brute_force(spark, s):
     assert got == brute_components(rows, s)
 
 
+def test_ids_with_several_texts_are_judged_by_each_text(spark):
+    a, b = "a b c d e f g h i j k l", "n o p q r s t u v w x y z"
+    rows = spark.createDataFrame([(1, a), (1, b), (0, b), (2, a + " m"), (1, a), (3, None), (3, "")], "doc_id long, text string")
+    s = ngrams.Settings(3, 4, 5)
+    got = Counter((r.doc_id, r.n_tokens, r.component_id) for r in ngrams.jaccard_components(rows, s).collect())
+    assert got == Counter([(1, 10, 1), (1, 11, 0), (0, 11, 0), (2, 11, 1), (1, 10, 1), (3, 0, 3), (3, 0, 3)])
+    kept = Counter((r.doc_id, r.text) for r in ngrams.keep_one(rows, s).collect())
+    assert kept == Counter([(1, a), (1, a), (0, b), (3, None), (3, "")])
+
+
 def test_join_of_awkward_and_no_rows(awkward, no_docs):
     s = ngrams.Settings(3, 9, 10)
     got = sorted(repr((r.doc_id, r.n_tokens, r.component_id)) for r in ngrams.jaccard_components(awkward, s).collect())
@@ -207,12 +219,16 @@ def test_bpe_of_awkward_rows(awkward, no_docs):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=40))
-def test_values_survive_the_byte_code(values):
-    values = np.array(values, np.uint32)
-    control, data = tokenfile.pack_values(values)
-    assert len(control) == -(-len(values) // 4)
-    assert tokenfile.unpack_values(control, data, len(values)).tolist() == values.tolist()
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=12), max_size=6))
+def test_values_survive_the_byte_code(rows):
+    values, lengths = np.array([v for row in rows for v in row], np.uint32), np.array(list(map(len, rows)), np.int64)
+    control, data, groups, sizes = tokenfile.pack_rows(values, lengths)
+    assert groups.tolist() == [-(-n // 4) for n in lengths] and len(control) == groups.sum() and len(data) == sizes.sum()
+    columns = pa.array([b"before", b""] + [bytes(p) for p in np.split(data, np.cumsum(sizes)[:-1])][: len(rows)], pa.binary())[2:]
+    whole, starts = tokenfile.rows_of(tokenfile.binary_rows(data, sizes))
+    assert whole.tobytes() == data.tobytes() and columns.to_pylist() == tokenfile.binary_rows(data, sizes).to_pylist()
+    assert tokenfile.rows_of(columns)[0].tobytes() == data.tobytes()
+    assert tokenfile.unpack_rows(control, whole, groups, starts[:-1], lengths).tolist() == values.tolist()
 
 
 def test_token_files_of_awkward_rows(spark, awkward, no_docs):
