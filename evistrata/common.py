@@ -5,8 +5,8 @@ rows, so nothing here sorts or collects a whole group in one task:
 
 * "latest" and "first seen" are ``max_by``/``min_by`` aggregates, which combine
   on the map side and ship one row per key and map task;
-* numbering and lag split every group into chunks along its order and stitch
-  the chunks together from one small row per chunk;
+* numbering and lag deal the rows over ranges of (keys, order) whose bounds are
+  sampled quantiles, and stitch the ranges together from one small row per key and range;
 * top-k uses ``row_number() <= k``, which Spark turns into a per-task group
   limit ahead of the shuffle.
 """
@@ -20,10 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Parts that the range of an order is cut into.
-CHUNKS = 1 << 14
-
-
 def as_col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -59,81 +55,50 @@ def first_seen(df: DataFrame, key: str | Column, order: str | Column) -> DataFra
 
 # --- numbering along an order --------------------------------------------
 
-def range_chunk(df: DataFrame, order: str | Column, chunks: int = CHUNKS) -> Column:
-    """Chunk number that never decreases along ``order``: the range of its values in ``chunks`` equal parts.
+def _in_ranges(df: DataFrame, keys: Sequence[str], order: str | Column, extra_order: Sequence[Column] = ()) -> DataFrame:
+    """``df`` in order of (keys, order), written, with ``_id`` ascending along that order and ``_range`` of the row.
 
-    The range comes from the data (least and greatest value, one small aggregate), so dense and
-    sparse numbers are split alike.  Strings are compared by the bytes behind the prefix that
-    least and greatest share; ids with a common prefix split by what tells them apart.
+    Spark samples the rows for the bounds of the ranges, so each gets about its share of the
+    rows, however the values lie: outliers, hashed ids and a key with a third of the rows
+    do not meet in one task.  Rows equal in keys and order stay together.
     """
-    value = as_col(order)
-    low_high = df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    if dict(df.select(value.alias("v")).dtypes)["v"] == "string":
-        width = F.least(F.octet_length("low"), F.octet_length("high"))
-        shared = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(width, F.lit(1))), F.lit(0),
-            lambda n, i: F.when((n == i - 1) & (F.substring(F.hex("low"), 1, 2 * i) == F.substring(F.hex("high"), 1, 2 * i)), i).otherwise(n),
-        )
-        known = low_high.select("low", "high", shared.alias("shared")).agg(F.first(F.struct("low", "high", "shared")).alias("r")).scalar()
-
-        def number(text: Column) -> Column:
-            tail = F.substring(F.hex(text), 2 * known["shared"] + 1, F.lit(12))
-            return F.conv(F.rpad(tail, 12, "0"), 16, 10).cast("double")
-
-        place, low, high = number(value), number(known["low"]), number(known["high"])
-    else:
-        known = low_high.agg(F.first(F.struct(F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))).alias("r")).scalar()
-        place, low, high = value.cast("double"), known["low"], known["high"]
-    return F.coalesce(F.floor((place - low) / F.greatest((high - low) / F.lit(float(chunks - 1)), F.lit(1e-300))), F.lit(-1))
-
-
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str | Column,
-    out: str,
-    chunk: Column | None = None,
-    extra_order: Sequence[Column] = (),
-) -> DataFrame:
+    by = [*[F.col(k) for k in keys], as_col(order), *extra_order]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    return written(dealt, "ranges").withColumn("_range", F.shiftright("_id", 33))
+
+
+def _same(left: str, right: str, names: Sequence[str]) -> list[Column]:
+    return [F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}")) for name in names]
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: str | Column, out: str, extra_order: Sequence[Column] = ()) -> DataFrame:
     """``row_number()`` per ``keys`` along ``order`` without one task per group.
 
-    ``chunk`` is any expression that never decreases along ``order``; by default
-    :func:`range_chunk`.  Each chunk is numbered on its own and shifted by the rows in the
-    chunks before it, known from one count per (key, chunk), of which there are at most
-    ``CHUNKS`` per key.  ``df`` is read three times, so hand in a written table when it is
-    expensive to compute.
+    Runs a job: ``df`` is read once, dealt by sampled quantiles of (keys, order) and written to
+    the shared folder.  A row's number is its place in its range, less the place of its key's
+    first row there, plus the key's rows in the ranges before, known from one count per key and
+    range.  Nulls come first.
     """
-    chunk = range_chunk(df, order) if chunk is None else chunk
-    tagged = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(as_col(order), *extra_order)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    match = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "_chunk"]]
-    numbered = tagged.withColumn("_inside", F.row_number().over(inside))
-    joined = numbered.alias("n").join(offsets.alias("o"), match)
-    return joined.select(
-        *[F.col(f"n.{c}") for c in df.columns],
-        (F.col("n._inside") + F.col("o._before")).cast("bigint").alias(out),
-    )
-
-
-def lag_along(df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str, chunks: int = CHUNKS) -> DataFrame:
-    """``lag(value)`` per ``keys`` along ``seq``, chunked like :func:`number_rows`."""
-    tagged = df.withColumn("_chunk", range_chunk(df, seq, chunks))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(seq)
-    carry = (
-        tagged.groupBy(*keys, "_chunk").agg(F.max_by(value, seq).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")))
-        .drop("_last")
-    )
-    stepped = tagged.withColumn("_rn", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
-    match = [F.col(f"n.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_chunk"]]
-    joined = stepped.alias("n").join(carry.alias("c"), match)
-    previous = F.when(F.col("n._rn") == 1, F.col("c._carry")).otherwise(F.col("n._lag"))
+    dealt = _in_ranges(df, keys, order, extra_order)
+    heads = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    joined = dealt.alias("n").join(heads.alias("h"), _same("n", "h", [*keys, "_range"]))
+    return joined.select(*[F.col(f"n.{c}") for c in df.columns], (F.col("n._id") - F.col("h._first") + F.col("h._before") + 1).cast("bigint").alias(out))
+
+
+def lag_along(df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str) -> DataFrame:
+    """``lag(value)`` per ``keys`` along ``seq``, dealt and written like :func:`number_rows`.
+
+    Within a range the row before is the one with the number before; the first row of a key in a
+    range takes the last value of the key in its range before.
+    """
+    dealt = _in_ranges(df, keys, seq)
+    heads = dealt.groupBy(*keys, "_range").agg(F.min("_id").alias("_first"), F.max_by(value, "_id").alias("_last"))
+    heads = heads.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")))
+    stepped = dealt.withColumn("_lag", F.lag(value).over(Window.partitionBy("_range").orderBy("_id")))
+    joined = stepped.alias("n").join(heads.alias("h"), _same("n", "h", [*keys, "_range"]))
+    previous = F.when(F.col("n._id") == F.col("h._first"), F.col("h._carry")).otherwise(F.col("n._lag"))
     return joined.select(*[F.col(f"n.{c}") for c in df.columns], previous.alias(out))
 
 
@@ -185,6 +150,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back (runs a job); the files outlive any executor."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (runs a job)."""
     context = df.sparkSession.sparkContext

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.common import latest_by, number_rows, top_k
+from evistrata.common import latest_by, number_rows, top_k, written
 from evistrata.functions import findings as N
 from evistrata.functions.text import search_terms
 
@@ -179,19 +179,41 @@ def claims_with_verdicts(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     return claims.join(verdicts, "claim_id", "left").withColumn("verified", F.col("level").isNotNull())
 
 
-def relevant_documents(claims: DataFrame, documents: DataFrame, k: int = 3, common: float = 0.1) -> DataFrame:
-    """``k`` documents per claim sharing most distinct terms that are not common.
+def relevant_documents(claims: DataFrame, documents: DataFrame, k: int = 3, rare: float = 0.1) -> DataFrame:
+    """The ``k`` documents per claim whose shared terms weigh most, ties by least ``doc_id``.
 
-    A term in more than the share ``common`` of all documents weighs zero; it forms no pairs.
-    A claim that has only such terms gets no row.  The others meet in an equi-join, so pairs arise only
-    from shared terms; they are counted on the map side and the top-k limit runs before the
-    last shuffle.
+    A term that ``df`` of all ``n`` documents have weighs the binary digits of ``n div df``: 1 if
+    more than half have it, never 0.  ``shared`` counts the terms, ``score`` adds their weights.
+    Claims without a shared term have no row.
+
+    Postings of the claims' terms are written to the shared folder once (this runs jobs).
+    Candidates come from terms of at most the share ``rare`` of documents.  If the k-th
+    candidate's weight exceeds all that the claim's other terms weigh, no other document can get
+    among the first k, and only candidates within reach are completed.  The claims left, those
+    with common terms alone among them, add up all their postings.  ``rare`` changes cost only.
     """
     asked = claims.select("claim_id", F.explode(search_terms(F.lower("claim"))).alias("term"))
     offered = documents.select("doc_id", F.explode(search_terms(F.lower("text"))).alias("term"))
-    offered = offered.join(asked.select("term").distinct(), "term", "left_semi")
-    total = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
-    telling = offered.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= F.lit(common) * total).select("term")
-    asked = asked.join(telling, "term", "left_semi")
-    shared = offered.join(asked, "term").groupBy("claim_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    return top_k(shared, ["claim_id"], [F.col("shared").desc(), F.col("doc_id")], k)
+    postings = written(offered.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    total = F.lit(documents.count())
+    weights = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = weights.select("term", F.length(F.bin(F.floor(total / F.col("df")))).cast("long").alias("weight"), (F.col("df") <= rare * total).alias("rare"))
+    asked = written(asked.join(weights, "term"), "asked")
+
+    def scores(rows: DataFrame, terms: DataFrame) -> DataFrame:
+        return rows.join(terms, "term").groupBy("claim_id", "doc_id").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("shared"))
+
+    order = [F.col("score").desc(), F.col("doc_id")]
+    partial = written(scores(postings, asked.filter("rare").select("claim_id", "term", "weight")), "partial")
+    rest = asked.groupBy("claim_id").agg(F.sum(F.when(F.col("rare"), 0).otherwise(F.col("weight"))).alias("rest"))
+    bar = top_k(partial, ["claim_id"], order, k).groupBy("claim_id").agg(F.min("score").alias("bar"), F.count(F.lit(1)).alias("found"))
+    settled = bar.join(rest, "claim_id").filter((F.col("found") == k) & (F.col("bar") > F.col("rest"))).select("claim_id", "bar", "rest")
+
+    leaders = partial.join(settled, "claim_id").filter("score + rest >= bar").select("claim_id", "doc_id", "score", "shared")
+    common = asked.filter("not rare").select("claim_id", "term", "weight")
+    more = scores(postings.join(leaders.select("doc_id").distinct(), "doc_id", "left_semi"), common.join(settled.select("claim_id"), "claim_id", "left_semi"))
+    more = more.select("claim_id", "doc_id", F.col("score").alias("more"), F.col("shared").alias("others"))
+    complete = leaders.join(more, ["claim_id", "doc_id"], "left").select(
+        "claim_id", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0))).alias("score"), (F.col("shared") + F.coalesce("others", F.lit(0))).alias("shared"))
+    unsettled = scores(postings, asked.join(settled.select("claim_id"), "claim_id", "left_anti").select("claim_id", "term", "weight"))
+    return top_k(complete.unionByName(unsettled), ["claim_id"], order, k)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.common import CHUNKS, blank_to_null, lag_along, latest_by
+from evistrata.common import blank_to_null, lag_along, latest_by
 from evistrata.functions.values import SCREENING_DECISIONS, SCREENING_STAGES
 
 # Decisions that finish a stage, and the enforcement levels.
@@ -30,9 +30,9 @@ def latest_decisions(ledger: DataFrame) -> DataFrame:
     return latest_by(known, ["record_id", "stage"], "seq")
 
 
-def with_previous_decision(ledger: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """Decision that held before each event."""
-    return lag_along(ledger, ["record_id", "stage"], "seq", "decision", "previous_decision", chunks)
+def with_previous_decision(ledger: DataFrame) -> DataFrame:
+    """Decision that held before each event (W2); runs a job, see :func:`lag_along`."""
+    return lag_along(ledger, ["record_id", "stage"], "seq", "decision", "previous_decision")
 
 
 def decision_fault(reason_codes: Sequence[str]) -> Column:

@@ -268,10 +268,10 @@ def p55(spark, d):
 @query("j22_relevant_documents", r"""
 with a as (select item_id as claim_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]{3,}'))) as term from benchmark),
 o as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]{3,}'))) as term from documents),
-telling as (select term from o group by 1 having count(*) <= 0.1 * (select count(*) from documents)),
-s as (select claim_id, doc_id, count(*) as shared from a join o using (term) where term in (select term from telling) group by 1, 2),
-r as (select *, row_number() over (partition by claim_id order by shared desc, doc_id) as rank from s)
-select claim_id, doc_id, shared, cast(rank as int) as rank from r where rank <= 3""")
+w as (select term, length(bin((select count(*) from documents) // count(*))) as weight from o group by 1),
+s as (select claim_id, doc_id, count(*) as shared, sum(weight)::bigint as score from a join o using (term) join w using (term) group by 1, 2),
+r as (select *, row_number() over (partition by claim_id order by score desc, doc_id) as rank from s)
+select claim_id, doc_id, score, shared, cast(rank as int) as rank from r where rank <= 3""")
 def j22(spark, d):
     claims = table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
     return ops.relevant_documents(claims, table(spark, d, "documents").select("doc_id", "text"))

@@ -265,15 +265,13 @@ UNIT = "[" + ", ".join(["1.0"] + ["0.0"] * 63) + "]"
 
 @query("p23_hybrid_score", f"""
 with {HEADED_SQL}, {KEYWORD_SQL}, c as (select doc_id, chunk_id, sha256(txt) as h from kw where txt <> ''),
-e as (select d.doc_id, embedding from documents d join embeddings v on v.vec_id = d.doc_id % 500 where v.vec_id % 5 <> 0)
+e as (select vec_id as doc_id, embedding from embeddings)
 select c.doc_id, chunk_id, round(1.0 + 10 * coalesce(list_cosine_similarity(embedding::double[], {UNIT}::double[]), 0) + case when c.doc_id % 2 = 0 and chunk_id = 'k000' then 10 else 0 end, 5) as score
 from c left join e on e.doc_id = c.doc_id""")
 def p23(spark, d):
     rows = ops.explode_chunks(headed(spark, d), P.keyword_windows("text", TERMS, SIZES["radius"], SIZES["gap"]))
     rows = rows.select("doc_id", "chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").alias("text"), F.lit(1.0).alias("score"))
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 500).alias("vec_id"), "doc_id")
-    emb = table(spark, d, "embeddings").filter("vec_id % 5 <> 0").select("vec_id", F.col("embedding").alias("vector"))
-    by_doc = docs.join(emb, "vec_id").select("doc_id", "vector")
+    by_doc = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     vectors = rows.join(by_doc, "doc_id").select(F.sha2("text", 256).alias("chunk_hash"), "vector").dropDuplicates(["chunk_hash"])
     chosen = rows.filter("doc_id % 2 = 0 and chunk_id = 'k000'")
     out = ops.add_vector_scores(rows, vectors, [1.0] + [0.0] * 63, chosen)

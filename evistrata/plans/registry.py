@@ -26,7 +26,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Session setting: tasks that read ``documents``.  Off by default; a scan of many row groups needs none.
+DOCUMENT_TASKS = "evistrata.documents.tasks"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, under the session settings the operators are designed for."""
+    """A given table, under the session settings the operators are designed for.
+
+    A file of one row group is read by one task.  Where ``DOCUMENT_TASKS`` names a number, the
+    rows of ``documents`` are dealt over so many tasks first.
+    """
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.conf.get(DOCUMENT_TASKS, "") if name == "documents" else ""
+    return rows.repartition(int(tasks)) if tasks else rows

@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from evistrata.common import CHUNKS, number_rows, range_chunk
+from evistrata.common import _in_ranges, number_rows
 from evistrata.functions import keys, text
 from evistrata.operators import evidence, extraction, quotes, synthesis
 from evistrata.sources import ledgers
 
 
-def test_numbering_spreads_hashed_and_sparse_orders(spark):
+@pytest.mark.parametrize("outlier", [None, "RCT-1", "zzz"])
+def test_ranges_hold_their_share_whatever_the_order(spark, outlier):
+    """Hashed and sparse ids, one key with half of the rows, and one value far from all others."""
     ids = spark.range(4000).select(keys.stable_id("study", F.col("id")).alias("key"), (F.col("id") * 1_000_003 * 1_000_003).alias("seq"), (F.col("id") % 2).alias("section"))
+    if outlier:
+        ids = ids.unionByName(spark.createDataFrame([(outlier, 9 * 10**18, 1)], ids.schema))
+    rows = ids.collect()
     for order in ("key", "seq"):
-        per_chunk = ids.withColumn("c", range_chunk(ids, order)).groupBy("c").count()
-        assert per_chunk.agg(F.max("count")).first()[0] < 60 and 200 < per_chunk.count() <= CHUNKS
-        got = [(r.section, r.n) for r in number_rows(ids, ["section"], order, "n").orderBy("section", order).collect()]
-        assert got == [(s, i + 1) for s in (0, 1) for i in range(2000)]
-    assert sorted(r.n for r in number_rows(ids, [], "key", "n").collect()) == list(range(1, 4001))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep small ranges apart
+        try:
+            sizes = [r["count"] for r in _in_ranges(ids, ["section"], order).groupBy("_range").count().collect()]
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert len(sizes) >= 4 and max(sizes) <= 2 * len(rows) / len(sizes)
+        got = {(r.section, r[order]): r.n for r in number_rows(ids, ["section"], order, "n").collect()}
+        want = {}
+        for section in (0, 1):
+            of = sorted(r[order] for r in rows if r.section == section)
+            want |= {(section, value): i + 1 for i, value in enumerate(of)}
+        assert got == want
+    assert sorted(r.n for r in number_rows(ids, [], "key", "n").collect()) == list(range(1, len(rows) + 1))
 
 
 def test_numbering_of_few_equal_and_null_orders(spark):
