@@ -1,15 +1,17 @@
 """Main-text extraction from web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags.  The first pass classifies each block by the
-container it stands in, by stop-word density, length and link density.  An article speaks for
-the blocks in it, and a class or id against them; neither decides over the rest of the page.  Short or middling
-blocks stay ambiguous; in the second pass they inherit the label of their nearest decided
-neighbour, good ones winning a tie.
+The page is cut into blocks at block-level tags.  Menus, headers, notices, adverts, comments and
+their like are bad by their tag, role or name, however long.  The first pass classifies all
+other blocks by stop-word density, length and link density; short or middling ones stay
+ambiguous.  In the second pass these inherit the label of their nearest decided neighbour, good
+ones winning a tie.  An article is evidence: few stop words do not make a block in it bad, and
+its ambiguous blocks look for neighbours inside it only.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 
 from evistrata.llm.base import map_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: An attribute: a quote counts only behind an equals sign, and only if it is closed.
+ATTRIBUTE = r"""[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[\s/]++|{ATTRIBUTE}|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+NAMED_VALUE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""", re.S)
+TELLING = re.compile("class|id|role|hidden", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -46,8 +51,20 @@ NEUTRAL_NAMES = frozenset(
     "area articles bar block bottom box button buttons col column container global group icon icons inner item items left link links list main page "
     "posts primary right row secondary section site text top wrap wrapper".split()
 )
+#: A section with such an id holds what readers wrote; other ids of sections are anchors.
+READER_NAMES = frozenset("comment comments disqus respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: Open elements that a start tag ends, and those behind which it does not look for them.
+ENDS = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu".split())),
+    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "td": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
+    "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
+} | {name: (frozenset("thead tbody tfoot tr".split()), frozenset(["table"])) for name in ("thead", "tbody", "tfoot")}
+PARAGRAPH = (frozenset(["p"]), None)  # behind anything but inline elements it is not looked for
 STOP_WORDS = frozenset(
     # English
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which "
@@ -68,24 +85,23 @@ GOOD, BAD, UNSURE = "good", "bad", "unsure"
 @dataclass(frozen=True)
 class Limits:
     """A block over ``link_density`` is chrome.  One of at least ``long_chars`` with a share of
-    ``stop_words`` is text, and chrome with fewer than ``few_stop_words``; the rest is ambiguous.
-    Where a class or id speaks for chrome, text takes ``named_chars`` and at most ``named_links``."""
+    ``stop_words`` is text, and outside articles chrome with fewer than ``few_stop_words``; the
+    rest is ambiguous.  In an article links alone are chrome from ``long_chars`` on."""
 
     link_density: float = 0.5
     long_chars: int = 70
     stop_words: float = 0.25
     few_stop_words: float = 0.08
-    named_chars: int = 200
-    named_links: float = 0.2
 
 
 @dataclass
 class Block:
+    """``article`` numbers the innermost article the block stands in, 0 outside."""
+
     text: str
     link_chars: int
     chrome: bool
-    article: bool
-    named: bool = False
+    article: int
 
 
 def _names_chrome(value: str, in_article: bool) -> bool:
@@ -103,29 +119,38 @@ def _names_chrome(value: str, in_article: bool) -> bool:
     return False
 
 
+def _values(attributes: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, value in NAMED_VALUE.findall(attributes):
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in "\"'" and value[:1] == value[-1:] and len(value) > 1 else value)
+    return found
+
+
 def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether the tag, its role or its state make an element chrome."""
+    """Whether the tag, its role, state, class or id make an element chrome.
+
+    Ids of headings, of articles and of an article's sections are anchors, unless a section's
+    says that readers wrote it.
+    """
     if tag in CHROME_TAGS:
         return not (in_article and tag == "header")
-    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in CHROME_ROLES:
-            return True
-    return False
-
-
-def _is_named(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether a class or id speaks for chrome; ids of headings and of an article's sections are anchors."""
-    if not attributes or tag in ("html", "body"):
+    if not attributes or not TELLING.search(attributes):
         return False
-    anchor = tag in HEADINGS or tag in ARTICLE_TAGS or in_article and tag == "section"
-    for name, value in ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if (name == "class" or name == "id" and not anchor) and _names_chrome(value.strip("\"'"), in_article):
-            return True
-    return False
+    values = _values(attributes)
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or values.get("role", "").lower() in CHROME_ROLES:
+        return True
+    if tag in ("html", "body"):
+        return False
+    if _names_chrome(values.get("class", ""), in_article):
+        return True
+    name = values.get("id", "")
+    if tag in HEADINGS or tag in ARTICLE_TAGS:
+        return False
+    if in_article and tag == "section":
+        parts = {part.lower() for part in NAME_PART.findall(name)}
+        return bool(parts & READER_NAMES) and parts <= READER_NAMES | NEUTRAL_NAMES
+    return _names_chrome(name, in_article)
 
 
 def _self_closed(attributes: str) -> bool:
@@ -167,24 +192,25 @@ def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order.
 
     Unclosed and crossed tags are tolerated: an end tag closes everything up to its start tag
-    and is ignored if there is none; a new ``<p>`` ends an open one; a tag cut off by the end
-    of the page is dropped.  An element that is skipped whole ends at its own end tag; without
-    one only the tag is skipped, but for those in ``ENDLESS``.
+    and is ignored if there is none; end tags that HTML lets authors leave out are implied, that
+    of a paragraph by any block; a tag cut off by the end of the page is dropped.  An element
+    that is skipped whole ends at its own end tag; without one only the tag is skipped, but for
+    those in ``ENDLESS``.
     """
     ends: dict[str, dict[int, int]] = {}
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, bool]] = []
+    open_tags: list[tuple[str, bool, int]] = []  # name, and chrome and article outside it
+    opened: Counter = Counter()
     pieces: list[str] = []
-    links = 0
-    chrome = article = named = False
-    in_link = 0
+    links = articles = article = 0
+    chrome = False
 
     def close() -> None:
         nonlocal links
         if pieces:
             text = SPACE.sub(" ", unescape("".join(pieces))).strip()
             if text:
-                found.append(Block(text, links, chrome, article, named))
+                found.append(Block(text, links, chrome, article))
             pieces.clear()
         links = 0
 
@@ -192,9 +218,30 @@ def blocks(html: str) -> list[Block]:
         nonlocal links
         if raw:
             pieces.append(raw)
-            if in_link:
+            if opened["a"]:
                 links += len(SPACE.sub(" ", unescape(raw)).strip())
 
+    def end_to(place: int) -> None:
+        """Close the open elements from ``place`` on."""
+        nonlocal chrome, article
+        while len(open_tags) > place:
+            name, outer_chrome, outer_article = open_tags.pop()
+            opened[name] -= 1
+            if name not in INLINE:
+                close()
+            chrome, article = outer_chrome, outer_article
+
+    def imply(names: frozenset, barriers: frozenset | None) -> None:
+        """End the innermost open element of ``names`` in front of ``barriers`` (None: any block)."""
+        if any(opened[name] for name in names):
+            for place in range(len(open_tags) - 1, -1, -1):
+                name = open_tags[place][0]
+                if name in names:
+                    return end_to(place)
+                if name in barriers if barriers is not None else name not in INLINE:
+                    return None
+        return None
+
     at = 0
     while at < len(html):
         tag = html.find("<", at)
@@ -215,19 +262,10 @@ def blocks(html: str) -> list[Block]:
             pieces.append(" " if name == "br" else "")
             continue
         if token[1]:
-            if not any(entry[0] == name for entry in open_tags):
-                if name not in INLINE:
-                    close()
-                continue
-            while True:
-                last = open_tags.pop()
-                if last[0] not in INLINE:
-                    close()
-                elif last[0] == "a":
-                    in_link -= 1
-                chrome, article, named = last[1:]
-                if last[0] == name:
-                    break
+            if opened[name]:
+                end_to(_last(open_tags, name))
+            elif name not in INLINE:
+                close()
             continue
         if name in ENDLESS:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -244,41 +282,40 @@ def blocks(html: str) -> list[Block]:
             continue
         if name not in INLINE:
             close()
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd") or re.fullmatch("h[1-6]", name):
-                # an open paragraph ends where the next block begins
-                while open_tags and (open_tags[-1][0] in INLINE or open_tags[-1][0] == "p"):
-                    last = open_tags.pop()
-                    in_link -= last[0] == "a"
-                    chrome, article, named = last[1:]
-                    if last[0] == "p":
-                        break
-        if name in VOID or token[3].endswith("/"):
+            imply(*PARAGRAPH)
+            if name in ENDS:
+                imply(*ENDS[name])
+        if name in VOID or _self_closed(token[3]) and name in INLINE:
             continue
-        now = _is_chrome(name, token[3], article)
-        called = _is_named(name, token[3], article)
-        open_tags.append((name, chrome, article, named))
+        now = _is_chrome(name, token[3], bool(article))
         if name in INLINE:
-            in_link += name == "a"
-            if (now or called) and not chrome:
-                # a hidden or chrome-named span: its text stands alone
-                pending = pieces[:]
-                close_links = links
-                pieces.clear()
-                close()
+            if now and not chrome:
+                # its text is skipped; what stands around it is one block
                 if name not in ends:
                     ends[name] = _ends(html, name)
-                open_tags.pop()
-                in_link -= name == "a"
                 at = ends[name].get(tag, at)
-                pieces[:] = pending
-                links = close_links
+                continue
+            open_tags.append((name, chrome, article))
+            opened[name] += 1
             continue
-        chrome, named = chrome or now, named or called
-        article = article or name in ARTICLE_TAGS
+        open_tags.append((name, chrome, article))
+        opened[name] += 1
+        chrome = chrome or now
+        if name in ARTICLE_TAGS:
+            articles += 1
+            article = articles
     close()
     return found
 
 
+def _last(open_tags: list[tuple[str, bool, int]], name: str) -> int:
+    """Where the innermost open ``name`` stands; all behind it is closed, so each entry is passed once."""
+    place = len(open_tags) - 1
+    while open_tags[place][0] != name:
+        place -= 1
+    return place
+
+
 def _stop_share(text: str) -> float:
     words = WORD.findall(text.lower())
     return sum(word in STOP_WORDS for word in words) / len(words) if words else 0.0
@@ -288,48 +325,62 @@ def classify(block: Block, limits: Limits = Limits()) -> str:
     """First pass."""
     if block.chrome:
         return BAD
-    density = block.link_chars / len(block.text)
-    if block.named:
-        text = len(block.text) >= limits.named_chars and density <= limits.named_links and _stop_share(block.text) >= limits.stop_words
-        return GOOD if text else BAD
-    if block.article:
-        return BAD if density > limits.link_density and block.link_chars >= limits.long_chars else GOOD
-    if density > limits.link_density:
+    if block.link_chars > limits.link_density * len(block.text) and not (block.article and block.link_chars < limits.long_chars):
         return BAD
     if len(block.text) < limits.long_chars:
         return UNSURE
     share = _stop_share(block.text)
     if share >= limits.stop_words:
         return GOOD
-    return BAD if share < limits.few_stop_words else UNSURE
+    return BAD if share < limits.few_stop_words and not block.article else UNSURE
+
 
+def _nearest(labels: list[str], places: list[int]) -> dict[int, str]:
+    """For each ambiguous one of ``places`` the label of the nearest decided one, good on a tie; none if none is decided."""
+    found: dict[int, tuple[int, str]] = {}
+    for order in (places, places[::-1]):
+        distance, label = 0, ""
+        for place in order:
+            distance += 1
+            if labels[place] != UNSURE:
+                distance, label = 0, labels[place]
+            elif label and (place not in found or distance < found[place][0] or distance == found[place][0] and label == GOOD):
+                found[place] = (distance, label)
+    return {place: label for place, (_, label) in found.items()}
 
-def decide(labels: list[str]) -> list[bool]:
-    """Second pass: an ambiguous block takes the label of the nearest decided one."""
-    n = len(labels)
-    before, after = [(n + 1, BAD)] * n, [(n + 1, BAD)] * n
-    for order, out in ((range(n), before), (range(n - 1, -1, -1), after)):
-        distance, label = n + 1, BAD
-        for i in order:
-            distance, label = (0, labels[i]) if labels[i] != UNSURE else (distance + 1, label)
-            out[i] = (distance, label)
-    kept = []
-    for (left, left_label), (right, right_label) in zip(before, after):
-        nearest = left_label if left < right else right_label if right < left else GOOD if GOOD in (left_label, right_label) else BAD
-        kept.append(nearest == GOOD)
-    return kept
+
+def decide(page: list[Block], labels: list[str]) -> list[bool]:
+    """Second pass: an ambiguous block takes the label of the nearest decided one.
+
+    In an article that is a neighbour inside it which is text; link lists and chrome say nothing
+    about the article around them, and without a neighbour the article itself decides.  Outside,
+    chrome counts if the page has text at all; without any neighbour a block stays.
+    """
+    text_there = GOOD in labels
+    inherited = _nearest(labels, [place for place, block in enumerate(page) if text_there or not block.chrome])
+    inside: dict[int, list[int]] = {}
+    for place, block in enumerate(page):
+        if block.article:
+            inherited.pop(place, None)
+            if labels[place] != BAD:
+                inside.setdefault(block.article, []).append(place)
+    for places in inside.values():
+        inherited |= _nearest(labels, places)
+    return [label == GOOD or label == UNSURE and inherited.get(place, GOOD) == GOOD for place, label in enumerate(labels)]
 
 
 def main_text(html: str, limits: Limits = Limits()) -> str:
     page = blocks(html)
-    kept = decide([classify(block, limits) for block in page])
+    kept = decide(page, [classify(block, limits) for block in page])
     return "\n\n".join(block.text for block, keep in zip(page, kept) if keep)
 
 
 def extract(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) per page.
 
-    Null or empty html, and pages of chrome only, give an empty text.
+    Null or empty html, and pages of chrome only, give an empty text.  Rows that repeat give a
+    row each, nulls in other columns stay, very long pages are read as a whole in time that
+    grows with their length, and an empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
 
