@@ -44,15 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (to ``path``, if named) and read it back.
 
     Cuts the lineage: what follows reads files that outlive any executor and are the same
     at every reading.  Spark drops the shuffle files of finished work when the driver collects
     its garbage, which may take long; it is asked to here, so that the shuffles of one stage
     do not stay on disk beside those of the next.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
@@ -114,7 +114,8 @@ def counted_sample(rows: DataFrame, label: str, per_label: int) -> tuple[list[Ro
     """The rows of ``labelled_sample``, and how many rows each label has in all of ``rows``.
 
     The rows of every label are counted first (map-side), which gives the share of hash values
-    to keep; so one task never sees more than about twice the rows asked for.
+    to keep; so one task never sees more than about twice the rows asked for.  Rows of one id are
+    told apart by a hash of all their values.
     """
     counts = {row[label]: row["count"] for row in rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if not counts:
@@ -123,6 +124,6 @@ def counted_sample(rows: DataFrame, label: str, per_label: int) -> tuple[list[Ro
     wanted = F.lit(False)
     for value, count in counts.items():
         wanted |= (F.col(label) == F.lit(value)) & (place < F.lit(min(1.0, 2.0 * per_label / count)))
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(*rows.columns))
     drawn = rows.filter(wanted).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label).drop("_rank")
     return drawn.collect(), counts

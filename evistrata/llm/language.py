@@ -59,7 +59,9 @@ def learn(docs: DataFrame, label: str = "lang", settings: Settings = Settings())
     """A dictionary per label, from a bounded sample of the rows (``doc_id``, ``text``, label).
 
     Each half of the sample is also judged by dictionaries of the other half; the margins of the
-    rows that come out right show how narrow a margin a clean text may have.  Rows without label or letters teach nothing.  Labels without any usable row are not learned.
+    rows that come out right show how narrow a margin a clean text may have.  Rows without label or
+    letters, and texts of over ``sample_chars`` characters, teach nothing.  Of rows that share an
+    id any may be drawn, by a hash of their values.  Labels without any usable row are not learned.
     """
     usable = texts(docs, label).filter(F.length("text") <= settings.sample_chars)
     found: dict[str, dict[str, None]] = {}

@@ -192,8 +192,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", settings:
 
     The sample is drawn from the labels alone, by a hash of the id; the texts of the rows drawn
     are then looked up.  A row drawn counts as much as the rows of its label it stands for, so
-    that the model learns the shares of the labels whatever the size of the sample.  Null labels, and rows without a document, teach nothing.  A document
-    labelled twice counts twice.
+    that the model learns the shares of the labels whatever the size of the sample.  Null labels,
+    and rows without a document of at most ``sample_chars`` characters, teach nothing.  A document
+    labelled twice counts twice; of several texts of one id the one with the least SHA-256 is taken.
     """
     spark = docs.sparkSession
     drawn, rows_of = counted_sample(labels.select("doc_id", label).filter(F.col(label).isin(0, 1)), label, settings.per_label)
@@ -203,6 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", settings:
     ids = sorted({row["doc_id"] for row in drawn if row["doc_id"] is not None})
     wanted = spark.createDataFrame([(key,) for key in ids], f"doc_id {kind}")  # at most 2 * per_label ids
     found = texts(docs).join(F.broadcast(wanted), "doc_id").filter(F.length("text") <= settings.sample_chars)
+    found = found.groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
 
     def make():
         def work(batch):
@@ -222,8 +224,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", settings:
         row["doc_id"]: (np.array(row["buckets"], np.int64), np.array(row["weights"], float), np.array(row["dense"], float))
         for row in rows.collect()
     }
-    drawn_of = Counter(row[label] for row in drawn)
-    pairs = sorted((row["doc_id"], int(row[label]), rows_of[row[label]] / drawn_of[row[label]]) for row in drawn if row["doc_id"] in vector)
+    used = [row for row in drawn if row["doc_id"] in vector]
+    used_of = Counter(row[label] for row in used)
+    pairs = sorted((row["doc_id"], int(row[label]), rows_of[row[label]] / used_of[row[label]]) for row in used)
     return train([vector[key] for key, _, _ in pairs], [value for _, value, _ in pairs], settings, [share for _, _, share in pairs])
 
 

@@ -161,10 +161,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Pieces with their place and, if asked for, their ids (unsigned little-endian 32-bit)."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    packed = packing.pack(docs, path, end_id=1, capacity=4096, carry={"ids_crc32": F.crc32("ids")})
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    carry = {"ids_crc32": F.crc32("ids")} | ({"ids": F.col("ids")} if with_ids else {})
+    packed = packing.pack(docs, path, end_id=1, capacity=4096, carry=carry)
+    return packed.select("doc_id", "piece", "start", "length", *carry, "sequence_id", "offset")
 
 
 # --- 9 ----------------------------------------------------------------------

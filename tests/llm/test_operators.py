@@ -539,6 +539,24 @@ def test_quality_of_awkward_rows(spark, docs, awkward, no_docs):
     assert quality.learn(docs, odd).bias == 30.0
 
 
+def test_ids_with_several_texts_teach_the_same_in_any_order(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.col("text"), F.lit(" and more words of another text."))).filter("doc_id % 3 = 0"))
+    first, again = (quality.learn(rows, labels) for rows in (twice.repartition(3), twice.repartition(7).orderBy(F.desc("text"))))
+    assert first.bias == again.bias and (first.weights == again.weights).all() and (first.latent == again.latent).all()
+    one, two = (language.learn(rows) for rows in (twice.repartition(3), twice.repartition(7)))
+    assert dict(one) == dict(two)
+
+
+def test_shares_hold_when_long_documents_cannot_be_drawn(spark):
+    """Half of label 0 is too long to teach; the score still is the share of the labels."""
+    rows = spark.range(1400).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 7 > 0).cast("int").alias("quality"),
+        F.when(F.col("id") % 14 == 0, F.repeat(F.lit("x "), 40_000)).otherwise("some words that both labels share").alias("text"))
+    found = quality.score(rows.filter("length(text) < 100").limit(5), quality.learn(rows, rows)).collect()
+    assert all(abs(row.score - 6 / 7) < 0.05 for row in found)
+
+
 def test_quality_is_right_on_held_out_rows(spark):
     from evistrata.llm.queries import QUERIES
 

@@ -106,8 +106,9 @@ def test_pipeline_stages(spark, docs, awkward, no_docs):
         seen[name] = {r.doc_id for r in frame.select("doc_id").collect()}
     order = list(seen.values())
     assert all(later <= earlier for earlier, later in zip(order, order[1:]))
-    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, SF_DIR).collect())
-    assert set(got) == seen["ngram_join"]
+    pieces = corpus_pipeline.run(spark, SF_DIR).collect()
+    assert {r.doc_id for r in pieces} == seen["ngram_join"]
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in pieces)
     good = {r.doc_id for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").filter("quality = 1").collect()}
     assert len(good & seen["quality_classifier"]) >= 0.97 * len(good)
     for case in (awkward, no_docs):
