@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Each stage takes the rows that its predecessor kept and, but for the last, returns the columns
-of ``documents``; stages are written as Parquet in the shared folder and read again.
+of ``documents``; stages are written as Parquet in the shared folder and read again.  A stage's
+files are removed once the next one is written, but for those the result is read from.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evistrata.llm import dedup, language, ngrams, quality
-from evistrata.llm.base import stage, table
+from evistrata.llm.base import remove, scratch_path, stage, table
 from evistrata.llm.queries import language_training_rows, pack_documents, quality_training_labels
 
 
@@ -34,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of 4096 tokens."""
-    return pack_documents(docs)
+    """Pieces of documents with their ids and their place in sequences of 4096 tokens."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [
@@ -51,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        docs = stage(function(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
