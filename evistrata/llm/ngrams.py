@@ -5,19 +5,21 @@ prefixes of length ``n - ceil(t n) + l``, whatever order all sets are sorted by.
 chooses its own ``l``: the prefix grows while the estimated cost of its candidates falls, and a
 pair must share as many prefix tokens as the smaller ``l`` of the two before it is verified.
 
-1. Documents with the same words are one class; its least id stands for it.
+1. Documents with the same words are one class, a node of the graph of links.
 2. Tokens are ordered rare first.  Frequency classes come from a table of fixed size, filled
    from the counts of all prefix tokens under hash order; any table gives the same links.
-3. Prefix tokens are counted, each document picks its ``l`` and keeps the postings it needs.
+3. Prefix tokens are counted, each class picks its ``l`` and keeps the postings it needs.
 4. Short posting lists give all their pairs, and those that share enough tokens are candidates.
    Bucket counts of both sets bound their overlap from above; pairs that pass are verified on
    the whole sets.  Sets are hashes of 64 bits.
-5. Long lists do not give their pairs.  Each has a pivot, the document with the fewest rare
-   tokens; every member is compared with it and described by its difference from it.  Two
-   members that both link with the pivot are connected.  Any other two that link either differ
-   so little from the pivot together that the closest linked member serves for all of them, or
-   share elements of their differences, which a prefix join on these finds: differences are
-   short and mostly rare.  So no link between components is lost and no list is paired.
+5. Long lists, which are left where sets consist of frequent tokens, do not give their pairs.
+   Each has a pivot; every member is compared with it and described by its difference from it.
+   Two members that both link with the pivot are connected.  Any other two that link either
+   differ so little from the pivot together that the closest linked member serves for all of
+   them, or share an element of the beginnings of their differences, in one order, those first
+   that few members of the pivot have.  Elements of linked members count only where a member that is not linked may have
+   them.  Lists of elements are treated as lists of tokens are: short ones give their pairs,
+   long ones get a pivot of their own.
 
 Work tables are written to the shared folder; nothing about documents passes the driver.
 """
@@ -37,6 +39,8 @@ from evistrata.llm.components import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ORDER_BITS = 20
+#: Bits of the places that elements around a pivot have in tables of fixed size.
+PLACE_BITS = 18
 
 
 @dataclass(frozen=True)
@@ -44,10 +48,10 @@ class Settings:
     """Documents link when intersection / union >= ``numerator`` / ``denominator``.
 
     ``width`` words make a token.  ``longest`` is the largest ``l``; ``verify_cost`` the cost of
-    verifying a candidate, in posting entries.  Lists of over ``short`` documents are compared
-    through pivots.  Tokens in at least ``frequent`` hash-order prefixes are ordered late, the
-    ``order_entries`` most frequent buckets of them at most.  Only the first three change what
-    links; the rest is cost.
+    verifying a candidate, in posting entries.  Lists of over ``short`` classes are compared
+    through pivots, and those of elements within them to a depth of ``levels``.  Tokens in at
+    least ``frequent`` of hash-order prefixes ``ahead`` times as long are ordered late, the
+    ``order_entries`` most frequent buckets of them at most.  Only the first three change what links; the rest is cost.
     """
 
     width: int = 5
@@ -58,6 +62,8 @@ class Settings:
     short: int = 128
     frequent: int = 16
     order_entries: int = 1 << 17
+    ahead: int = 3
+    levels: int = 6
 
     def prefix(self, n: int, l: int) -> int:
         return min(n, n - -(-self.numerator * n // self.denominator) + l)
@@ -112,32 +118,36 @@ def overlap_bound(left: bytes, right: bytes) -> int:
     return int(np.minimum(a, b).sum())
 
 
+def _first_tokens(tokens: np.ndarray, order: np.ndarray | None, settings: Settings) -> np.ndarray:
+    """The prefix of a set: tokens by frequency class, then by hash; without ``order``, ``ahead`` prefixes in hash order."""
+    if order is None:
+        return tokens[: settings.ahead * settings.prefix(len(tokens), settings.longest)].view(np.int64) if len(tokens) else tokens.view(np.int64)
+    if len(tokens):
+        late = order[(tokens >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
+        if late.any():
+            tokens = tokens[np.argsort(late, kind="stable")]
+    return tokens[: settings.prefix(len(tokens), settings.longest)].view(np.int64) if len(tokens) else tokens.view(np.int64)
+
+
 def _signatures(docs: DataFrame, settings: Settings, order: np.ndarray | None) -> DataFrame:
-    """Class key (null without words), set size, ordered prefix and bucket counts per row."""
-    rows = texts(docs)
+    """Text digest, class key (null without words), set size, prefix under ``order`` (default: hash order) and bucket counts per row."""
+    rows = texts(docs).withColumn("digest", F.unhex(F.md5("text")))
 
     def make():
         def work(batch):
-            keys, sizes, prefixes, counts = [], [], [], []
+            found: dict[str, list] = {"key": [], "n": [], "prefix": [], "counts": []}
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 tokens = tokens_of(words, settings.width)
-                first = settings.prefix(len(tokens), settings.longest) if len(tokens) else 0
-                if order is not None and len(tokens):
-                    late = order[(tokens >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-                    ordered = tokens[np.argsort(late, kind="stable")] if late.any() else tokens
-                else:
-                    ordered = tokens
-                keys.append(class_key(words))
-                sizes.append(len(tokens))
-                prefixes.append(ordered[:first].view(np.int64))
-                counts.append(bucket_counts(tokens).tobytes() if words else None)
-            return {"doc_id": batch.column("doc_id"), "key": keys, "n": sizes, "prefix": prefixes, "counts": counts}
+                values = (class_key(words), len(tokens), _first_tokens(tokens, order, settings), bucket_counts(tokens).tobytes() if words else None)
+                for name, value in zip(found, values):
+                    found[name].append(value)
+            return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), **found}
 
         return work
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, make, f"doc_id {kind}, key binary, n long, prefix array<long>, counts binary")
+    return map_batches(rows, make, f"doc_id {kind}, digest binary, key binary, n long, prefix array<long>, counts binary")
 
 
 def _late_classes(docs: DataFrame, settings: Settings) -> np.ndarray:
@@ -158,29 +168,29 @@ def _late_classes(docs: DataFrame, settings: Settings) -> np.ndarray:
 # --- candidates -----------------------------------------------------------------
 
 def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
-    """``token, rep, n, pos, l, rare, df`` of the prefix tokens that more than one class has.
+    """``token, node, n, pos, l, rare, df`` of the prefix tokens that more than one class has.
 
     ``l`` minimises the estimated cost: entries to scan, and candidates to verify, which are at
     most the entries divided by ``l``.  ``rare`` counts prefix tokens that no other class has.
     """
     num, den, longest = settings.numerator, settings.denominator, settings.longest
-    spread = classes.select("rep", "n", F.size("prefix").alias("width"), F.posexplode("prefix").alias("pos", "token"))
+    spread = classes.select("node", "n", F.size("prefix").alias("width"), F.posexplode("prefix").alias("pos", "token"))
     df = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = spread.join(df, "token")
     base = f"(n - (({num} * n + {den - 1}) div {den}))"
     costs = [
         F.expr(f"sum(if(pos < {base} + {l}, df - 1, 0)) * (1 + {settings.verify_cost}D / {l})").alias(f"cost{l}") for l in range(1, longest + 1)
     ]
-    chosen = shared.groupBy("rep").agg(*costs, (F.first("width") - F.count(F.lit(1))).alias("rare"), F.first("n").alias("n"))
+    chosen = shared.groupBy("node").agg(*costs, (F.first("width") - F.count(F.lit(1))).alias("rare"), F.first("n").alias("n"))
     least = F.least(*[f"cost{l}" for l in range(1, longest + 1)]) if longest > 1 else F.col("cost1")
     pick = F.lit(longest)
     for l in range(longest - 1, 0, -1):
         pick = F.when(F.col(f"cost{l}") == least, F.lit(l)).otherwise(pick)
     # no more tokens can be asked for than two linked sets are sure to share
     pick = F.greatest(F.lit(1), F.least(pick, F.expr(f"cast(({num} * n + {den - 1}) div {den} as int)")))
-    chosen = chosen.select("rep", pick.alias("l"), "rare")
+    chosen = chosen.select("node", pick.alias("l"), "rare")
     return stage(
-        shared.join(chosen, "rep").filter(F.expr(f"pos < {base} + l")).select("token", "rep", "n", "pos", "l", "rare", "df"), "postings"
+        shared.join(chosen, "node").filter(F.expr(f"pos < {base} + l")).select("token", "node", "n", "pos", "l", "rare", "df"), "postings"
     )
 
 
@@ -201,8 +211,8 @@ def _short_pairs(postings: DataFrame, settings: Settings) -> DataFrame:
     A pair with fewer such tokens can only link if it shares a token with a long list as well.
     """
     short = postings.filter(F.col("df") <= settings.short)
-    pairs = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token and x.rep < y.rep and " + _fits(settings, "x", "y")))
-    counted = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(
+    pairs = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token and x.node < y.node and " + _fits(settings, "x", "y")))
+    counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.min(F.expr("least(x.l, y.l)")).alias("l")
     )
     return counted.filter("shared >= l").select("a", "b")
@@ -211,15 +221,13 @@ def _short_pairs(postings: DataFrame, settings: Settings) -> DataFrame:
 # --- verification ---------------------------------------------------------------
 
 def _both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    left = table.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col(value).alias("left"))
-    right = table.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col(value).alias("right"))
+    left = table.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(value).alias("left"))
+    right = table.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(value).alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "left", "right")
 
 
 def _checked(pairs: DataFrame, settings: Settings, overlap) -> DataFrame:
     """The pairs whose ``overlap`` of ``left`` and ``right`` reaches the threshold."""
-    kind = pairs.schema["a"].dataType.simpleString()
-
     def make():
         def work(batch):
             columns = [batch.column(name).to_pylist() for name in ("n_a", "n_b", "left", "right")]
@@ -231,7 +239,7 @@ def _checked(pairs: DataFrame, settings: Settings, overlap) -> DataFrame:
 
         return work
 
-    return map_batches(pairs, make, f"a {kind}, b {kind}, good boolean").filter("good").drop("good")
+    return map_batches(pairs, make, "a long, b long, good boolean").filter("good").drop("good")
 
 
 def _shared_tokens(left: bytes, right: bytes) -> int:
@@ -240,147 +248,221 @@ def _shared_tokens(left: bytes, right: bytes) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def _whole_sets(docs: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
-    """``rep, long, n, tokens`` of the documents that stand for the needed classes."""
-    rows = texts(docs).join(needed.select("rep", "long", F.col("rep").alias("doc_id"), "key"), "doc_id")
+def _whole_sets(docs: DataFrame, needed: DataFrame, settings: Settings, repeats: bool) -> DataFrame:
+    """``node, n, tokens`` of the needed nodes (``node, rep, key``).
+
+    Ids may repeat: a text counts if it has the node's key, and once if there are ``repeats``.
+    """
+    rows = texts(docs).join(needed.select("node", F.col("rep").alias("doc_id"), "key"), "doc_id")
 
     def make():
         def work(batch):
-            found: dict[str, list] = {"rep": [], "long": [], "n": [], "tokens": []}
-            for rep, long, text, key in zip(*(batch.column(name).to_pylist() for name in ("rep", "long", "text", "key"))):
+            found: dict[str, list] = {"node": [], "n": [], "tokens": []}
+            for node, text, key in zip(*(batch.column(name).to_pylist() for name in ("node", "text", "key"))):
                 words = words_of(text)
-                if class_key(words) == key:  # ids may repeat with other texts
+                if class_key(words) == key:
                     tokens = tokens_of(words, settings.width)
-                    for name, value in zip(found, (rep, long, len(tokens), tokens.tobytes())):
+                    for name, value in zip(found, (node, len(tokens), tokens.tobytes())):
                         found[name].append(value)
             return found
 
         return work
 
-    kind = needed.schema["rep"].dataType.simpleString()
-    return map_batches(rows.select("rep", "long", "text", "key"), make, f"rep {kind}, long boolean, n long, tokens binary")
+    sets = map_batches(rows.select("node", "text", "key"), make, "node long, n long, tokens binary")
+    return sets.dropDuplicates(["node"]) if repeats else sets
 
 
 # --- long lists -------------------------------------------------------------------
 
-def _pivots(long: DataFrame) -> DataFrame:
+def _pivots(lists: DataFrame) -> DataFrame:
     """``token, pivot``: the member with the fewest rare tokens, then twice the best pivot of the lists that this one is in.
 
     The lists of a group of near copies come to share one pivot that way.  A pivot need not be
-    a member of its list: any document will do as the centre, as long as a list has just one.
+    a member of its list: any node will do as the centre, as long as a list has just one.
     """
-    chosen = long.groupBy("token").agg(F.min(F.struct("rare", "rep")).alias("p"))
-    best = long.select("token", "rep").join(chosen, "token").groupBy("rep").agg(F.min("p").alias("q"))
+    chosen = lists.groupBy("token").agg(F.min(F.struct("rare", "node")).alias("p"))
+    best = lists.select("token", "node").join(chosen, "token").groupBy("node").agg(F.min("p").alias("q"))
     for _ in range(2):
-        chosen = chosen.join(best, F.col("p.rep") == F.col("rep")).select("token", F.col("q").alias("p"))
-    return chosen.select("token", F.col("p.rep").alias("pivot"))
+        chosen = chosen.join(best, F.col("p.node") == F.col("node")).select("token", F.col("q").alias("p"))
+    return chosen.select("token", F.col("p.node").alias("pivot"))
 
 
-def _differences(long: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """``pivot, rep, n, d, linked, diff``: each member of a long list against the list's pivot.
+def _differences(lists: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """``pivot, node, n, d, linked, diff``: each member of a list against the list's pivot.
 
     ``diff`` holds the ``d`` tokens that only one of the two sets has.
     """
-    pivots = _pivots(long)
-    pairs = long.join(pivots, "token").filter("rep <> pivot").select("pivot", "rep").distinct()
-    own = pairs.join(sets.filter("long").select("rep", "n", "tokens"), "rep")
-    both = own.join(sets.filter("long").select(F.col("rep").alias("pivot"), F.col("n").alias("n_center"), F.col("tokens").alias("center")), "pivot")
-    kind = sets.schema["rep"].dataType.simpleString()
+    numerator, denominator = settings.numerator, settings.denominator
+    pairs = lists.join(_pivots(lists), "token").filter("node <> pivot").select("pivot", "node").distinct()
+    own = pairs.join(sets.select("node", "n", "tokens"), "node")
+    both = own.join(sets.select(F.col("node").alias("pivot"), F.col("tokens").alias("center")), "pivot")
 
     def make():
         def work(batch):
-            columns = [batch.column(name).to_pylist() for name in ("tokens", "center")]
             sizes, linked, diffs = [], [], []
-            for tokens, center in zip(*columns):
+            for tokens, center in zip(*(batch.column(name).to_pylist() for name in ("tokens", "center"))):
                 a, b = np.frombuffer(tokens, np.uint64), np.frombuffer(center, np.uint64)
                 diff = np.setxor1d(a, b, assume_unique=True)
                 shared = (len(a) + len(b) - len(diff)) // 2
                 sizes.append(len(diff))
-                linked.append(settings.denominator * shared >= settings.numerator * (shared + len(diff)))
+                linked.append(denominator * shared >= numerator * (shared + len(diff)))
                 diffs.append(diff.view(np.int64))
-            return {"pivot": batch.column("pivot"), "rep": batch.column("rep"), "n": batch.column("n"), "d": sizes, "linked": linked, "diff": diffs}
+            return {"pivot": batch.column("pivot"), "node": batch.column("node"), "n": batch.column("n"), "d": sizes, "linked": linked, "diff": diffs}
 
         return work
 
-    return map_batches(both.select("pivot", "rep", "n", "tokens", "center"), make, f"pivot {kind}, rep {kind}, n long, d long, linked boolean, diff array<long>")
+    return map_batches(both.select("pivot", "node", "n", "tokens", "center"), make, "pivot long, node long, n long, d long, linked boolean, diff array<long>")
 
 
-def _links_around_pivots(diffs: DataFrame, settings: Settings) -> DataFrame:
-    """Links between the members of long lists that connect all that link there.
+def _places(pivot: int, elements: np.ndarray) -> np.ndarray:
+    """Places of elements around a pivot in a table of fixed size."""
+    return (_mix(elements ^ _mix(np.array([pivot], np.int64).view(np.uint64))) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
-    With ``s = numerator + denominator`` and ``k = denominator - numerator``, two sets link if
-    ``s * |x ^ y| <= k * (n_x + n_y)``; and ``|x ^ y| = d_x + d_y - 2 * |diff_x & diff_y|``.
+
+def _elements(diffs: DataFrame, settings: Settings) -> DataFrame:
+    """``pivot, node, n, d, linked, pos, element``: the beginnings of differences.
+
+    A beginning is as long as a link can leave before the first shared element, whatever the
+    other set: ``denominator - numerator`` of ``numerator`` of the set's size.  Elements that
+    many members have come last: what repeats within a batch is counted in a table of fixed
+    size, which changes cost only.  Of linked members only elements count that one that is not
+    linked may have.  At most 2^PLACE_BITS numbers of each kind reach the driver.
     """
-    s, k = settings.numerator + settings.denominator, settings.denominator - settings.numerator
-    to_pivot = diffs.filter("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-
-    # close to the pivot together: one of the two links with it, and the closest such member will do
-    closest = diffs.filter("linked").groupBy("pivot").agg(F.min(F.struct(F.expr(f"{s} * d - {k} * n").alias("slack"), "rep")).alias("best"))
-    near = diffs.filter("not linked").join(closest, "pivot").filter(F.expr(f"{s} * d - {k} * n + best.slack <= 0"))
-    near = near.select(F.col("best.rep").alias("a"), F.col("rep").alias("b"))
-
-    # otherwise they share so many elements of their differences
-    elements = diffs.select("pivot", "rep", "n", "d", "linked", F.explode("diff").alias("element"))
-    counts = elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (
-        elements.join(counts, ["pivot", "element"]).groupBy("pivot", "rep", "n", "d", "linked")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("elements"))
-    )
-    placed = ordered.select("pivot", "rep", "n", "d", "linked", F.posexplode("elements").alias("pos", "e"))
-    placed = stage(placed.select("pivot", "rep", "n", "d", "linked", "pos", F.col("e.element").alias("element")).filter(
-        # a link leaves at most this many elements before the first shared one, whatever the other size
-        F.expr(f"e.df > 1 and {settings.numerator} * pos <= {k} * n")
-    ), "elements")
-    need = f"(({s} * (x.d + y.d) - {k} * (x.n + y.n) + {2 * s - 1}) div {2 * s})"
-    pairs = placed.filter("not linked").alias("x").join(placed.alias("y"), F.expr(
-        f"x.pivot = y.pivot and x.element = y.element and (y.linked and x.rep <> y.rep or x.rep < y.rep) "
-        f"and {settings.denominator} * least(x.n, y.n) >= {settings.numerator} * greatest(x.n, y.n) "
-        f"and {need} > 0 and x.pos <= x.d - {need} and y.pos <= y.d - {need}"
-    ))
-    pairs = pairs.select("x.pivot", F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    left = diffs.select("pivot", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"), F.col("diff").alias("left"))
-    right = diffs.select("pivot", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"), F.col("diff").alias("right"))
-    compared = pairs.join(left, ["pivot", "a"]).join(right, ["pivot", "b"])
-    shared = F.size(F.array_intersect("left", "right"))
-    far = compared.filter(F.lit(s) * (F.col("d_a") + F.col("d_b") - 2 * shared) <= F.lit(k) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    return to_pivot.unionByName(near).unionByName(far)
-
-
-# --- the operator ---------------------------------------------------------------
+    spare, numerator = settings.denominator - settings.numerator, settings.numerator
 
-def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id``, ``n_tokens`` (set size) and ``component_id`` per row.
+    def places_of(batch, pick) -> list[np.ndarray]:
+        return [pick(pivot, np.array(diff, np.int64).view(np.uint64), n) for pivot, diff, n in zip(*(batch.column(name).to_pylist() for name in ("pivot", "diff", "n")))]
 
-    ``component_id`` is the least ``doc_id`` reachable by links.  Documents without words (also
-    null and empty texts) have no tokens and link with nothing, not with each other either.
-    Ids are taken to be unique; rows that repeat id and text give one row each and link.  Rows
-    without id link through their text but are nobody's component.
+    def make_counts():
+        def work(batch):
+            found = places_of(batch, lambda pivot, elements, n: _places(pivot, elements))
+            place, times = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+            return {"place": place[times > 1], "times": times[times > 1]}
+
+        return work
+
+    common = np.zeros(1 << PLACE_BITS, np.uint8)
+    for row in map_batches(diffs, make_counts, "place int, times long").groupBy("place").agg(F.sum("times").alias("times")).collect():
+        common[row["place"]] = int(row["times"]).bit_length()
+
+    def first(pivot: int, elements: np.ndarray, n: int) -> np.ndarray:
+        order = np.argsort(common[_places(pivot, elements)], kind="stable")
+        return elements[order[: spare * n // numerator + 1]]
+
+    def make_seen():
+        def work(batch):
+            found = places_of(batch, lambda pivot, elements, n: _places(pivot, first(pivot, elements, n)))
+            return {"place": np.unique(np.concatenate([np.empty(0, np.int64), *found]))}
+
+        return work
+
+    seen = np.zeros(1 << PLACE_BITS, bool)
+    seen[[row["place"] for row in map_batches(diffs.filter("not linked"), make_seen, "place int").distinct().collect()]] = True
+
+    def make():
+        def work(batch):
+            kept = []
+            for (pivot, elements), linked in zip(places_of(batch, lambda pivot, elements, n: (pivot, first(pivot, elements, n))), batch.column("linked").to_pylist()):
+                at = np.flatnonzero(seen[_places(pivot, elements)]) if linked else np.arange(len(elements))
+                kept.append((at, elements[at].view(np.int64)))
+            return {name: batch.column(name) for name in ("pivot", "node", "n", "d", "linked")} | {"pos": [at for at, _ in kept], "element": [e for _, e in kept]}
+
+        return work
+
+    marked = map_batches(diffs, make, "pivot long, node long, n long, d long, linked boolean, pos array<long>, element array<long>")
+    each = marked.select("pivot", "node", "n", "d", "linked", F.explode(F.arrays_zip("pos", "element")).alias("e"))
+    return each.select("pivot", "node", "n", "d", "linked", F.col("e.pos").alias("pos"), F.col("e.element").alias("element"))
+
+
+def _links_in_long_lists(lists: DataFrame, sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links, and pairs still to verify, that connect all that link within ``lists`` (``token, node, rare``).
+
+    With ``s = numerator + denominator`` and ``k = denominator - numerator``, two sets link if
+    ``s * |x ^ y| <= k * (n_x + n_y)``; and ``|x ^ y| = d_x + d_y - 2 * |diff_x & diff_y|``.
     """
+    s, k = settings.numerator + settings.denominator, settings.denominator - settings.numerator
+    links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    pairs = links
+    for level in range(settings.levels + 1):
+        diffs = stage(_differences(lists, sets, settings), "differences")
+        links = links.unionByName(diffs.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        # close to the pivot together: one of the two links with it, and the closest such member will do
+        closest = diffs.filter("linked").groupBy("pivot").agg(F.min(F.struct(F.expr(f"{s} * d - {k} * n").alias("slack"), "node")).alias("best"))
+        near = diffs.filter("not linked").join(closest, "pivot").filter(F.expr(f"{s} * d - {k} * n + best.slack <= 0"))
+        links = links.unionByName(near.select(F.col("best.node").alias("a"), F.col("node").alias("b")))
+        # otherwise they share elements of their differences
+        elements = _elements(diffs, settings)
+        counts = elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("df"), F.min("linked").alias("all_linked")).filter("df > 1 and not all_linked")
+        shared = stage(elements.join(counts.drop("all_linked"), ["pivot", "element"]), "elements")
+        last = level == settings.levels
+        few = shared if last else shared.filter(F.col("df") <= settings.short)
+        need = f"(({s} * (x.d + y.d) - {k} * (x.n + y.n) + {2 * s - 1}) div {2 * s})"
+        found = few.filter("not linked").alias("x").join(few.alias("y"), F.expr(
+            f"x.pivot = y.pivot and x.element = y.element and (y.linked and x.node <> y.node or x.node < y.node) "
+            f"and {settings.denominator} * least(x.n, y.n) >= {settings.numerator} * greatest(x.n, y.n) "
+            f"and {need} > 0 and x.pos <= x.d - {need} and y.pos <= y.d - {need}"
+        ))
+        pairs = pairs.unionByName(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        if last:
+            break
+        many = shared.filter(F.col("df") > settings.short)
+        if many.isEmpty():
+            break
+        lists = many.select(F.struct("pivot", "element").alias("token"), "node", F.col("d").alias("rare"))
+    return links, pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+# --- the operator -----------------------------------------------------------------
+
+def _labelled(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``doc_id, digest, n, component_id`` per row; ``digest`` tells the texts of one id apart."""
     signed = stage(_signatures(docs, settings, _late_classes(docs, settings)), "signatures")
+    repeats = not signed.filter("key is not null").groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
     grouped = signed.filter("key is not null and doc_id is not null").groupBy("key")
     classes = stage(
-        grouped.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts")),
+        grouped.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     postings = _postings(classes, settings)
     short = stage(_checked(_both(_short_pairs(postings, settings), classes, "counts"), settings, overlap_bound), "pairs")
-    long = postings.filter(F.col("df") > settings.short).select("token", "rep", "rare")
-
-    paired = short.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(False).alias("long"))
-    involved = paired.unionByName(long.select("rep", F.lit(True).alias("long"))).groupBy("rep").agg(F.max("long").alias("long"))
-    sets = stage(_whole_sets(docs, involved.join(classes.select("rep", "key"), "rep"), settings), "sets")
-    diffs = stage(_differences(long, sets, settings), "differences")
-    links = _checked(_both(short, sets, "tokens"), settings, _shared_tokens).unionByName(_links_around_pivots(diffs, settings))
+    long = postings.filter(F.col("df") > settings.short).select("token", "node", "rare")
+
+    involved = short.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
+    sets = stage(_whole_sets(docs, involved.join(classes.select("node", "rep", "key"), "node"), settings, repeats), "sets")
+    links = _checked(_both(short, sets, "tokens"), settings, _shared_tokens)
+    if not long.isEmpty():
+        around, pairs = _links_in_long_lists(long, sets, settings)
+        links = links.unionByName(around).unionByName(_checked(_both(pairs, sets, "tokens"), settings, _shared_tokens))
     found = components(links)
 
-    member = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    member = member.select("key", F.coalesce("component", "rep").alias("component_id"))
-    return signed.select("doc_id", "key", "n").join(member, "key", "left").select(
-        "doc_id", F.col("n").alias("n_tokens"), F.coalesce("component_id", "doc_id").alias("component_id")
+    names = classes.select("key", "node", "rep")
+    member = names.join(found, "node", "left")
+    least = member.filter("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    member = member.join(least, "component", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
+    return signed.select("doc_id", "digest", "key", "n").join(member, "key", "left").select(
+        "doc_id", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``doc_id``, ``n_tokens`` (set size) and ``component_id`` per row.
+
+    ``component_id`` is the least ``doc_id`` reachable by links.  Documents without words (also
+    null and empty texts) have no tokens and link with nothing, not with each other either.
+    Rows that repeat id and text give one row each and link.  If an id repeats with other
+    texts, each row is judged by its own text.  Rows without id link through their text but are
+    nobody's component.  Very long texts count as a whole; an empty table gives an empty result.
+    """
+    return _labelled(docs, settings).select("doc_id", F.col("n").alias("n_tokens"), "component_id")
+
+
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` without those that a link leads from to a lesser id; rows without id stay."""
-    found = jaccard_components(docs, settings)
-    return docs.join(found.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without those that a link leads from to a lesser id.
+
+    Rows without id stay.  If an id repeats with other texts, only the texts that link to a
+    lesser id go.
+    """
+    gone = _labelled(docs, settings).filter("component_id <> doc_id").select("doc_id", F.col("digest").alias("_digest"))
+    marked = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return marked.join(gone, ["doc_id", "_digest"], "left_anti").select(*docs.columns)
