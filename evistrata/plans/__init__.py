@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evistrata.plans.registry import ORACLE, QUERIES
 
 SUBJECTS = (
-    "records", "catalog", "screening", "packing", "quotes", "findings", "extraction", "evidence", "synthesis", "audit", "sources",
+    "records", "catalog", "screening", "packing", "quotes", "findings", "extraction", "versions", "evidence", "synthesis", "audit", "sources",
 )
 
 

@@ -16,7 +16,7 @@ from tests.compare import connection, spark_rows, sql_rows
 SF_DIR = "/root/testdata/sf0.001"
 SPREAD = (
     "a2_merge_duplicates", "j8_match_extractions", "p10_screen", "a1_collection_coverage", "j11_u4_completeness", "w12_evidence_pack",
-    "j21_p27_validated_quotes", "j24_reference_issues", "j23_match_leaves", "w5_reingest_state", "a9_a10_contradiction_groups",
+    "j21_p27_validated_quotes", "j24_reference_issues", "j23_match_leaves", "w5_reingest_state", "w5_entity_state", "a9_a10_contradiction_groups",
     "j14_section_selection", "j17_contradiction_omissions", "a18_audit_roll_up", "s14_s15_upsert_batches", "r1_streaming_decisions",
 )
 QUERIES, ORACLE = all_queries(), reference_sql()
