@@ -337,6 +337,22 @@ def run_issues(anchor: DataFrame, flags: RunFlags) -> DataFrame:
     return _issues(anchor.agg(F.count(F.lit(1)).alias("rows")), checks, claim=False, side=False)
 
 
+def run_record_issues(runs: DataFrame, searches: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Issues of the facts that runs have recorded about themselves, one run per ``entity_id``.
+
+    ``runs``: run_id, claim_map_status, section_validation (NULL: the check never ran),
+    placeholder.  ``searches``: run_id, enabled (NULL: on); ``seeds``: run_id of each seed record.
+    A run whose searches are all off and that has no seed record searched for nothing.
+    """
+    planned = searches.filter(F.coalesce("enabled", F.lit(True))).select("run_id").unionByName(seeds.select("run_id"))
+    marked = runs.join(planned.distinct().withColumn("_planned", F.lit(True)), "run_id", "left")
+    checks = _checks(
+        (F.col("claim_map_status") == "invalid", "claim_map_invalid"), (F.col("section_validation") == "failed", "section_coverage_incomplete"),
+        (F.col("section_validation").isNull(), "section_coverage_missing"), (F.col("placeholder"), "placeholder_synthesis_used"),
+        (F.col("_planned").isNull(), "empty_search_plan"))
+    return _issues(marked, checks, "run_id", claim=False, side=False)
+
+
 # --- roll-up --------------------------------------------------------------
 
 def category(check: str = "check") -> Column:

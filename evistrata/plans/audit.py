@@ -109,10 +109,11 @@ def outcome_issues(spark, d):
 
 
 EVIDENCE_CTE = """
-v as (select c.*, e.study_id, e.outcome_id, e.validation_status, h.life, exists (select 1 from cst x where x.claim_id = c.claim_id and x.side = c.side and x.study_id = e.study_id) as own,
-  exists (select 1 from cot x where x.claim_id = c.claim_id and x.side = c.side and x.outcome_id = e.outcome_id) as own_outcome from cet c left join evi e using (evidence_id) left join he h using (evidence_id))"""
+cited_study as (select distinct claim_id, side, study_id, 1 as hit from cst), cited_outcome as (select distinct claim_id, side, outcome_id, 1 as hit from cot),
+v as (select c.*, e.study_id, e.outcome_id, e.validation_status, h.life, x.hit is not null as own, y.hit is not null as own_outcome from cet c left join evi e using (evidence_id) left join he h using (evidence_id)
+  left join cited_study x on x.claim_id = c.claim_id and x.side = c.side and x.study_id = e.study_id left join cited_outcome y on y.claim_id = c.claim_id and y.side = c.side and y.outcome_id = e.outcome_id)"""
 EVIDENCE_ISSUES_SQL = """
-select side || '_evidence_unresolved' as "check", claim_id, side, null as entity_id from side s where exists (select 1 from cst x where x.claim_id = s.claim_id and x.side = s.side) and not exists (select 1 from cet x where x.claim_id = s.claim_id and x.side = s.side)
+select side || '_evidence_unresolved' as "check", claim_id, side, null as entity_id from (select claim_id, side from cst except select claim_id, side from cet)
 union all select case when life = 'superseded' then 'superseded_evidence_reference' when life = 'stale' then 'stale_extraction_reference' else side || '_evidence_unresolved' end, claim_id, side, evidence_id from v where study_id is null
 union all select 'supporting_evidence_unresolved', claim_id, side, null from (select claim_id, side from v where side = 'supporting' group by 1, 2 having count(study_id) = 0)
   where claim_id in (select claim_id from cst where side = 'supporting')
@@ -243,10 +244,25 @@ def structured_gate(spark, d):
     return ops.process_issues(g.incomplete_records, g.included_records, g.studies, text, "optional", "structured_extraction_allowed")
 
 
+# A user's events stand for a run: its last event states the claim map, its dearest the section
+# check; views are searches, on or off by value, sign-ups seed records, purchases a placeholder.
 @query("audit_run_issues", """
-select unnest(['placeholder_synthesis_used', 'section_coverage_incomplete']) as "check", null as claim_id, null as side, null as entity_id from (select count(*) from orders)""")
+with r as (select user_id::varchar as run_id, arg_max(event_type, event_id) = 'error' as invalid, arg_max(event_type, struct_pack(v := value, e := event_id)) as section, count(*) filter (event_type = 'purchase' and value > 100) > 0 as placeholder,
+  count(*) filter (event_type = 'view' and coalesce(value > 50, true)) + count(*) filter (event_type = 'signup' and value > 80) as planned from events group by 1)
+select 'claim_map_invalid' as "check", null as claim_id, null as side, run_id as entity_id from r where invalid
+union all select 'section_coverage_incomplete', null, null, run_id from r where section = 'error' union all select 'section_coverage_missing', null, null, run_id from r where section = 'signup'
+union all select 'placeholder_synthesis_used', null, null, run_id from r where placeholder union all select 'empty_search_plan', null, null, run_id from r where planned = 0""")
 def run_issues(spark, d):
-    return ops.run_issues(table(spark, d, "orders"), ops.RunFlags(placeholder_synthesis_used=True, section_validation_failed=True))
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), "event_id", "event_type", "value")
+    kind, value = F.col("event_type"), F.col("value")
+    section = F.max_by("event_type", F.struct("value", "event_id"))
+    runs = events.groupBy("run_id").agg(
+        F.when(F.max_by("event_type", "event_id") == "error", "invalid").otherwise("valid").alias("claim_map_status"),
+        F.when(section == "error", "failed").when(section != "signup", "passed").alias("section_validation"),
+        F.max((kind == "purchase") & (value > 100)).alias("placeholder"))
+    searches = events.filter(kind == "view").select("run_id", (value > 50).alias("enabled"))
+    seeds = events.filter((kind == "signup") & (value > 80)).select("run_id")
+    return ops.run_record_issues(runs, searches, seeds)
 
 
 def full_audit(spark, d):

@@ -178,9 +178,11 @@ def p45(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query("p45_report_headings", "select conv_id, turn, 'A,AB,' || role as headings from conversations")
+@query("p45_report_headings", r"""
+with h as (select conv_id, turn, role, list_transform(regexp_extract_all(chr(10) || coalesce(text, ''), '\n##[ \t]+[^\n]*'), lambda x: regexp_replace(substr(x, 4), '^\s+|\s+$', '', 'g')) as own from conversations)
+select conv_id, turn, array_to_string(['A', 'AB'] || list_filter(list_distinct(own), lambda x: x not in ('', 'A', 'AB', role)) || [role], ',') as headings from h""")
 def p45b(spark, d):
-    report = F.concat(F.lit("# Top\n## A\nx\n## AB \n## A\n## "), "role", F.lit("\ny ## no"))
+    report = F.concat(F.lit("# Top\n## A\nx\n## AB \n## A\n"), F.coalesce("text", F.lit("")), F.lit("\n## "), "role", F.lit("\ny ## no"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(X.report_headings(report), ",").alias("headings"))
 
 

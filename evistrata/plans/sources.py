@@ -63,7 +63,7 @@ def s6(spark, d):
 
 @query("s7_ris_entries", """
 select doc_id, concat_ws(chr(10), 'TY  - JOUR', 'ID  - ss_' || doc_id, 'T1  - T ' || doc_id, 'TI  - T ' || doc_id, 'AU  - ' || source, 'PY  - ' || (2000 + doc_id % 20), 'DA  - ' || (2000 + doc_id % 20) || '//',
-  case when doc_id % 3 = 0 then 'DO  - 10.' || doc_id end, case when doc_id % 3 = 0 then 'UR  - https://doi.org/10.' || doc_id end, 'JO  - ' || lang, 'JF  - ' || lang, case when doc_id % 2 = 0 then 'VL  - 7' end,
+  case when doc_id % 3 = 0 then 'DO  - 10.' || doc_id end, case when doc_id % 3 = 0 then 'UR  - https://doi.org/10.' || doc_id end, 'JO  - ' || lang, 'JF  - ' || lang, case when doc_id % 2 = 0 then 'VL  - 7' end, 'AB  - ' || nullif(text, ''),
   'KW  - rag', 'KW  - screen:A', 'KW  - score:' || (doc_id % 5), 'ER  - ') as entry from documents""")
 def s7(spark, d):
     doc = F.col("doc_id")
@@ -71,27 +71,28 @@ def s7(spark, d):
     doi = F.when(doc % 3 == 0, F.concat(F.lit("10."), n)).when(doc % 3 == 1, F.concat(F.lit("PMID:"), n)).otherwise("")
     tag = F.concat(F.lit("rag; screen:A; ;score:"), (doc % 5).cast("string"))
     nothing = F.lit(None).cast("string")
-    entry = B.ris_entry(doc, F.concat(F.lit("T "), n), F.array(F.col("source"), F.lit("")), 2000 + doc % 20, doi, F.col("lang"), F.when(doc % 2 == 0, "7"), nothing, nothing, tag)
+    entry = B.ris_entry(doc, F.concat(F.lit("T "), n), F.array(F.col("source"), F.lit("")), 2000 + doc % 20, doi, F.col("lang"), F.when(doc % 2 == 0, "7"), nothing, F.col("text"), tag)
     return table(spark, d, "documents").select("doc_id", entry.alias("entry"))
 
 
 def article_xml():
     doc = F.col("doc_id")
     n = doc.cast("string")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     own = F.when(doc % 4 != 0, F.concat(F.lit('<ArticleId IdType="doi">10.5/'), n, F.lit("</ArticleId>"))).otherwise("")
     year = F.when(doc % 3 == 0, F.lit("<MedlineDate>1999 Jan-Feb</MedlineDate>")).otherwise(F.concat(F.lit("<Year>"), (2000 + doc % 20).cast("string"), F.lit("</Year>")))
     return F.concat(
         F.lit('<PubmedArticle><MedlineCitation><PMID Version="1">'), n, F.lit("</PMID><Article><Journal><JournalIssue><PubDate>"), year,
         F.lit("</PubDate></JournalIssue><Title>"), "lang", F.lit("</Title></Journal><ArticleTitle>The <i>study</i> "), n,
         F.lit('</ArticleTitle><Abstract><AbstractText Label="OBJECTIVE">To &amp; test '), "source",
-        F.lit("</AbstractText><AbstractText>Plain.</AbstractText></Abstract><AuthorList><Author><LastName>Doe</LastName><ForeName>"), "source",
+        F.lit("</AbstractText><AbstractText>"), escaped, F.lit("</AbstractText></Abstract><AuthorList><Author><LastName>Doe</LastName><ForeName>"), "source",
         F.lit("</ForeName></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList></Article></MedlineCitation><PubmedData><ArticleIdList>"), own,
         F.lit('<ArticleId IdType="pubmed">1</ArticleId></ArticleIdList><ReferenceList><Reference><ArticleIdList><ArticleId IdType="doi">10.9/other</ArticleId></ArticleIdList></Reference></ReferenceList></PubmedData></PubmedArticle>'))
 
 
 ARTICLE_SQL = """
 select doc_id, cast(doc_id as varchar) as pmid, 'The study ' || doc_id as title, 'Doe ' || source || ';Group' as authors, case when doc_id % 3 = 0 then 1999 else 2000 + doc_id % 20 end as year, lang as journal,
-  case when doc_id % 4 <> 0 then '10.5/' || doc_id end as doi, 'OBJECTIVE: To & test ' || source || chr(10) || 'Plain.' as abstract from documents"""
+  case when doc_id % 4 <> 0 then '10.5/' || doc_id end as doi, concat_ws(chr(10), 'OBJECTIVE: To & test ' || source, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '')) as abstract from documents"""
 
 
 @query("s8_article_xml", ARTICLE_SQL)
@@ -282,9 +283,15 @@ def x2(spark, d):
     return out.select("doc_id", F.col("check.validation_status").alias("status"))
 
 
-@query("x3_pack_to_extractor")
+_HITS = " || ".join(f"case when n{i} > 0 then ', {t}' else '' end" for i, t in enumerate(packing_plans.TERMS))
+
+
+# The pack's length: header, text and separator of each chunk.
+@query("x3_pack_to_extractor", f"""
+with {packing_plans.PACK_SQL}, piece as (select inc.doc_id, length('[chunk ' || chunk_id || ' | source=' || scored.source || ' | section=' || section || ' | chars=' || scored.a || '-' || b || ' | hits='
+    || case when nhits = 0 then 'none' else substr({_HITS}, 3) end || ']' || chr(10)) + sent as n from inc join scored using (doc_id, chunk_id) where sent > 0)
+select doc_id, '{{"path": "' || doc_id || '", "chars": ' || coalesce(n, 0) || '}}' as payload from documents left join (select doc_id, sum(n)::bigint + 7 * (count(*) - 1) as n from piece group by 1) using (doc_id) where doc_id % 10 <> 0""")
 def x3_pack(spark, d):
-    """Evidence packs through the extractor; the pack text has no SQL twin, so only rows are checked."""
     packs = packing.build_evidence_pack(packing_plans.headed(spark, d), packing_plans.TERMS, budget=packing_plans.BUDGET, **packing_plans.SIZES)
     done, _ = extend.run_extractor(packs.select("doc_id", "pack", F.col("doc_id").cast("string").alias("path")), _measure)
     return done

@@ -149,3 +149,14 @@ def test_failing_extractor_gives_error_rows(spark):
 
     done, failed = extend.run_extractor(packs, extractor)
     assert rows(done, "doc_id") == [(1, '{"n": 2}')] and rows(failed.select("doc_id", "detail"), "doc_id") == [(2, "RuntimeError: boom")]
+
+
+def test_runs_report_what_they_recorded(spark):
+    runs = spark.createDataFrame([("a", "invalid", "passed", False), ("b", "valid", None, True), ("c", None, "failed", None)],
+                                 "run_id string, claim_map_status string, section_validation string, placeholder boolean")
+    searches = spark.createDataFrame([("a", False), ("b", None), ("x", True)], "run_id string, enabled boolean")
+    seeds = spark.createDataFrame([("c",), ("c",)], "run_id string")
+    found = A.run_record_issues(runs, searches, seeds)
+    assert sorted((r.entity_id, r.check) for r in found.collect()) == [
+        ("a", "claim_map_invalid"), ("a", "empty_search_plan"), ("b", "placeholder_synthesis_used"), ("b", "section_coverage_missing"), ("c", "section_coverage_incomplete")]
+    assert A.run_record_issues(runs.limit(0), searches, seeds).count() == 0
