@@ -47,8 +47,13 @@ def folded_text(value: str | Column) -> Column:
 
 def quote_check(quote: str | Column, text: str | Column, folded_quote: str | Column, folded: str | Column, min_length: int = 12) -> Column:
     """Struct of status, method, matched excerpt and confidence."""
-    quote, text, fq, ft = strip(quote), as_col(text), as_col(folded_quote), as_col(folded)
-    exact = text.contains(quote)
+    quote = strip(quote)
+    return settled_check(quote, (F.length(quote) >= min_length) & ~as_col(text).contains(quote), folded_quote, folded, min_length)
+
+
+def settled_check(quote: str | Column, open_: str | Column, folded_quote: str | Column, folded: str | Column, min_length: int = 12) -> Column:
+    """The struct of :func:`quote_check` for a stripped quote; ``open_``: long enough, and not in the text as it is."""
+    quote, fq, ft = as_col(quote), as_col(folded_quote), as_col(folded)
     close = (F.length(fq) >= min_length) & ft.contains(fq)
 
     def result(status: str, method: str, excerpt: Column, confidence: float) -> Column:
@@ -58,7 +63,7 @@ def quote_check(quote: str | Column, text: str | Column, folded_quote: str | Col
 
     return (
         F.when(F.length(quote) < min_length, result("failed", "none", F.lit(""), 0.0))
-        .when(exact, result("passed", "exact", quote, 1.0))
+        .when(~as_col(open_), result("passed", "exact", quote, 1.0))
         .when(close, result("passed", "normalized", quote, 0.9))
         .otherwise(result("failed", "normalized", F.lit(""), 0.0))
     )

@@ -11,25 +11,54 @@ from evistrata.functions import quotes as Q
 from evistrata.functions import text as X
 
 
-def verify_prefixes(quotes: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+#: Quotes that share one copy of their document's text.
+BLOCK = 256
+
+
+def quote_blocks(quotes: DataFrame, texts: DataFrame, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """The columns of ``texts`` and ``_quotes``, one row per document and about ``block`` of its distinct quotes.
+
+    A document with a third of all quotes is dealt over many rows by the hash of the quote, and its
+    text is shipped once per block, not once per quote.  A NULL quote counts as empty.
+    """
+    asked = quotes.select(key, F.coalesce("quote", F.lit("")).alias("_q")).distinct()
+    blocks = asked.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_blocks"))
+    dealt = asked.join(blocks, key).groupBy(key, F.pmod(F.xxhash64("_q"), F.col("_blocks")).alias("_block"))
+    packed = dealt.agg(F.collect_list("_q").alias("_quotes")).drop("_block")
+    return packed.join(texts, key)
+
+
+def _answered(quotes: DataFrame, answers: DataFrame, key: str, name: str) -> DataFrame:
+    """``quotes`` with the answer to their text; quotes without a document are not judged."""
+    return quotes.withColumn("_q", F.coalesce("quote", F.lit(""))).join(answers.select(key, "_q", name), [key, "_q"]).select(*quotes.columns, name)
+
+
+def verify_prefixes(quotes: DataFrame, documents: DataFrame, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Quotes with ``found`` by prefix containment.
 
-    Documents are reduced to their letters once, and only those that quotes name.
-    Quotes without a document are not judged.
+    A text that quotes name is reduced to its letters once; equal quotes of one document are
+    looked for once.  A NULL text counts as empty.
+    """
+    named = documents.join(quotes.select(key).distinct(), key, "left_semi")
+    letters = named.select(key, Q.letters_only(F.coalesce("text", F.lit(""))).alias("_letters"))
+    rows = quote_blocks(quotes, letters, key, block).select(key, "_letters", F.explode("_quotes").alias("_q"))
+    return _answered(quotes, rows.withColumn("found", Q.prefix_found("_q", "_letters")), key, "found")
+
+
+def validate_quotes(quotes: DataFrame, documents: DataFrame, key: str = "doc_id", min_length: int = 12, block: int = BLOCK) -> DataFrame:
+    """Quotes with their ``check`` struct against the named document.
+
+    Quotes that occur as they are settle first.  A text is folded once per block, and only if a
+    quote of the block is still open, so no other text crosses to Python.  A NULL text counts as empty.
     """
-    wanted = documents.join(quotes.select(key).distinct(), key, "left_semi")
-    letters = wanted.select(key, Q.letters_only("text").alias("_letters"))
-    joined = quotes.join(letters, key)
-    return joined.withColumn("found", Q.prefix_found("quote", "_letters")).drop("_letters")
-
-
-def validate_quotes(quotes: DataFrame, documents: DataFrame, key: str = "doc_id", min_length: int = 12) -> DataFrame:
-    """Quotes with their ``check`` struct against the named document."""
-    wanted = documents.join(quotes.select(key).distinct(), key, "left_semi")
-    folded = wanted.select(key, F.col("text").alias("_text"), Q.folded_text("text").alias("_folded"))
-    asked = quotes.withColumn("_fq", Q.folded_text(X.strip("quote")))
-    joined = asked.join(folded, key)
-    return joined.withColumn("check", Q.quote_check("quote", "_text", "_fq", "_folded", min_length)).drop("_text", "_folded", "_fq")
+    blocks = quote_blocks(quotes, documents.select(key, F.coalesce("text", F.lit("")).alias("_text")), key, block)
+    given = F.transform("_quotes", lambda q: F.struct(q.alias("_q"), X.strip(q).alias("_s")))
+    tried = blocks.withColumn("_quotes", F.transform(given, lambda q: q.withField(
+        "_open", (F.length(q["_s"]) >= min_length) & ~F.col("_text").contains(q["_s"]))))
+    opened = F.exists("_quotes", lambda q: q["_open"])
+    folded = tried.withColumn("_folded", Q.folded_text(F.when(opened, F.col("_text"))))
+    rows = folded.select(key, "_folded", F.inline("_quotes")).withColumn("_fq", Q.folded_text(F.when(F.col("_open"), F.col("_s"))))
+    return _answered(quotes, rows.withColumn("check", Q.settled_check("_s", "_open", "_fq", "_folded", min_length)), key, "check")
 
 
 def pass_rates(verified: DataFrame, by: Sequence[str] = ()) -> DataFrame:
