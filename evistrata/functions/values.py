@@ -137,7 +137,7 @@ def outcome_spec(fields: Mapping[str, Mapping], configured: Mapping[str, Mapping
         "domain": {"type": "string", "required": True},
         "effect_direction": {"type": "enum", "values": list(EFFECT_DIRECTIONS), "required": True},
         "support_relation": {"type": "enum", "values": list(SUPPORT_RELATIONS), "required": True},
-        "evidence": {"type": "list", "required": True},
+        "evidence": {"type": "list", "required": True, "item_schema": {"quote": {"type": "string", "required": True}}},
     }
     return {**standard, **older}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evistrata.common import cut_lineage
+from evistrata.functions import typed
 from evistrata.functions import values as V
 from evistrata.functions.keys import configured_outcome_key, outcome_identity, stable_id
 from evistrata.operators import extraction as ops
@@ -100,6 +101,53 @@ def p57(spark, d):
     return o.join(keyed, "outcome_id").select("outcome_id", F.inline_outer(V.validation_errors(F.map_from_entries(pairs), spec))).filter("field is not null")
 
 
+TYPED_SPEC = {
+    "type": {"type": "enum", "values": ["ECONOMY", "STANDARD", "PROMO"], "required": True},
+    "size": {"type": "integer", "required": True, "validation_rule": {"min": 5, "max": 40}},
+    "price": {"type": "number"},
+    "note": {"type": "string", "validation_rule": {"pattern": "^s"}},
+    "meta": {"type": "object"},
+    "evidence": {"type": "list", "required": True, "item_schema": {"quote": {"type": "string", "required": True}, "page": {"type": "integer", "validation_rule": {"min": 3}}}},
+}
+
+
+@query("p37_typed_errors", """
+select p_partkey, 'type' as field, 'expected_enum' as error from part where p_type not in ('ECONOMY', 'STANDARD', 'PROMO')
+union all select p_partkey, 'size', case p_brand when 'Brand#2' then 'expected_integer' when 'Brand#4' then 'required' else case when p_size < 5 then 'below_minimum' else 'above_maximum' end end from part
+  where p_brand in ('Brand#2', 'Brand#4') or p_size < 5 or p_size > 40
+union all select p_partkey, 'price', 'expected_number' from part where p_brand = 'Brand#3'
+union all select p_partkey, 'note', 'pattern_mismatch' from part where p_name not like 's%'
+union all select p_partkey, 'meta', 'expected_object' from part where p_brand = 'Brand#5'
+union all select p_partkey, 'evidence', 'required' from part where p_brand = 'Brand#6'
+union all select p_partkey, 'evidence[0].page', 'below_minimum' from part where p_brand <> 'Brand#6' and p_size < 3
+union all select p_partkey, 'evidence[1]', 'expected_object' from part where p_brand <> 'Brand#6' and p_type = 'ECONOMY'
+union all select p_partkey, unnest(['evidence[1].quote', 'evidence[1].page']), unnest(['required', 'expected_integer']) from part where p_brand <> 'Brand#6' and p_type <> 'ECONOMY'
+union all select p_partkey, 'evidence[2].quote', 'expected_string' from part where p_brand <> 'Brand#6'""")
+def p37_typed(spark, d):
+    def brand(n):
+        return F.col("p_brand") == f"Brand#{n}"
+    size = F.col("p_size").cast("string")
+    stated = F.when(brand(2), F.format_string('"size": "%s", ', size)).when(brand(4), "").otherwise(F.format_string('"size": %s, ', size))
+    listed = F.format_string(', "evidence": [{"quote": "%s", "page": %s}, %s, {"quote": null, "page": 9}]', "p_name", size,
+                             F.when(F.col("p_type") == "ECONOMY", '"bare"').otherwise('{"page": 1.5}'))
+    document = F.concat(F.lit('{"type": "'), "p_type", F.lit('", '), stated, F.lit('"price": '), F.when(brand(3), "true").otherwise(F.col("p_retailprice").cast("string")),
+                        F.lit(', "note": "'), "p_name", F.lit('", "meta": '), F.when(brand(5), "[]").otherwise("{}"), F.when(brand(6), "").otherwise(listed), F.lit("}"))
+    found = table(spark, d, "part").select("p_partkey", typed.document_errors(document, TYPED_SPEC).alias("e"))
+    return found.select("p_partkey", F.inline("e"))
+
+
+@query("p57_typed_outcome_errors", f"""
+with {OUTCOMES_SQL}, r as (select *, unnest(generate_series(0, n_evidence - 1)) as i from outc where n_evidence > 0)
+select outcome_id, 'evidence[' || i || '].quote' as field, 'required' as error from r where validation_status = 'failed'
+union all select outcome_id, 'effect_direction', 'expected_enum' from outc where effect_direction = 'mixed'""")
+def p57_typed(spark, d):
+    o = outcomes(spark, d)
+    quoted = F.transform("evidence", lambda e: F.struct(F.when(e["validation_status"] != "failed", e["quote"]).alias("quote"), e["page"].alias("page")))
+    direction = F.when(F.col("effect_direction") == "mixed", "both").otherwise(F.col("effect_direction")).alias("effect_direction")
+    document = F.to_json(F.struct("domain", direction, "support_relation", quoted.alias("evidence")))
+    return o.select("outcome_id", F.inline(typed.document_errors(document, V.outcome_spec({}))))
+
+
 @query("p38_support_relation", f"""
 with {OUTCOMES_SQL} select outcome_id, case when domain not in ('d0', 'd1') then 'unclear' when effect_direction = case domain when 'd0' then 'increase' else 'decrease' end then 'supports'
   when effect_direction in ('increase', 'decrease') then 'contradicts' when effect_direction = 'no_change' then 'neutral' when effect_direction = 'mixed' then 'mixed' else 'unclear' end as relation from outc""")
