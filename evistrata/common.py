@@ -55,7 +55,7 @@ def first_seen(df: DataFrame, key: str | Column, order: str | Column) -> DataFra
 
 # --- numbering along an order --------------------------------------------
 
-def _in_ranges(df: DataFrame, keys: Sequence[str], order: str | Column, extra_order: Sequence[Column] = ()) -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str], order: str | Column, extra_order: Sequence[Column] = ()) -> DataFrame:
     """``df`` in order of (keys, order), written, with ``_id`` ascending along that order and ``_range`` of the row.
 
     Spark samples the rows for the bounds of the ranges, so each gets about its share of the
@@ -67,7 +67,8 @@ def _in_ranges(df: DataFrame, keys: Sequence[str], order: str | Column, extra_or
     return written(dealt, "ranges").withColumn("_range", F.shiftright("_id", 33))
 
 
-def _same(left: str, right: str, names: Sequence[str]) -> list[Column]:
+def same_row(left: str, right: str, names: Sequence[str]) -> list[Column]:
+    """Join condition on ``names`` of two aliases, nulls equal."""
     return [F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}")) for name in names]
 
 
@@ -79,11 +80,11 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str | Column, out: st
     first row there, plus the key's rows in the ranges before, known from one count per key and
     range.  Nulls come first.
     """
-    dealt = _in_ranges(df, keys, order, extra_order)
+    dealt = in_ranges(df, keys, order, extra_order)
     heads = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = dealt.alias("n").join(heads.alias("h"), _same("n", "h", [*keys, "_range"]))
+    joined = dealt.alias("n").join(heads.alias("h"), same_row("n", "h", [*keys, "_range"]))
     return joined.select(*[F.col(f"n.{c}") for c in df.columns], (F.col("n._id") - F.col("h._first") + F.col("h._before") + 1).cast("bigint").alias(out))
 
 
@@ -93,11 +94,11 @@ def lag_along(df: DataFrame, keys: Sequence[str], seq: str, value: str, out: str
     Within a range the row before is the one with the number before; the first row of a key in a
     range takes the last value of the key in its range before.
     """
-    dealt = _in_ranges(df, keys, seq)
+    dealt = in_ranges(df, keys, seq)
     heads = dealt.groupBy(*keys, "_range").agg(F.min("_id").alias("_first"), F.max_by(value, "_id").alias("_last"))
     heads = heads.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")))
     stepped = dealt.withColumn("_lag", F.lag(value).over(Window.partitionBy("_range").orderBy("_id")))
-    joined = stepped.alias("n").join(heads.alias("h"), _same("n", "h", [*keys, "_range"]))
+    joined = stepped.alias("n").join(heads.alias("h"), same_row("n", "h", [*keys, "_range"]))
     previous = F.when(F.col("n._id") == F.col("h._first"), F.col("h._carry")).otherwise(F.col("n._lag"))
     return joined.select(*[F.col(f"n.{c}") for c in df.columns], previous.alias(out))
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.common import latest_by, number_rows, top_k, written
+from evistrata.common import latest_by, number_rows, same_row, top_k, written
 from evistrata.functions import findings as N
 from evistrata.functions.text import search_terms
 
@@ -148,11 +148,34 @@ def crosstab(rows: DataFrame, row: str, column: str) -> DataFrame:
     return rows.groupBy(F.col(row).alias("row_value"), F.col(column).alias("column_value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def crosstab_gaps(counts: DataFrame) -> DataFrame:
-    """Cells without evidence (A31): per row value, the column values it lacks."""
-    columns = counts.agg(F.collect_set("column_value").alias("all")).scalar()
-    seen = counts.groupBy("row_value").agg(F.collect_set("column_value").alias("_seen"))
-    return seen.select("row_value", F.explode(F.array_except(columns, F.col("_seen"))).alias("column_value"))
+def crosstab_gap_counts(counts: DataFrame) -> DataFrame:
+    """Filled and empty cells per row value (A31), without listing any."""
+    columns = counts.agg(F.countDistinct("column_value")).scalar()
+    return counts.groupBy("row_value").agg(F.count("column_value").alias("filled")).select("row_value", "filled", (columns - F.col("filled")).alias("empty"))
+
+
+def crosstab_gaps(counts: DataFrame, rows: DataFrame | None = None, size: int = 1000) -> DataFrame:
+    """Cells without evidence (A31): per row value, the column values it lacks.
+
+    Runs jobs.  Ask for the row values in ``rows`` (row_value) where the crosstab is large: the
+    answer for all of them has as many rows as there are empty cells.  Column values are numbered
+    and kept in buckets of ``size``; a row value meets one bucket at a time, so no array
+    outgrows a bucket and nothing reaches the driver.  A null column value is no cell.
+    """
+    if rows is not None:
+        asked = rows.select("row_value").distinct()
+        counts_of = counts.alias("n").join(asked.alias("h"), same_row("n", "h", ["row_value"]), "left_semi")
+    else:
+        counts_of = counts
+    columns = number_rows(counts.select("column_value").filter("column_value is not null").distinct(), [], "column_value", "_n")
+    columns = columns.select("column_value", F.floor((F.col("_n") - 1) / F.lit(size)).alias("_bucket"))
+    whole = columns.groupBy("_bucket").agg(F.collect_list("column_value").alias("_all"))
+    seen = counts_of.join(columns, "column_value").groupBy("row_value", "_bucket").agg(F.collect_list("column_value").alias("_seen"))
+    last = columns.agg(F.max("_bucket")).scalar()
+    grid = counts_of.select("row_value").distinct().withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    met = grid.alias("n").join(seen.alias("h"), same_row("n", "h", ["row_value", "_bucket"]), "left").select("n.row_value", "n._bucket", "h._seen")
+    lacked = F.when(F.col("_seen").isNull(), F.col("_all")).otherwise(F.array_except("_all", "_seen"))
+    return met.join(whole, "_bucket").select("row_value", F.explode(lacked).alias("column_value"))
 
 
 def best_views(views: DataFrame, keys: Sequence[str], position: str = "position") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistrata.common import in_ranges, same_row
 from evistrata.functions import packing as P
 from evistrata.functions.values import cosine
 
@@ -106,25 +107,38 @@ def missing_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return todo.groupBy("chunk_hash").agg(F.min("text").alias("text"))
 
 
-def merge_range_rows(ranges: DataFrame, keys: Sequence[str] = ("doc_id",), gap: int = 300, width: int = 1_000_000) -> DataFrame:
+def merge_range_rows(ranges: DataFrame, keys: Sequence[str] = ("doc_id",), gap: int = 300) -> DataFrame:
     """Gaps-and-islands over a table of (keys, start, end) rows.
 
-    Islands are formed per stretch of ``width`` characters first, so one long
-    document is spread over tasks; joining the islands again gives the same
-    result because merging is associative.
+    Runs a job: the rows are dealt over ranges of (keys, start, end) by sampled quantiles, so a key
+    with a third of the rows is spread over tasks like any other.  Each range forms islands from
+    its own rows and the furthest end its key reached in the ranges before; an island that goes on
+    takes the name of the one it continues.  Ranges are contiguous, so a range has at most one key
+    from the ranges before; only those keys are looked up, at most one row per range.
     """
     usable = ranges.filter(F.col("end") > F.col("start")).select(
         *keys, F.greatest("start", F.lit(0)).alias("start"), F.greatest("end", F.lit(0)).alias("end"))
-
-    def islands(df: DataFrame, by: Sequence[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("start", "end")
-        reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        opened = F.when(reached.isNull() | (F.col("start") > reached + gap), 1).otherwise(0)
-        tagged = df.withColumn("_new", opened).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return tagged.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
-
-    local = islands(usable.withColumn("_stretch", F.floor(F.col("start") / F.lit(width))), [*keys, "_stretch"])
-    return islands(local.drop("_stretch"), list(keys))
+    dealt = in_ranges(usable, keys, "start", [F.col("end")])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("_range", *keys).orderBy("_id")
+
+    reach = dealt.groupBy(*keys, "_range").agg(F.max("end").alias("_reach"))
+    carried = reach.withColumn("_carried", F.max("_reach").over(before)).filter("_carried is not null")
+    known = dealt.alias("n").join(carried.alias("h"), same_row("n", "h", [*keys, "_range"]), "left")
+    known = known.select(*[F.col(f"n.{c}") for c in dealt.columns], "h._carried")
+    reached = F.greatest("_carried", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.when(reached.isNull() | (F.col("start") > reached + gap), 1).otherwise(0)
+    numbered = known.withColumn("_opens", opens).withColumn("_place", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = numbered.groupBy(*keys, "_range", "_place").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+    # Place 0 of a range continues the island its key opened last in a range before.
+    opened = parts.groupBy(*keys, "_range").agg(F.max("_place").alias("_last"))
+    last = F.when(F.col("_last") > 0, F.struct("_range", F.col("_last").alias("_place")))
+    opened = opened.withColumn("_open", F.max(last).over(before)).filter("_open is not null")
+    named = parts.alias("n").join(opened.alias("h"), same_row("n", "h", [*keys, "_range"]), "left")
+    island = F.when(F.col("n._place") == 0, F.col("h._open")).otherwise(F.struct("n._range", "n._place"))
+    named = named.select(*[F.col(f"n.{c}") for c in [*keys, "start", "end"]], island.alias("_island"))
+    return named.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def best_per_section(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -192,6 +192,23 @@ def a31b(spark, d):
     return ops.crosstab_gaps(ops.crosstab(cells(spark, d), "p_brand", "cell"))
 
 
+@query("a31_gap_counts", f"""
+with {CELL_SQL} select row_value, count(*) as filled, (select count(distinct column_value) from c) - count(*) as empty from c group by 1""")
+def a31c(spark, d):
+    return ops.crosstab_gap_counts(ops.crosstab(cells(spark, d), "p_brand", "cell"))
+
+
+# The gaps of the brands that make the dearest part of a size.
+@query("a31_asked_gaps", f"""
+with {CELL_SQL}, asked as (select arg_max(p_brand, (p_retailprice, p_partkey)) as row_value from part group by p_size)
+select r.row_value, k.column_value from (select distinct row_value from c where row_value in (select row_value from asked)) r
+cross join (select distinct column_value from c) k
+where not exists (select 1 from c where c.row_value = r.row_value and c.column_value = k.column_value)""")
+def a31d(spark, d):
+    asked = table(spark, d, "part").groupBy("p_size").agg(F.max_by("p_brand", F.struct("p_retailprice", "p_partkey")).alias("row_value"))
+    return ops.crosstab_gaps(ops.crosstab(cells(spark, d), "p_brand", "cell"), asked)
+
+
 def views(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")

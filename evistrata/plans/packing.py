@@ -132,7 +132,19 @@ select doc_id, min(a) as "start", max(b) as "end" from g group by doc_id, isl"""
 def w6(spark, d):
     start = (F.col("l_partkey") % 1000 - 20)
     r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.col("l_quantity")).cast("bigint").alias("end"))
-    return ops.merge_range_rows(r, gap=30, width=400)
+    return ops.merge_range_rows(r, gap=30)
+
+
+# One key owns every row: the places of all line items along one axis.
+@query("w6_merge_hot_key", """
+with r as (select 1 as doc_id, l_orderkey * 200 + l_partkey % 150 as a, (l_orderkey * 200 + l_partkey % 150 + l_quantity)::bigint as b from lineitem),
+f as (select *, case when a > max(b) over (order by a, b rows between unbounded preceding and 1 preceding) + 30 then 1 else 0 end as fresh from r where b > a),
+g as (select *, sum(fresh) over (order by a, b rows unbounded preceding) as isl from f)
+select doc_id, min(a) as "start", max(b) as "end" from g group by doc_id, isl""")
+def w6_hot(spark, d):
+    start = F.col("l_orderkey") * 200 + F.col("l_partkey") % 150
+    r = table(spark, d, "lineitem").select(F.lit(1).alias("doc_id"), start.alias("start"), (start + F.col("l_quantity")).cast("bigint").alias("end"))
+    return ops.merge_range_rows(r, gap=30)
 
 
 @query("p19_u2_scored_chunks", f"""

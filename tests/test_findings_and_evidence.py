@@ -101,3 +101,18 @@ def test_manual_and_failed_locations(spark):
     assert rows(judged.select("outcome_id", "validation_status", "confidence"), "outcome_id") == [("o1", "passed", 1.0), ("o2", "failed", 0.0), ("o3", "passed", 1.0)]
     assert rows(errors.select("outcome_id"), "outcome_id") == [("o2",)]
     assert rows(X.judge_locations(df)[0].select("outcome_id", "validation_status"), "outcome_id") == [("o1", "passed"), ("o2", "unverified"), ("o3", "unverified")]
+
+
+def test_crosstab_gaps_in_buckets(spark):
+    filled = [(r, c) for r in (None, "a", "b", "c") for c in range(25) if r != "c" and (c * 7 + len(r or "")) % 3]
+    counts = spark.createDataFrame([(r, f"v{c:02d}", 1) for r, c in filled] + [("c", None, 4)], "row_value string, column_value string, n bigint")
+    columns = {f"v{c:02d}" for _, c in filled}
+    want = {(r, c) for r in (None, "a", "b", "c") for c in columns} - {(r, f"v{c:02d}") for r, c in filled}
+    for size in (1, 4, 1000):
+        got = [tuple(r) for r in ops.crosstab_gaps(counts, size=size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    asked = spark.createDataFrame([(None,), ("c",), ("gone",), ("c",)], "row_value string")
+    assert {tuple(r) for r in ops.crosstab_gaps(counts, asked, 4).collect()} == {w for w in want if w[0] in (None, "c")}
+    empty = {r.row_value: (r.filled, r.empty) for r in ops.crosstab_gap_counts(counts).collect()}
+    assert empty["c"] == (0, len(columns)) and empty["a"] == (sum(r == "a" for r, _ in filled), sum(w[0] == "a" for w in want))
+    assert ops.crosstab_gaps(counts.limit(0)).count() == 0 and ops.crosstab_gap_counts(counts.limit(0)).count() == 0

@@ -49,9 +49,9 @@ def brute_merge(ranges, gap):
     return [tuple(x) for x in out]
 
 
-def merged(spark, ranges, gap, width=1_000_000):
+def merged(spark, ranges, gap):
     df = spark.createDataFrame([("d", a, b) for a, b in ranges], "doc_id string, start bigint, end bigint")
-    table = [(r.start, r.end) for r in ops.merge_range_rows(df, gap=gap, width=width).orderBy("start").collect()]
+    table = [(r.start, r.end) for r in ops.merge_range_rows(df, gap=gap).orderBy("start").collect()]
     inline = df.agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("r"))
     array = [(r.start, r.end) for r in inline.select(F.inline(P.merge_ranges(F.col("r"), gap))).orderBy("start").collect()]
     assert table == array
@@ -64,11 +64,23 @@ def test_merge_fixture(spark):
     assert merged(spark, [(-50, 100), (10, 10)], 0) == [(0, 100)]
 
 
-@pytest.mark.parametrize("width", [37, 1_000_000])
-def test_merge_equals_brute_force(spark, width):
+@pytest.mark.parametrize("longest", [40, 3000])
+def test_merge_equals_brute_force(spark, longest):
     rng = random.Random(7)
-    ranges = [(a, a + rng.randrange(-3, 40)) for a in (rng.randrange(-10, 6000) for _ in range(300))]
-    assert merged(spark, ranges, 5, width) == brute_merge(ranges, 5)
+    ranges = [(a, a + rng.randrange(-3, longest if a % 40 == 0 else 40)) for a in (rng.randrange(-10, 6000) for _ in range(300))]
+    assert merged(spark, ranges, 5) == brute_merge(ranges, 5)
+
+
+def test_merge_of_hot_sparse_and_null_keys_over_ranges(spark):
+    rng = random.Random(11)
+    data = [(k, a, a + rng.randrange(1, 30)) for k, n in (("hot", 900), (None, 300), ("b", 5)) for a in (rng.randrange(0, 20_000) for _ in range(n))]
+    # One island of the hot key spans several ranges, and one range opens nothing.
+    data += [("hot", 2_000, 15_000), ("z", 10**15, 10**15 + 1)]
+    df = spark.createDataFrame(data, "doc_id string, start bigint, end bigint").repartition(6)
+    got = sorted((r.doc_id or "", r.start, r.end) for r in ops.merge_range_rows(df, gap=5).collect())
+    want = [(k or "", a, b) for k in {k for k, _, _ in data} for a, b in brute_merge([(a, b) for key, a, b in data if key == k], 5)]
+    assert got == sorted(want)
+    assert ops.merge_range_rows(df.limit(0), gap=5).count() == 0
 
 
 def brute_windows(text, terms, radius, gap):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from evistrata.common import _in_ranges, number_rows
+from evistrata.common import in_ranges, number_rows
 from evistrata.functions import keys, text
 from evistrata.operators import evidence, extraction, quotes, synthesis
 from evistrata.sources import ledgers
@@ -21,7 +21,7 @@ def test_ranges_hold_their_share_whatever_the_order(spark, outlier):
     for order in ("key", "seq"):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep small ranges apart
         try:
-            sizes = [r["count"] for r in _in_ranges(ids, ["section"], order).groupBy("_range").count().collect()]
+            sizes = [r["count"] for r in in_ranges(ids, ["section"], order).groupBy("_range").count().collect()]
         finally:
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         assert len(sizes) >= 4 and max(sizes) <= 2 * len(rows) / len(sizes)
