@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.common import as_col, first_seen
+from evistrata.common import as_col, first_seen, written
 from evistrata.functions import rules as R
 from evistrata.functions.keys import record_key, stable_id, title_key
 from evistrata.functions.text import strip
@@ -28,42 +31,62 @@ def stamp_provenance(df: DataFrame, search_id: str, source: str, query: str, run
     })
 
 
+LOG_SCHEMA = (
+    "run_id string, search_id string, source string, exact_query string, execution_time timestamp, tool_api_version string,"
+    " raw_count bigint, accepted_count bigint, error string, duration_seconds double, protocol_hash string")
+
+
+def _search(path: Mapping, runners: Mapping[str, SearchRunner], run_id: str, limit: int) -> DataFrame:
+    """Records of one search path, read in full and written."""
+    if not path.get("query"):
+        raise ValueError("query must not be empty")
+    if path.get("source") not in runners:
+        raise ValueError(f"no search runner registered for source {path.get('source')!r}")
+    records = runners[path["source"]](path["query"], limit)
+    if not isinstance(records, DataFrame):
+        raise TypeError("a search runner must return a DataFrame")
+    return written(stamp_provenance(records, path["id"], path["source"], path["query"], run_id), "search")
+
+
 def run_searches(
     spark: SparkSession,
     searches: Sequence[Mapping],
     runners: Mapping[str, SearchRunner],
-    run_id: str,
+    run_id: str | None = None,
     seeds: DataFrame | None = None,
     only: str | None = None,
     limit: int = 100,
     allow_empty: bool = False,
+    protocol_hash: str = "",
+    tool_version: str = "1.0",
 ) -> tuple[DataFrame | None, DataFrame]:
     """Union of seeds and all enabled search paths, and the log of the paths.
 
-    A path that cannot be planned becomes a log row with an error; the others go on.
+    Runs one job per path: its records are read in full and written to the shared folder.  A path
+    that cannot be planned, fails while it is read or does not fit the others' columns becomes a log
+    row with an error and no records, not even those it gave before it failed; the others go on.
+    Without ``run_id`` each path gets an id from its name and start.  Seeds are not logged.
     """
     chosen = [s for s in searches if s.get("enabled", True) and only in (None, s.get("id"))]
     if only is not None and not chosen:
         raise ValueError(f"enabled search {only!r} was not found")
     if not chosen and seeds is None and not allow_empty:
         raise ValueError("the search plan has neither enabled searches nor seed records")
-    found = [] if seeds is None else [stamp_provenance(seeds, "seed", "seed", "", "seed")]
+    raw = None if seeds is None else stamp_provenance(seeds, "seed", "seed", "", "seed")
     log = []
     for path in chosen:
-        error = None
+        begun, clock = datetime.now(timezone.utc), time.monotonic()
+        token = run_id or "searchrun_" + hashlib.sha256(f"{path.get('id')}|{begun.isoformat()}".encode()).hexdigest()[:16]
+        error, count = None, 0
         try:
-            if not path.get("query"):
-                raise ValueError("query must not be empty")
-            records = runners[path["source"]](path["query"], limit)
-            found.append(stamp_provenance(records, path["id"], path["source"], path["query"], run_id))
+            records = _search(path, runners, token, limit)
+            count = records.count()
+            raw = records if raw is None else raw.unionByName(records, allowMissingColumns=True)
         except Exception as exc:  # one failed path must not lose the others
-            error = f"{type(exc).__name__}: {exc}"
-        log.append((run_id, path.get("id"), path.get("source"), path.get("query"), error))
-    raw = None
-    for part in found:
-        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
-    log_df = spark.createDataFrame(log, "run_id string, search_id string, source string, exact_query string, error string")
-    return raw, log_df
+            error, count = f"{type(exc).__name__}: {exc}", 0
+        log.append((token, path.get("id"), path.get("source"), path.get("query"), begun, path.get("api_version", tool_version),
+                    count, count, error, round(time.monotonic() - clock, 6), protocol_hash))
+    return raw, spark.createDataFrame(log, LOG_SCHEMA)
 
 
 def with_record_key(raw: DataFrame) -> DataFrame:
@@ -121,13 +144,23 @@ def filter_candidates(
 
 
 def search_summary(log: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """Raw count and failures per search."""
+    """Runs and failures per search, and with keyed records their raw and unique count.
+
+    A search without records counts 0, records without a log row (seeds) have no runs.
+    """
     runs = log.groupBy("search_id").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(F.col("error").isNotNull()).alias("failures"))
     if raw is None:
         return runs
     counts = raw.groupBy("search_id").agg(F.count(F.lit(1)).alias("raw_count"), F.countDistinct("record_key").alias("unique_count"))
-    return runs.join(counts, "search_id", "full_outer")
+    return runs.join(counts, "search_id", "full_outer").fillna(0, ["runs", "failures", "raw_count", "unique_count"])
+
+
+def run_summary(log: DataFrame, keyed: DataFrame) -> DataFrame:
+    """One row for the whole ledger (A16): raw and unique records, failures."""
+    failures = log.agg(F.count_if(F.col("error").isNotNull())).scalar()
+    unique = keyed.groupBy("record_key").agg(F.count(F.lit(1)).alias("_n"))
+    return unique.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("raw_records"), F.count(F.lit(1)).alias("unique_records")).withColumn("failures", failures)
 
 
 def file_name(path: str | Column) -> Column:

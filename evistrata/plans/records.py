@@ -145,6 +145,51 @@ def u1(spark, d):
     return raw.groupBy("search_id", "source", "run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("raw_record_id").alias("ids"))
 
 
+def _searched(spark, d):
+    """Seeds and four searches: one reads to the end, one fails while it is read, one lacks a runner, one lacks a query."""
+    r = records(spark, d).drop("raw_record_id", "search_id", "run_id", "source")
+    broken = F.when(F.col("seq") % 6 == 4, F.raise_error(F.lit("the source broke off")).cast("string")).otherwise(F.col("title"))
+    runners = {"alpha": lambda q, n: r.filter("seq % 3 = 1"), "beta": lambda q, n: r.filter("seq % 3 <> 0").withColumn("title", broken)}
+    plan = [{"id": "s1", "source": "alpha", "query": "a"}, {"id": "s2", "source": "beta", "query": "b"},
+            {"id": "s3", "source": "gone", "query": "c"}, {"id": "s4", "source": "alpha", "query": ""}]
+    return ops.run_searches(spark, plan, runners, "r1", seeds=r.filter("seq % 3 = 0"), protocol_hash="p")
+
+
+# Records of a failed search are lost as a whole; seeds and s1 stay.
+SEARCHED_SQL = f"""{RECORDS_SQL}, found as (
+  select case when seq % 3 = 0 then 'seed' else 's1' end as search_id,
+    case when doi is not null then 'doi:' || doi when title_key <> '' then 'title:' || title_key else 'raw:' || seq end as record_key
+  from tit where seq % 3 < 2)"""
+
+
+@query("u1_search_log", """
+with n as (select count(*) as n from documents where doc_id % 3 = 1)
+select * from (values ('s1', 'alpha', 'a'), ('s2', 'beta', 'b'), ('s3', 'gone', 'c'), ('s4', 'alpha', '')) t(search_id, source, exact_query),
+lateral (select case search_id when 's1' then n else 0 end as raw_count, case search_id when 's1' then n else 0 end as accepted_count, search_id <> 's1' as failed,
+  search_id = 's2' as broke_off, 'p' as protocol_hash from n)""")
+def u1_log(spark, d):
+    _, log = _searched(spark, d)
+    return log.select("search_id", "source", "exact_query", "raw_count", "accepted_count", F.col("error").isNotNull().alias("failed"),
+                      F.coalesce(F.col("error").contains("the source broke off"), F.lit(False)).alias("broke_off"), "protocol_hash")
+
+
+@query("a16_searched_counts", f"""
+with {SEARCHED_SQL}, c as (select search_id, count(*) as raw_count, count(distinct record_key) as unique_count from found group by 1),
+l as (select * from (values ('s1', 1, 0), ('s2', 1, 1), ('s3', 1, 1), ('s4', 1, 1)) t(search_id, runs, failures))
+select search_id, coalesce(runs, 0)::bigint as runs, coalesce(failures, 0)::bigint as failures,
+  coalesce(raw_count, 0) as raw_count, coalesce(unique_count, 0) as unique_count from l full join c using (search_id)""")
+def a16_counts(spark, d):
+    raw, log = _searched(spark, d)
+    return ops.search_summary(log, ops.with_record_key(raw))
+
+
+@query("a16_run_summary", f"""
+with {SEARCHED_SQL} select count(*) as raw_records, count(distinct record_key) as unique_records, 3::bigint as failures from found""")
+def a16_run(spark, d):
+    raw, log = _searched(spark, d)
+    return ops.run_summary(log, ops.with_record_key(raw))
+
+
 KNOWN = "select distinct '10.' || (doc_id % 97) || '/x' as doi from labels where toxic = 1"
 
 

@@ -8,6 +8,7 @@ from evistrata.functions import rules as R
 from evistrata.operators import eligibility as gate
 from evistrata.operators import records as ops
 from evistrata.operators import screening
+from evistrata.sources.searches import search_runner
 from evistrata.streaming import ledger as stream
 
 RULES = {"categories": {
@@ -50,6 +51,32 @@ def test_failed_searches_do_not_lose_the_others(spark):
     assert seeded.count() == 1
 
 
+def test_a_search_that_breaks_off_costs_only_itself(spark):
+    def fetch(query, limit, page):
+        for i in range(limit):
+            if query == "broken" and page == "p2" and i == 2:
+                raise OSError("connection lost")
+            yield {"title": f"{query} {page} {i}", "doi": None if i else f"10.1/{page}", "more": "x"}
+
+    service = search_runner(spark, fetch, "title string, doi string, year int", ["p1", "p2"])
+    other = spark.createDataFrame([(0, "A", 2020)], "seq bigint, title string, year int").withColumn("doi", F.lit("10.1/p1"))
+    clash = other.withColumn("year", F.array("year"))
+    plan = [{"id": i, "source": s, "query": q} for i, s, q in (
+        ("one", "service", "good"), ("two", "service", "broken"), ("three", "list", "q"), ("four", "clash", "q"), ("five", "table", "q"))]
+    runners = {"service": service, "list": lambda q, n: [{"title": "A"}], "clash": lambda q, n: clash, "table": lambda q, n: other}
+    raw, log = ops.run_searches(spark, plan, runners, limit=4, protocol_hash="h")
+    done = {r.search_id: r for r in log.collect()}
+    assert {k: (r.raw_count, r.error is None) for k, r in done.items()} == {
+        "one": (8, True), "two": (0, False), "three": (0, False), "four": (0, False), "five": (1, True)}
+    assert "connection lost" in done["two"].error and done["three"].error.startswith("TypeError")
+    assert len({r.run_id for r in done.values()}) == 5 and all(r.duration_seconds >= 0 and r.protocol_hash == "h" for r in done.values())
+    assert rows(raw.filter("search_id = 'one'").select("title", "year"), "seq")[:2] == [("good p1 0", None), ("good p1 1", None)]
+    keyed = ops.with_record_key(raw)
+    assert [tuple(r) for r in ops.run_summary(log, keyed).collect()] == [(9, 8, 3)]
+    summary = {r.search_id: (r.runs, r.failures, r.raw_count, r.unique_count) for r in ops.search_summary(log, keyed).collect()}
+    assert summary["one"] == (1, 0, 8, 8) and summary["two"] == (1, 1, 0, 0)
+
+
 def test_screening_tiers(spark):
     data = [(1, "retrieval with vector search", 2025, 0), (2, "retrieval", 2012, 1), (3, "retrieval cooking vector search", 2018, 20), (4, "acceptance of gptlike systems", 2025, 9), (5, "the gpt model", 2025, 9)]
     df = spark.createDataFrame(data, "id int, blob string, year int, citations int")
