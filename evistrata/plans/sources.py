@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evistrata.common import cut_lineage, fresh_path, ordered
@@ -336,6 +337,56 @@ def r2(spark, d):
     return R.current_prisma(spark, _decision_changes(spark, d))
 
 
+def _resumed_decisions(spark, d, parts=3):
+    """The ledger in three deliveries, each holding early and late rows; the stream is started anew for each.
+
+    Returns the change folders, the snapshots (made after every second batch) and the checkpoint.
+    """
+    base = fresh_path(spark, "resumed")
+    events = table(spark, d, "events")
+    dealt = events.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(parts)))
+    for part in range(parts):
+        dealt.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{base}/in")
+        stream = ledger_columns(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
+        R.write_changes(R.latest_decision_stream(stream), f"{base}/changes", f"{base}/checkpoint", snapshots=f"{base}/state", every=2).awaitTermination()
+    return f"{base}/changes", f"{base}/state"
+
+
+@query("r1_resumed_decisions", f"with {LEDGER_SQL} select record_id, stage, decision, seq from latest")
+def r1_resumed(spark, d):
+    return R.current_decisions(spark, *_resumed_decisions(spark, d)).select("record_id", "stage", "decision", "seq")
+
+
+@query("r2_resumed_prisma", f"""
+with {LEDGER_SQL} select stage, count(*) as total, count(*) filter (where decision = 'duplicate') as duplicate, count(*) filter (where decision = 'exclude') as exclude,
+  count(*) filter (where decision = 'include') as include, count(*) filter (where decision = 'uncertain') as uncertain from latest group by stage""")
+def r2_resumed(spark, d):
+    return R.current_prisma(spark, *_resumed_decisions(spark, d))
+
+
+HORIZON_DAYS = 2
+
+
+# Deliveries come in time order, so every key is met in time. Which of its rows stay depends on the batches,
+# but kept rows of a key are always more than the horizon apart.
+@query("r3_horizon_dedup", "select distinct user_id, event_type, true as apart from events")
+def r3_horizon(spark, d, parts=4):
+    base = fresh_path(spark, "horizon")
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    seconds = F.col("ts").cast("double")
+    low, width = events.agg(F.min(seconds)).scalar(), events.agg((F.max(seconds) - F.min(seconds)) / parts).scalar()
+    dealt = events.withColumn("_part", F.coalesce(F.least(F.floor((seconds - low) / width), F.lit(parts - 1)), F.lit(0)))
+    for part in range(parts):
+        dealt.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        kept = R.distinct_records(stream, ["user_id", "event_type"], "ts", f"{HORIZON_DAYS} days")
+        R.write_changes(kept, f"{base}/changes", f"{base}/checkpoint", "append").awaitTermination()
+    kept = spark.read.schema(events.schema).parquet(f"{base}/changes")
+    gap = seconds - F.lag(seconds).over(Window.partitionBy("user_id", "event_type").orderBy("ts"))
+    apart = kept.withColumn("_apart", F.coalesce(gap > HORIZON_DAYS * 86_400, F.lit(True)))
+    return apart.groupBy("user_id", "event_type").agg(F.bool_and("_apart").alias("apart"))
+
+
 @query("r3_streaming_dedup", f"with {RECORDS_SQL} select distinct record_key from keyed where record_key not like 'raw:%'")
 def r3(spark, d):
     doc = F.col("doc_id")

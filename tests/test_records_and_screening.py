@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,42 @@ def test_stream_equals_batch_with_late_timestamps(spark, tmp_path):
     assert states == [[("R1", "exclude"), ("R2", "include")], [("R1", "include"), ("R2", "include")]]
     batch = screening.prisma_counts(screening.latest_decisions(spark.read.parquet(source)))
     assert rows(stream.current_prisma(spark, str(tmp_path / "out")), "stage") == rows(batch, "stage")
+
+
+def test_snapshots_bound_the_change_folders_over_restarts(spark, tmp_path):
+    source, out, state, cp = (str(tmp_path / n) for n in ("in", "out", "state", "cp"))
+    rng = random.Random(3)
+    for batch in range(7):
+        # Rows of earlier positions arrive late and must not win.
+        events = [(f"R{rng.randrange(5)}", "fulltext", rng.choice(["include", "exclude"]), rng.randrange(10_000) * 7 + batch) for _ in range(20)]
+        spark.createDataFrame(events, "record_id string, stage string, decision string, seq bigint").coalesce(1).write.mode("append").parquet(source)
+        stream_in = spark.readStream.schema("record_id string, stage string, decision string, seq bigint").parquet(source)
+        stream.write_changes(stream.latest_decision_stream(stream_in), out, cp, snapshots=state, every=3).awaitTermination()
+        whole = spark.read.parquet(source).groupBy("record_id", "stage").agg(F.max_by("decision", "seq").alias("decision"))
+        got = rows(stream.current_decisions(spark, out, state).select("record_id", "decision"), "record_id")
+        assert got == rows(whole.select("record_id", "decision"), "record_id")
+        assert len(list((tmp_path / "out").glob("batch=*"))) <= 3
+    # A batch that is replayed after its snapshot was published is not read again.
+    spark.createDataFrame([("R0", "fulltext", 10**9, "odd")], stream.DECISION_STATE).write.parquet(f"{out}/batch=2")
+    assert rows(stream.current_decisions(spark, out, state).select("record_id", "decision"), "record_id") == got
+
+
+def test_a_horizon_forgets_old_keys_and_drops_late_rows(spark, tmp_path):
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "record_key string, ts timestamp, n int"
+    day = [datetime(2024, 1, i + 1) for i in range(31)]
+    batches = [
+        [("a", day[0], 1), ("b", day[1], 2)],
+        [("a", day[2], 3), ("c", day[3], 4)],                      # a: within the horizon of its kept row
+        [("d", day[20], 5)],                                      # moves the watermark past a, b, c
+        [("a", day[25], 6), ("b", day[10], 7), ("d", day[21], 8)],  # a anew; b is late; d repeats
+    ]
+    held = []
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        kept = stream.distinct_records(spark.readStream.schema(schema).parquet(source), "record_key", "ts", "3 days")
+        run = stream.write_changes(kept, out, cp, "append")
+        run.awaitTermination()
+        held.append(run.lastProgress.stateOperators[0].numRowsTotal)
+    assert rows(spark.read.parquet(out).select("n"), "n") == [(1,), (2,), (4,), (5,), (6,)]
+    assert held[1] == 3 and held[-1] < 3
