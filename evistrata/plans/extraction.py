@@ -132,8 +132,7 @@ def p37_typed(spark, d):
                              F.when(F.col("p_type") == "ECONOMY", '"bare"').otherwise('{"page": 1.5}'))
     document = F.concat(F.lit('{"type": "'), "p_type", F.lit('", '), stated, F.lit('"price": '), F.when(brand(3), "true").otherwise(F.col("p_retailprice").cast("string")),
                         F.lit(', "note": "'), "p_name", F.lit('", "meta": '), F.when(brand(5), "[]").otherwise("{}"), F.when(brand(6), "").otherwise(listed), F.lit("}"))
-    found = table(spark, d, "part").select("p_partkey", typed.document_errors(document, TYPED_SPEC).alias("e"))
-    return found.select("p_partkey", F.inline("e"))
+    return typed.error_rows(table(spark, d, "part"), ["p_partkey"], document, TYPED_SPEC)
 
 
 @query("p57_typed_outcome_errors", f"""
@@ -145,7 +144,7 @@ def p57_typed(spark, d):
     quoted = F.transform("evidence", lambda e: F.struct(F.when(e["validation_status"] != "failed", e["quote"]).alias("quote"), e["page"].alias("page")))
     direction = F.when(F.col("effect_direction") == "mixed", "both").otherwise(F.col("effect_direction")).alias("effect_direction")
     document = F.to_json(F.struct("domain", direction, "support_relation", quoted.alias("evidence")))
-    return o.select("outcome_id", F.inline(typed.document_errors(document, V.outcome_spec({}))))
+    return typed.error_rows(o, ["outcome_id"], document, V.outcome_spec({}))
 
 
 @query("p38_support_relation", f"""

@@ -78,3 +78,24 @@ def test_other_texts_are_no_object(spark):
     for row in rows.select(typed.document_errors("doc", SPEC).alias("e")).collect():
         assert [tuple(e) for e in row.e] == [("", "expected_object")]
     assert rows.limit(0).select(F.inline(typed.document_errors("doc", SPEC))).count() == 0
+
+
+def test_a_document_is_parsed_once(spark):
+    """Written out per rule, the parse was multiplied at every level of items; under inner generators Spark repeats it in a filter."""
+    rows = spark.createDataFrame([(1, '{"name": "x"}')], "id bigint, doc string")
+    checked = typed.error_rows(rows, ["id"], "doc", SPEC)
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10000)
+    try:
+        plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1, plan
+
+
+def test_limits_of_lists_in_any_rule(spark):
+    spec = {"rows": {"type": "list", "missing_value": [], "item_schema": {"a": {"type": "object", "required": True}}}, "tags": {"type": "list", "missing_value": "none"}}
+    texts = ['{"rows": [], "tags": "none"}', ' {"rows": [{"a": {}}, {"a": []}, {}], "tags": [1]}', '{"rows": 1, "tags": "no"}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, doc string")
+    got = {r.id: [tuple(e) for e in r.e] for r in rows.select("id", typed.document_errors("doc", spec).alias("e")).collect()}
+    assert got == {0: [], 1: [("rows[1].a", "expected_object"), ("rows[2].a", "required")], 2: [("rows", "expected_list"), ("tags", "expected_list")]}
