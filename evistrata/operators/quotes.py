@@ -133,6 +133,8 @@ def clean_reports(reports: DataFrame, known: DataFrame, heading: str = "Referenc
 # Prefixes that mark a study citation whatever the known ids are.
 STUDY_PREFIXES = ("study", "pub", "record")
 ALNUM = "[A-Za-z0-9]"
+# Ways of joining the segments of known ids that are listed to choose candidates; more choose none.
+GAP_SHAPES = 64
 
 
 def study_citations(
@@ -147,7 +149,9 @@ def study_citations(
 
     Known ids are found by an equi-join: every run of as many alphanumeric segments as some
     known id has is a candidate, so the cost does not grow with texts times ids.  The segment
-    counts come from the ids themselves.  Leading and trailing separators of an id are compared
+    counts come from the ids themselves, and so does what stands between their segments: while that
+    comes in at most ``GAP_SHAPES`` ways (``study_12`` and ``arm_7`` share one), only runs with one of
+    them are joined; beyond, all are.  Leading and trailing separators of an id are compared
     with those around the run; an id without letter or digit is never found.
     """
     ids = known.select(F.col(id_column).alias("id")).filter("id <> ''").distinct()
@@ -162,10 +166,11 @@ def study_citations(
         parts = F.split(word, "-", -1)
         return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "-"))
 
-    shaped = F.filter(F.array_distinct(F.flatten(F.transform(words, tails))), lambda w: w.rlike("^[A-Za-z][A-Za-z0-9-]*_[A-Za-z0-9_-]+$"))
+    underscored = F.filter(words, lambda w: w.contains("_"))
+    shaped = F.filter(F.array_distinct(F.flatten(F.transform(underscored, tails))), lambda w: w.rlike("^[A-Za-z][A-Za-z0-9-]*_[A-Za-z0-9_-]+$"))
     by_prefix = texts.select(key, F.explode(shaped).alias("token")).withColumn("prefix", F.substring_index("token", "_", 1))
-    tokens = by_prefix.filter(F.array_contains(fixed, F.col("prefix"))).select(key, "token")
-    tokens = tokens.unionByName(by_prefix.join(derived, "prefix", "left_semi").select(key, "token"))
+    by_prefix = by_prefix.join(derived.withColumn("_derived", F.lit(True)), "prefix", "left")
+    tokens = by_prefix.filter(F.array_contains(fixed, F.col("prefix")) | F.col("_derived")).select(key, "token")
     for pattern in patterns:
         tokens = tokens.unionByName(texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("token")))
 
@@ -174,13 +179,21 @@ def study_citations(
         "id", core.alias("core"), F.regexp_extract("id", "^([^A-Za-z0-9]*)", 1).alias("lead"), F.regexp_extract("id", "([^A-Za-z0-9]*)$", 1).alias("trail"),
     ).filter("core <> ''")
     counts = cored.agg(F.array_sort(F.collect_set(F.size(F.regexp_extract_all("core", F.lit(f"{ALNUM}+"), 0))))).scalar()
+    between = F.split("core", f"{ALNUM}+", -1)
+    shapes = cored.select(F.slice(between, 2, F.size(between) - 2).alias("g")).distinct().limit(GAP_SHAPES + 1).agg(F.collect_list("g")).scalar()
     prepared = texts.select(
         key, F.regexp_extract_all(F.col(text), F.lit(f"{ALNUM}+"), 0).alias("_words"), F.split(F.col(text), f"{ALNUM}+", -1).alias("_gaps"),
-        F.coalesce(counts, F.array().cast("array<int>")).alias("_counts"),
-    ).filter(F.size("_words") > 0)
+        F.coalesce(counts, F.array().cast("array<int>")).alias("_counts"), shapes.alias("_shapes"),
+    ).withColumn("_heads", F.array_distinct(F.transform("_shapes", lambda g: F.get(g, F.lit(0))))).filter(F.size("_words") > 0)
 
     def runs(n: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: i + n - 1 <= F.size("_words"))
+        def may_begin(i: Column) -> Column:
+            # The first gap alone turns most places away, without a slice for each.
+            headed = (n == 1) | F.array_contains("_heads", F.get("_gaps", i))
+            shaped = headed & F.array_contains("_shapes", F.slice("_gaps", i + 1, n - 1))
+            return (i + n - 1 <= F.size("_words")) & ((F.size("_shapes") > GAP_SHAPES) | shaped)
+
+        starts = F.filter(F.sequence(F.lit(1), F.size("_words")), may_begin)
         return F.transform(starts, lambda i: F.struct(
             F.concat(
                 F.element_at("_words", i),
@@ -190,7 +203,7 @@ def study_citations(
             (i == 1).alias("first"), (i + n - 1 == F.size("_words")).alias("last"),
         ))
 
-    asked = prepared.select(key, F.inline(F.array_distinct(F.flatten(F.transform("_counts", runs)))))
+    asked = prepared.select(key, F.inline_outer(F.flatten(F.transform("_counts", runs)))).filter("core is not null")
     fits = (
         F.col("before").endswith(F.col("lead")) & (F.col("first") | (F.length("lead") == 0) | (F.length("before") > F.length("lead")))
         & F.col("after").startswith(F.col("trail")) & (F.col("last") | (F.length("trail") == 0) | (F.length("after") > F.length("trail")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,16 @@ def test_publication_that_lost_all_outcomes_is_closed(spark):
     redone = spark.createDataFrame([("p1", 1)], "publication_id string, extraction_version int")
     result = extraction.reingest(previous.withColumn("status", F.lit("active")), incoming, "r2", redone)
     assert {r.outcome_id: r.status for r in result.state.collect()} == {"o1": "superseded", "o2": "active"}
+
+
+def test_citations_in_a_long_text_and_under_many_shapes(spark, monkeypatch):
+    """Candidates of a text were compared with each other, some 25 000 times 25 000 here."""
+    words = " ".join(f"w{i}-{i % 7}" for i in range(12_000))
+    texts = spark.createDataFrame([(1, f"{words} see a b, t-1.x and t-1-x")], "section_id int, text string")
+    known = spark.createDataFrame([("a b",), ("t-1.x",), ("w5-5",), ("w5-6",)], "study_id string")
+    started = time.monotonic()
+    got = sorted(tuple(r) for r in quotes.study_citations(texts, known).collect())
+    assert got == [(1, "a b", True), (1, "t-1.x", True), (1, "w5-5", True)]
+    assert time.monotonic() - started < 60
+    monkeypatch.setattr(quotes, "GAP_SHAPES", 1)
+    assert sorted(tuple(r) for r in quotes.study_citations(texts, known).collect()) == got
