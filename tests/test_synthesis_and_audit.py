@@ -160,3 +160,25 @@ def test_runs_report_what_they_recorded(spark):
     assert sorted((r.entity_id, r.check) for r in found.collect()) == [
         ("a", "claim_map_invalid"), ("a", "empty_search_plan"), ("b", "placeholder_synthesis_used"), ("b", "section_coverage_missing"), ("c", "section_coverage_incomplete")]
     assert A.run_record_issues(runs.limit(0), searches, seeds).count() == 0
+
+
+def test_coverage_of_sections_without_text(spark):
+    """A NULL text took the errors of the section itself with it."""
+    schema = "section_id string, section_text string, claims array<struct<sentence:string,study_ids:array<string>,citations:array<string>>>"
+    sections = spark.createDataFrame([("a", None, []), ("b", None, [("x", ["study_1"], None)]), ("c", None, None)], schema)
+    members = spark.createDataFrame([("a", "study_1"), ("c", "study_1")], "section_id string, study_id string")
+    errors = S.section_coverage_errors(sections, members, members.select("study_id"))
+    found = sorted((r.section_id, r.error) for r in errors.collect())
+    silent = "evidence_section_has_no_study_citation"
+    assert [e for e in found if e[0] != "b"] == [("a", silent), ("a", "nonempty_section_zero_claims"), ("c", silent), ("c", "nonempty_section_zero_claims")]
+    assert ("b", "empty_evidence_section_has_claims") in found and ("b", "claim_sentence_absent_from_section") in found
+
+
+def test_claims_of_the_written_sections_come_from_the_section_text(spark, tmp_path):
+    """A blank turn cites in its first sentence, which is the claim."""
+    rows = [(1, 2, "user", ""), (1, 4, "user", "  "), (1, 0, "user", None), (2, 2, "user", "A b. C d.")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    from evistrata.plans.synthesis import written_sections
+    claims = {(r.section_id): r.claims[0].sentence for r in written_sections(spark, str(tmp_path)).collect()}
+    assert claims["1-2"] == claims["1-4"] == "Seen in [study_1] and pub_z." and claims["2-2"] == "A b."
+    assert claims["1-0"] == "\nSeen in [study_1] and pub_z."
