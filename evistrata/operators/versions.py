@@ -51,12 +51,23 @@ def continued(incoming: DataFrame, previous: DataFrame) -> DataFrame:
     alias that the parent's entities have decides; of several with one alias the last counts.
     An entity is continued by one row only, so no two rows share its id: by the one that names
     its id, else by the most certain alias, else by the least ordinal.
+
+    A row has half a dozen aliases, so they are what is shuffled: parent and alias travel as the first
+    12 bytes of their SHA-256 digest (ids themselves are 8 bytes of one).
     """
-    known = previous.select("parent_id", F.explode(F.array_distinct(F.array_compact("aliases"))).alias("alias"), "entity_id", "extraction_run_id", "extraction_version", "ordinal")
-    known = known.groupBy("parent_id", "alias").agg(
+    parent = F.concat(F.length("parent_id").cast("string"), F.lit(":"), F.col("parent_id"))
+
+    def digest(alias: Column) -> Column:
+        return F.substring(F.unhex(F.sha2(F.concat(parent, alias), 256)), 1, 12)
+
+    def digests(aliases: Column) -> Column:
+        return F.transform(aliases, digest)
+
+    known = previous.select(F.explode(digests(F.array_distinct(F.array_compact("aliases")))).alias("alias"), "entity_id", "extraction_run_id", "extraction_version", "ordinal")
+    known = known.groupBy("alias").agg(
         F.max(F.struct("extraction_version", "ordinal", "entity_id", "extraction_run_id")).alias("_k"))
-    asked = incoming.select("ref", "parent_id", "explicit_id", "ordinal", F.posexplode(F.array_compact("aliases")).alias("certainty", "alias"))
-    hits = asked.join(known, ["parent_id", "alias"]).groupBy("ref").agg(
+    asked = incoming.select("ref", "parent_id", "explicit_id", "ordinal", F.posexplode(digests(F.array_compact("aliases"))).alias("certainty", "alias"))
+    hits = asked.join(known, "alias").groupBy("ref").agg(
         F.min(F.struct("certainty", "parent_id", "_k.entity_id", "_k.extraction_run_id", "explicit_id", "ordinal")).alias("_h"))
     other = ~F.col("_h.explicit_id").eqNullSafe(F.col("_h.entity_id"))
     claim = F.struct(other.alias("other"), "_h.certainty", "_h.ordinal", "ref", "_h.extraction_run_id")
@@ -66,7 +77,10 @@ def continued(incoming: DataFrame, previous: DataFrame) -> DataFrame:
 
 def _settled(rows: DataFrame, previous: DataFrame, fresh: Column) -> DataFrame:
     """``rows`` with ``entity_id``: the explicit id, else that of the entity continued, else ``fresh``."""
-    matched = rows.join(continued(rows, previous), "ref", "left")
+    if previous.isEmpty():  # a first extraction has nothing to look up
+        matched = rows.withColumns({"previous_id": F.lit(None).cast("string"), "previous_run": F.lit(None).cast("string")})
+    else:
+        matched = rows.join(continued(rows, previous), "ref", "left")
     chosen = F.coalesce("explicit_id", "previous_id", fresh)
     return matched.withColumns({"entity_id": chosen, "supersedes": F.coalesce("previous_run", F.lit(""))}).drop("previous_id", "previous_run", "explicit_id")
 
@@ -87,7 +101,7 @@ def settle_studies(studies: DataFrame, previous: DataFrame) -> DataFrame:
 
 def settle_outcomes(outcomes: DataFrame, studies: DataFrame, previous: DataFrame, identity_fields: Sequence[str], fallback: str) -> DataFrame:
     """Outcome ids by explicit id, any alias within the study, else the identity key."""
-    owners = studies.select(F.col("ref").alias("study_ref"), F.col("entity_id").alias("parent_id"), "publication_id")
+    owners = studies.select(F.col("ref").alias("study_ref"), F.col("entity_id").alias("parent_id"), "publication_id", "extraction_version")
     fields = [(name, F.col(name)) for name in identity_fields]
     domain = F.trim(F.coalesce("domain", F.lit("")))
     rows = outcomes.join(owners, "study_ref").withColumn("_i", outcome_identity("parent_id", "outcome_id", "identity_key", "domain", "ordinal", fields, fallback))
@@ -95,7 +109,7 @@ def settle_outcomes(outcomes: DataFrame, studies: DataFrame, previous: DataFrame
     explicit, by_place = _given("outcome_id"), stable_id("outcome-key", "parent_id", domain, "ordinal")
     unstable = F.col("_i.identity_source") == "ordinal_fallback"
     rows = rows.select(
-        F.col("outcome_ref").alias("ref"), "parent_id", "publication_id", explicit.alias("explicit_id"), "ordinal",
+        F.col("outcome_ref").alias("ref"), "parent_id", "publication_id", "extraction_version", explicit.alias("explicit_id"), "ordinal",
         F.when(unstable, stable_id("outcome", "parent_id", domain, "ordinal")).otherwise(stable_id("outcome", "parent_id", "_i.identity_key")).alias("_fresh"),
         F.array_distinct(F.array_compact(F.array(F.col("_i.identity_key"), _given("identity_key"), explicit, configured, by_place))).alias("aliases"))
     settled = _settled(rows, previous.filter("kind = 'outcome'"), F.col("_fresh")).drop("_fresh")
@@ -125,34 +139,39 @@ def reingest_entities(previous: DataFrame, new: Extraction, timestamp: str, iden
         "publication_id", stable_id("extraction-run", "publication_id", F.lit(timestamp), version).alias("extraction_run_id"),
         version.cast("int").alias("extraction_version"), F.coalesce("_b.extraction_run_id", F.lit("")).alias("_previous_run"))
 
-    studies = written(settle_studies(new.studies.filter("publication_id is not null"), active), "studies")
+    # The version goes down with the study, so the stack of all kinds need not meet the runs again.
+    settled = settle_studies(new.studies.filter("publication_id is not null"), active)
+    studies = written(settled.join(runs.select("publication_id", "extraction_version"), "publication_id"), "studies")
     outcomes = written(settle_outcomes(new.outcomes, studies, active, identity_fields, fallback), "outcomes")
-    sids = studies.select(F.col("ref").alias("study_ref"), F.col("entity_id").alias("_sid"), "publication_id")
+    sids = studies.select(F.col("ref").alias("study_ref"), F.col("entity_id").alias("_sid"), "publication_id", "extraction_version")
     arm_id = F.coalesce(_given("arm_id"), stable_id("arm", "_sid", "role", "label", "ordinal"))
     arms = new.arms.join(sids, "study_ref").select(
-        F.col("arm_ref").alias("ref"), F.col("_sid").alias("parent_id"), "publication_id", "ordinal", arm_id.alias("entity_id"))
+        F.col("arm_ref").alias("ref"), F.col("_sid").alias("parent_id"), "publication_id", "extraction_version", "ordinal", arm_id.alias("entity_id"))
     owners = outcomes.select(F.lit("outcome").alias("owner_kind"), F.col("ref").alias("owner_ref"), F.col("entity_id").alias("_owner")).unionByName(
         arms.select(F.lit("arm").alias("owner_kind"), F.col("ref").alias("owner_ref"), F.col("entity_id").alias("_owner")))
     placed = new.locations.join(sids, "study_ref").join(owners, ["owner_kind", "owner_ref"], "left")
     is_field = F.col("owner_kind") == "field"
     parts = [F.coalesce(F.col(name), F.lit("")) for name in ("quote", "page", "section", "figure", "table")]
     locations = placed.filter(is_field | F.col("_owner").isNotNull()).select(
-        F.lit(None).cast("string").alias("ref"), F.when(is_field, F.col("_sid")).otherwise(F.col("_owner")).alias("parent_id"), "publication_id", "ordinal",
+        F.lit(None).cast("string").alias("ref"), F.when(is_field, F.col("_sid")).otherwise(F.col("_owner")).alias("parent_id"), "publication_id", "extraction_version", "ordinal",
         evidence_id("_sid", F.when(is_field, F.col("owner_ref")).otherwise(F.col("_owner")), *parts, "ordinal").alias("entity_id"))
 
-    publications = runs.select(F.lit("publication").alias("kind"), F.col("publication_id").alias("entity_id"), F.lit("").alias("parent_id"), "publication_id",
-                               nothing.alias("aliases"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("supersedes"))
+    facts = ["ordinal", "publication_id", "extraction_version", "aliases", "supersedes"]
+    publications = runs.select(F.lit("publication").alias("kind"), F.lit("").alias("parent_id"), F.col("publication_id").alias("entity_id"), F.lit(0).alias("ordinal"),
+                               "publication_id", "extraction_version", nothing.alias("aliases"), F.col("_previous_run").alias("supersedes"))
     stack = publications
     for kind, rows in (("study", studies), ("outcome", outcomes)):
-        stack = stack.unionByName(rows.select(F.lit(kind).alias("kind"), "entity_id", "parent_id", "publication_id", "aliases", "ordinal", "supersedes"))
+        stack = stack.unionByName(rows.select(F.lit(kind).alias("kind"), "parent_id", "entity_id", *facts))
     for kind, rows in (("arm", arms), ("location", locations)):
-        stack = stack.unionByName(rows.select(F.lit(kind).alias("kind"), "entity_id", "parent_id", "publication_id", nothing.alias("aliases"), "ordinal",
-                                              F.lit(None).cast("string").alias("supersedes")))
+        unnamed = rows.withColumns({"aliases": nothing, "supersedes": F.lit(None).cast("string")})
+        stack = stack.unionByName(unnamed.select(F.lit(kind).alias("kind"), "parent_id", "entity_id", *facts))
     # A row that comes twice is one entity; so are two of one explicit id, of which the last counts.
-    stack = stack.groupBy(*IDENTITY).agg(F.max(F.struct("ordinal", "publication_id", "aliases", "supersedes")).alias("_r")).select(*IDENTITY, "_r.*")
-    same = active.groupBy(*IDENTITY).agg(F.max(F.struct("extraction_version", "extraction_run_id"))["extraction_run_id"].alias("_same_run"))
-    opened = stack.join(runs, "publication_id").join(same, IDENTITY, "left").withColumn("status", F.lit("active"))
-    earlier = F.when(F.col("kind") == "publication", F.col("_previous_run")).otherwise(F.coalesce("supersedes", "_same_run", F.lit("")))
+    stack = stack.groupBy(*IDENTITY).agg(F.max(F.struct(*facts)).alias("_r")).select(*IDENTITY, "_r.*")
+    same = active.filter("kind in ('arm', 'location')").groupBy(*IDENTITY).agg(
+        F.max(F.struct("extraction_version", "extraction_run_id"))["extraction_run_id"].alias("_same_run"))
+    run = stable_id("extraction-run", "publication_id", F.lit(timestamp), "extraction_version")
+    opened = stack.join(same, IDENTITY, "left").withColumns({"status": F.lit("active"), "extraction_run_id": run})
+    earlier = F.coalesce("supersedes", "_same_run", F.lit(""))
     columns = ["kind", "entity_id", "parent_id", "publication_id", "aliases", "ordinal", "extraction_run_id", "extraction_version", "status", "supersedes"]
     opened = written(opened.withColumn("supersedes", earlier).select(columns), "opened")
 
