@@ -103,3 +103,25 @@ def test_rows_without_owner_are_reported(spark):
 def test_empty_tables_give_empty_tables(spark):
     result = V.reingest_entities(nothing(spark), extraction(spark, []), "t1", ["metric"])
     assert [f.count() for f in (result.opened, result.closed, result.state, result.orphans)] == [0, 0, 0, 0]
+
+
+def test_the_stack_of_all_kinds_is_shuffled_once(spark):
+    """Rows met their publication's run and the rows before in a shuffle each, aliases and all; the version now goes down with the study."""
+    first = V.reingest_entities(nothing(spark), full(spark, ["m1", "m2"]), "t1", ["metric"])
+    seen = []
+    plain = V.written
+
+    def spy(df, name):
+        if name == "opened":
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name)
+
+    V.written = spy
+    try:
+        second = V.reingest_entities(first.opened, full(spark, ["m1", "m3"]), "t2", ["metric"])
+    finally:
+        V.written = plain
+    # One join per owner of arms and locations (three) and one with the rows before; publications join theirs.
+    assert seen[0].count("Join ") <= 6 and "Join Inner, (publication_id" not in seen[0]
+    assert {r.extraction_version for r in second.opened.collect()} == {2} and {r.extraction_version for r in first.opened.collect()} == {1}
+    assert len({r.extraction_run_id for r in second.opened.collect()}) == 1
