@@ -65,10 +65,17 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def worker_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker process, across its tasks."""
-    home = sys.modules.setdefault("_evistrata_worker_state", types.ModuleType("_evistrata_worker_state"))
-    return home.__dict__.setdefault(name, {})
+def worker_state(operator: str, part: str = "") -> dict:
+    """A dictionary of ``operator`` that the Python worker process keeps across its tasks.
+
+    Spark gives a worker to one stage after the other.  The first use by another operator drops what
+    the ones before have kept, so that their caches do not add up in a worker.
+    """
+    home = sys.modules.setdefault("_evistrata_worker_state", types.ModuleType("_evistrata_worker_state")).__dict__
+    if home.get("operator") != operator:
+        home["operator"], home["parts"] = operator, {}
+        pa.default_memory_pool().release_unused()
+    return home["parts"].setdefault(part, {})
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:

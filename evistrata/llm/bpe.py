@@ -153,7 +153,7 @@ def encoder(path: str, pattern: str) -> tuple[MergeReplay, ChunkEncoder]:
     """Replay and chunk cache of a rank file, kept by the worker process."""
     import regex
 
-    state = worker_state(f"ranks:{path}")
+    state = worker_state("tokens", f"ranks:{path}")
     if "replay" not in state:
         state["replay"] = MergeReplay(load_ranks(path))
     replay = state["replay"]

@@ -358,7 +358,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = texts(docs)
 
     def make():
-        state = worker_state("secrets:" + key)
+        state = worker_state("secrets", key)
         if "scan" not in state:
             state["scan"] = scanner(rules, compiled)
         find, kinds = state["scan"], [rule.kind for rule in rules]

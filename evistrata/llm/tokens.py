@@ -85,7 +85,7 @@ class ChunkEncoder:
     """Encodes lists of texts.  ``encode`` maps chunks to their ids end to end and the number of each."""
 
     def __init__(self, name: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: bool, bound: int = 320 << 20):
-        self.encode, self.special, self.bound, self.state = encode, special, bound, worker_state("chunks:" + name)
+        self.encode, self.special, self.bound, self.state = encode, special, bound, worker_state("tokens", "chunks:" + name)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end and the number of each text.
@@ -204,7 +204,7 @@ def library_encoder(path: str) -> ChunkEncoder:
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         return whole, bare, lower, regex.compile(pattern), spec
 
-    state = worker_state("library:" + path)
+    state = worker_state("tokens", "library:" + path)
     if "loaded" not in state:
         state["loaded"] = load()
     whole, bare, lower, pattern, spec = state["loaded"]

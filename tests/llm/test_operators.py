@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evistrata.llm import bpe, chat, components, dedup, html, language, lines, ngrams, packing, quality, tokenfile, tokens
-from evistrata.llm.base import labelled_sample, scratch_path
+from evistrata.llm.base import labelled_sample, scratch_path, worker_state
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -582,3 +582,14 @@ def test_samples_are_bounded_and_repeatable(spark):
 
 def test_crc32_is_zlibs(spark):
     assert spark.sql("select crc32(X'01020304')").first()[0] == zlib.crc32(b"\x01\x02\x03\x04")
+
+
+# --- worker caches ------------------------------------------------------------
+
+def test_a_worker_keeps_the_caches_of_one_operator_only():
+    ngrams.tokens_of([b"a", b"b", b"c"], 3)
+    kept = worker_state("word-hashes")
+    assert set(kept) == {b"a", b"b", b"c"}
+    worker_state("tokens", "one")["x"] = 1
+    assert worker_state("tokens", "two") == {} and worker_state("tokens", "one") == {"x": 1}
+    assert worker_state("word-hashes") == {} and worker_state("tokens", "one") == {}
