@@ -220,14 +220,14 @@ def snapshot(spark, d, keep, explicit):
     return named.withColumn("aliases", aliases)
 
 
-def two_versions(spark, d):
+def two_versions(spark, d, **kept):
     old = snapshot(spark, d, "seq % 500 < 400 and domain <> 'd1'", F.col("seq") % 10 == 0)
     previous = old.withColumns({
         "outcome_id": F.coalesce(F.nullif("explicit_id", F.lit("")), stable_id("outcome", "study_id", "identity_key")),
         "extraction_run_id": F.lit("run1"), "extraction_version": F.lit(1), "status": F.lit("active")})
     previous = cut_lineage(previous)
     new = cut_lineage(snapshot(spark, d, "seq % 500 >= 100 and domain <> 'd2'", F.col("seq") % 20 == 5))
-    return previous, new, ops.reingest(previous, new, "run2")
+    return previous, new, ops.reingest(previous, new, "run2", **kept)
 
 
 def _okey(expr: str) -> str:
@@ -254,13 +254,13 @@ with {VERSION_SQL} select id as outcome_id, 'run2' as extraction_run_id, 'active
 union all select id, 'run1', 'superseded' from prev where pub in (select pub from new) and id not in (select id from new)
 union all select id, 'run1', 'active' from prev where pub not in (select pub from new)""")
 def w5b(spark, d):
-    return two_versions(spark, d)[2].state.select("outcome_id", "extraction_run_id", "status")
+    return two_versions(spark, d, keep=cut_lineage)[2].state.select("outcome_id", "extraction_run_id", "status")
 
 
 @query("w3_current_rows", f"""
 with {VERSION_SQL} select id as outcome_id, 'run2' as extraction_run_id from new union all select id, 'run1' from prev where pub not in (select pub from new)""")
 def w3(spark, d):
-    previous, _, result = two_versions(spark, d)
+    previous, _, result = two_versions(spark, d, keep=cut_lineage)
     columns = ["outcome_id", "extraction_run_id", "status", "seq"]
     ledger = previous.select(columns).unionByName(result.closed.select(columns)).unionByName(result.opened.select(columns))
     return ops.current_rows(ledger, result.state, "outcome_id", strict=True).select("outcome_id", "extraction_run_id")
