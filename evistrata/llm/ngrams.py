@@ -30,6 +30,7 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -41,6 +42,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 ORDER_BITS = 20
 #: Bits of the places that elements around a pivot have in tables of fixed size.
 PLACE_BITS = 18
+#: Size of the bitmaps that Spark's ``bitmap_or_agg`` takes.
+BITMAP_BYTES = 4096
 
 
 @dataclass(frozen=True)
@@ -159,9 +162,9 @@ def _late_classes(docs: DataFrame, settings: Settings) -> np.ndarray:
     counted = plain.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= settings.frequent)
     bucket = F.shiftrightunsigned("token", 64 - ORDER_BITS).cast("int").alias("bucket")
     top = counted.groupBy(bucket).agg(F.max("count").alias("df")).orderBy(F.desc("df"), "bucket").limit(settings.order_entries)
+    top = top.select("bucket", F.length(F.bin("df")).alias("class")).toArrow()
     order = np.zeros(1 << ORDER_BITS, np.uint8)
-    for row in top.collect():
-        order[row["bucket"]] = int(row["df"]).bit_length()
+    order[top["bucket"].to_numpy()] = top["class"].to_numpy()
     return order
 
 
@@ -319,6 +322,26 @@ def _places(pivot: int, elements: np.ndarray) -> np.ndarray:
     return (_mix(elements ^ _mix(np.array([pivot], np.int64).view(np.uint64))) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
 
+def _marked_places(rows: DataFrame, mark) -> np.ndarray:
+    """The places that ``mark(batch, marks)`` sets for any batch of ``rows``, as a table of booleans.
+
+    A task gives one bitmap of fixed size, in parts, however many rows it reads; Spark joins
+    them, so the driver gets one bitmap.
+    """
+    def run(batches):
+        marks = np.zeros(1 << PLACE_BITS, bool)
+        for batch in batches:
+            mark(batch, marks)
+        parts = np.packbits(marks).reshape(-1, BITMAP_BYTES)
+        at = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([parts[i].tobytes() for i in at], pa.binary())], ["part", "bits"])
+
+    marks = np.zeros((1 << PLACE_BITS) // 8, np.uint8).reshape(-1, BITMAP_BYTES)
+    for row in rows.mapInArrow(run, "part int, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
+        marks[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(marks.reshape(-1)).astype(bool)
+
+
 def _elements(diffs: DataFrame, settings: Settings) -> DataFrame:
     """``pivot, node, n, d, linked, pos, element``: the beginnings of differences.
 
@@ -326,7 +349,7 @@ def _elements(diffs: DataFrame, settings: Settings) -> DataFrame:
     other set: ``denominator - numerator`` of ``numerator`` of the set's size.  Elements that
     many members have come last: what repeats within a batch is counted in a table of fixed
     size, which changes cost only.  Of linked members only elements count that one that is not
-    linked may have.  At most 2^PLACE_BITS numbers of each kind reach the driver.
+    linked may have.  At most 2^PLACE_BITS numbers as Arrow columns and one bitmap reach the driver.
     """
     spare, numerator = settings.denominator - settings.numerator, settings.numerator
 
@@ -342,22 +365,19 @@ def _elements(diffs: DataFrame, settings: Settings) -> DataFrame:
         return work
 
     common = np.zeros(1 << PLACE_BITS, np.uint8)
-    for row in map_batches(diffs, make_counts, "place int, times long").groupBy("place").agg(F.sum("times").alias("times")).collect():
-        common[row["place"]] = int(row["times"]).bit_length()
+    repeated = map_batches(diffs, make_counts, "place int, times long").groupBy("place").agg(F.bin(F.sum("times")).alias("bits"))
+    repeated = repeated.select("place", F.length("bits").alias("class")).toArrow()
+    common[repeated["place"].to_numpy()] = repeated["class"].to_numpy()
 
     def first(pivot: int, elements: np.ndarray, n: int) -> np.ndarray:
         order = np.argsort(common[_places(pivot, elements)], kind="stable")
         return elements[order[: spare * n // numerator + 1]]
 
-    def make_seen():
-        def work(batch):
-            found = places_of(batch, lambda pivot, elements, n: _places(pivot, first(pivot, elements, n)))
-            return {"place": np.unique(np.concatenate([np.empty(0, np.int64), *found]))}
-
-        return work
+    def mark(batch, marks: np.ndarray) -> None:
+        for places in places_of(batch, lambda pivot, elements, n: _places(pivot, first(pivot, elements, n))):
+            marks[places] = True
 
-    seen = np.zeros(1 << PLACE_BITS, bool)
-    seen[[row["place"] for row in map_batches(diffs.filter("not linked"), make_seen, "place int").distinct().collect()]] = True
+    seen = _marked_places(diffs.filter("not linked"), mark)
 
     def make():
         def work(batch):

@@ -134,6 +134,17 @@ def test_links_equal_brute_force(spark, s):
     assert got == brute_components(rows, s)
 
 
+def test_marked_places_take_one_bitmap_a_task(spark):
+    rows = spark.range(0, 40_000, 1, 4)
+
+    def mark(batch, marks):
+        marks[batch.column("id").to_numpy() * 7 % (1 << ngrams.PLACE_BITS)] = True
+
+    seen = ngrams._marked_places(rows, mark)
+    assert sorted(np.flatnonzero(seen)) == sorted({i * 7 % (1 << ngrams.PLACE_BITS) for i in range(40_000)})
+    assert not ngrams._marked_places(rows.limit(0), mark).any()
+
+
 def test_ids_with_several_texts_are_judged_by_each_text(spark):
     a, b = "a b c d e f g h i j k l", "n o p q r s t u v w x y z"
     rows = spark.createDataFrame([(1, a), (1, b), (0, b), (2, a + " m"), (1, a), (3, None), (3, "")], "doc_id long, text string")
