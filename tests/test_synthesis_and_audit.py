@@ -182,3 +182,13 @@ def test_claims_of_the_written_sections_come_from_the_section_text(spark, tmp_pa
     claims = {(r.section_id): r.claims[0].sentence for r in written_sections(spark, str(tmp_path)).collect()}
     assert claims["1-2"] == claims["1-4"] == "Seen in [study_1] and pub_z." and claims["2-2"] == "A b."
     assert claims["1-0"] == "\nSeen in [study_1] and pub_z."
+
+
+def test_kept_rows_are_read_by_column(spark):
+    from evistrata.common import cut_lineage
+
+    rows = spark.range(50).selectExpr("id", "array('a', null) as listed", "map('k', string(id)) as fields", "if(id % 2 = 0, struct(id as x), null) as pair")
+    kept = cut_lineage(rows)
+    assert kept.schema.simpleString() == rows.schema.simpleString() and sorted(map(repr, kept.collect())) == sorted(map(repr, rows.collect()))
+    plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet [id" in plan and "listed" not in plan
