@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evistrata.common import as_col
-from evistrata.functions.text import canonical_section, snippet, strip
+from evistrata.functions.text import canonical_section, may_name_section, snippet, strip
 
 # Score of a chunk by the section it belongs to.
 SECTION_PRIORITY = {
@@ -32,6 +32,11 @@ def _int(value) -> Column:
     return (F.lit(value) if isinstance(value, int) else value).cast("int")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; a lambda computes what it names each time."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _piece(text: Column, start: Column, end: Column) -> Column:
     return strip(F.substring(text, start + 1, end - start))
 
@@ -46,19 +51,22 @@ def _chunk(chunk_id: Column, source: str, section: Column, heading: Column, star
 # --- sections and windows (W7) --------------------------------------------
 
 def section_headings(text: str | Column) -> Column:
-    """Known section headings with the offset of their line."""
+    """Known section headings with the offset of their line.
+
+    Few lines end like a heading; only those are read closely.
+    """
     start = F.struct(
         F.lit(0).alias("offset"), F.array().cast("array<struct<offset:int,line:string,section:string>>").alias("found"))
 
     def step(state: Column, line: Column) -> Column:
-        section = canonical_section(line)
-        found = F.array(F.struct(state["offset"].alias("offset"), F.substring(strip(line), 1, 100).alias("line"), section.alias("section")))
+        found = F.array(F.struct(
+            state["offset"].alias("offset"), F.substring(strip(line), 1, 100).alias("line"), canonical_section(line).alias("section")))
         return F.struct(
             (state["offset"] + F.length(line) + 1).alias("offset"),
-            F.when(section.isNotNull(), F.concat(state["found"], found)).otherwise(state["found"]).alias("found"),
+            F.when(may_name_section(line), F.concat(state["found"], found)).otherwise(state["found"]).alias("found"),
         )
 
-    return F.aggregate(F.split(as_col(text), "\n", -1), start, step, lambda s: s["found"])
+    return F.aggregate(F.split(as_col(text), "\n", -1), start, step, lambda s: F.filter(s["found"], lambda h: h["section"].isNotNull()))
 
 
 def sections_from(text: str | Column, headings: Column) -> Column:
@@ -78,16 +86,19 @@ def sliding_windows(text: str | Column, window: int = 6000, overlap: int = 800)
     """Overlapping windows up to the first one that reaches the end."""
     text = as_col(text)
     step = max(1, window - overlap)
-    size = F.length(text)
-    starts = F.when(size > 0, F.filter(
-        F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(step)),
-        lambda s: (s == 0) | (s - step + window < size)))
 
-    def cut(start: Column) -> Column:
-        end = F.least(size, start + window)
-        return _chunk(F.lit(""), "fallback_window", F.lit("unknown"), F.lit(""), start, end, _piece(text, start, end))
+    def cuts(size: Column) -> Column:
+        starts = F.when(size > 0, F.filter(
+            F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(step)),
+            lambda s: (s == 0) | (s - step + window < size)))
+
+        def cut(start: Column) -> Column:
+            end = F.least(size, start + window)
+            return _chunk(F.lit(""), "fallback_window", F.lit("unknown"), F.lit(""), start, end, _piece(text, start, end))
 
-    windows = F.filter(F.transform(F.coalesce(starts, F.array().cast("array<int>")), cut), lambda c: c["text"] != "")
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), cut)
+
+    windows = F.filter(_bound(F.length(text), cuts), lambda c: c["text"] != "")
     return F.transform(windows, lambda c, i: c.withField("chunk_id", F.format_string("w%03d", i)))
 
 
@@ -100,46 +111,58 @@ def merge_ranges(ranges: Column, gap: int = 300) -> Column:
         lambda r: F.struct(F.greatest(r["start"], F.lit(0)).alias("start"), F.greatest(r["end"], F.lit(0)).alias("end")),
     )
 
-    def fold(done: Column, r: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        apart = (F.size(done) == 0) | (r["start"] > last["end"] + gap)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return F.when(apart, F.concat(done, F.array(r))).otherwise(
-            F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown)))
+    none = F.lit(None).cast("int")
+    empty = F.struct(none.alias("start"), none.alias("end"), F.array().cast(RANGE).alias("done"))
+
+    def fold(state: Column, r: Column) -> Column:
+        apart = state["start"].isNull() | (r["start"] > state["end"] + gap)
+        return F.when(apart, F.struct(r["start"].alias("start"), r["end"].alias("end"), _closed(state).alias("done"))).otherwise(
+            F.struct(state["start"].alias("start"), F.greatest(state["end"], r["end"]).alias("end"), state["done"].alias("done")))
+
+    return F.aggregate(F.array_sort(usable), empty, fold, _closed)
+
 
-    return F.aggregate(F.array_sort(usable), F.array().cast(RANGE), fold)
+def _closed(state: Column) -> Column:
+    """Ranges that are done, and the open one if there is one."""
+    last = F.array(F.struct(state["start"].cast("int").alias("start"), state["end"].cast("int").alias("end")))
+    return F.when(state["start"].isNull(), state["done"]).otherwise(F.concat(state["done"], last))
 
 
-def term_ranges(text: str | Column, term: str, radius: int = 2000, gap: int = 300) -> Column:
+def term_ranges(text: str | Column, term: str, radius: int = 2000, gap: int = 300, lowered: Column | None = None) -> Column:
     """Merged windows around the non-overlapping hits of one term.
 
     Hits come in text order, so each joins or follows the open window; only the
-    merged windows are kept, never the hits.
+    merged windows are kept, never the hits.  ``lowered`` is the text in lower case, if known.
     """
     needle = term.lower()
-    pieces = F.split(F.lower(as_col(text)), re.escape(needle), -1)
+    lowered = F.lower(as_col(text)) if lowered is None else lowered
     none = F.lit(None).cast("int")
-    # The text length rides in the state: asking for it per hit would rescan the text.
-    empty = F.struct(
-        F.length(as_col(text)).alias("size"), F.lit(0).alias("pos"), none.alias("start"), none.alias("end"),
-        F.array().cast(RANGE).alias("done"))
-
-    def opened(state: Column) -> Column:
-        return F.array(F.struct(state["start"].alias("start"), state["end"].alias("end")))
-
-    def step(state: Column, piece: Column) -> Column:
-        hit = state["pos"] + F.length(piece)
-        left, right = F.greatest(hit - radius, F.lit(0)), F.least(state["size"], hit + len(term) + radius)
-        joins = state["start"].isNotNull() & (left <= state["end"] + gap)
-        closes = state["start"].isNotNull() & (left > state["end"] + gap)
-        opens = F.struct(
-            state["size"].alias("size"), (hit + len(needle)).alias("pos"),
-            F.when(joins, state["start"]).otherwise(left).alias("start"), right.alias("end"),
-            F.when(closes, F.concat(state["done"], opened(state))).otherwise(state["done"]).alias("done"),
-        )
-        return F.when(hit < state["size"], opens).otherwise(state)
 
-    return F.aggregate(pieces, empty, step, lambda s: F.when(s["start"].isNull(), s["done"]).otherwise(F.concat(s["done"], opened(s))))
+    def windows(x: Column) -> Column:
+        # ``after`` is the place behind the last hit; the open window ends ``radius`` beyond it.
+        empty = F.struct(F.lit(0).alias("after"), none.alias("start"), F.array().cast(RANGE).alias("done"))
+
+        def end(state: Column) -> Column:
+            return F.least(x["size"], state["after"] + (len(term) - len(needle) + radius))
+
+        def opened(state: Column) -> Column:
+            return F.array(F.struct(state["start"].alias("start"), end(state).alias("end")))
+
+        def step(state: Column, skipped: Column) -> Column:
+            left = F.greatest(state["after"] + skipped - radius, F.lit(0))
+            after = (state["after"] + skipped + len(needle)).alias("after")
+            joins = left <= end(state) + gap
+            return (
+                F.when(state["start"].isNull(), F.struct(after, left.alias("start"), state["done"].alias("done")))
+                .when(joins, F.struct(after, state["start"].alias("start"), state["done"].alias("done")))
+                .otherwise(F.struct(after, left.alias("start"), F.concat(state["done"], opened(state)).alias("done"))))
+
+        # No hit follows the last piece.
+        hits = F.slice(x["pieces"], F.lit(1), F.size(x["pieces"]) - 1)
+        return F.aggregate(F.transform(hits, F.length), empty, step, lambda s: F.when(s["start"].isNull(), s["done"]).otherwise(F.concat(s["done"], opened(s))))
+
+    pieces = F.split(lowered, re.escape(needle), -1)
+    return _bound(F.struct(pieces.alias("pieces"), F.length(as_col(text)).alias("size")), windows)
 
 
 def keyword_windows(text: str | Column, terms: Sequence[str], radius: int = 2000, gap: int = 300) -> Column:
@@ -148,7 +171,7 @@ def keyword_windows(text: str | Column, terms: Sequence[str], radius: int = 2000
     given = [t for t in terms if t]
     if not given:
         return F.filter(F.array(_chunk(F.lit(""), "", F.lit(""), F.lit(""), F.lit(0), F.lit(0), F.lit(""))), lambda c: F.lit(False))
-    merged = merge_ranges(F.concat(*[term_ranges(text, t, radius, gap) for t in given]), gap)
+    merged = merge_ranges(_bound(F.lower(text), lambda low: F.concat(*[term_ranges(text, t, radius, gap, low) for t in given])), gap)
 
     def cut(r: Column, i: Column) -> Column:
         return _chunk(F.format_string("k%03d", i), "keyword_window", F.lit("keyword_context"), F.lit(""), r["start"], r["end"], _piece(text, r["start"], r["end"]))
@@ -161,22 +184,25 @@ def keyword_windows(text: str | Column, terms: Sequence[str], radius: int = 2000
 def boundary_chunks(text: str | Column, front: int = 6000, tail: int = 6000) -> Column:
     """First ``front`` characters and the last ``tail`` beyond them."""
     text = as_col(text)
-    size = F.length(text)
-    front_end = F.least(size, F.lit(front))
-    tail_start = F.greatest(front_end, size - tail)
-    pieces = F.array(
-        _chunk(F.lit("front000"), "front_matter", F.lit("front_matter"), F.lit(""), F.lit(0), front_end, _piece(text, F.lit(0), front_end)),
-        _chunk(F.lit("tail000"), "tail", F.lit("tail"), F.lit(""), tail_start, size, _piece(text, tail_start, size)),
-    )
-    return F.filter(pieces, lambda c: c["text"] != "")
+
+    def pieces(size: Column) -> Column:
+        front_end = F.least(size, F.lit(front))
+        tail_start = F.greatest(front_end, size - tail)
+        return F.array(
+            _chunk(F.lit("front000"), "front_matter", F.lit("front_matter"), F.lit(""), F.lit(0), front_end, _piece(text, F.lit(0), front_end)),
+            _chunk(F.lit("tail000"), "tail", F.lit("tail"), F.lit(""), tail_start, size, _piece(text, tail_start, size)),
+        )
+
+    return F.filter(_bound(F.length(text), pieces), lambda c: c["text"] != "")
 
 
 # --- scores (P19, P23) ----------------------------------------------------
 
 def term_count(lowered: Column, term: str) -> Column:
+    """Non-overlapping hits, told from bytes, whose number a string knows without reading it."""
     needle = term.lower()
-    removed = F.length(lowered) - F.length(F.replace(lowered, F.lit(needle)))
-    return (removed / F.lit(len(needle))).cast("int")
+    removed = F.octet_length(lowered) - F.octet_length(F.replace(lowered, F.lit(needle)))
+    return (removed / F.lit(len(needle.encode()))).cast("int")
 
 
 def score_chunks(chunks: Column, terms: Sequence[str]) -> Column:
@@ -233,8 +259,8 @@ def ranked_candidates(chunks: Column, limit: int = 80) -> Column:
     usable = F.filter(chunks, lambda c: c["section"] != "references")
     keys = F.transform(usable, lambda c, i: F.struct(
         F.when(c["source"] == "keyword_window", 0).otherwise(1).alias("a"), (-c["score"]).alias("b"),
-        (-F.size(c["hits"])).alias("c"), i.alias("i"), c["chunk_id"].alias("chunk_id"), snippet(c["text"]).alias("snippet")))
-    return F.transform(F.slice(F.array_sort(keys), 1, limit), lambda k: F.struct(k["chunk_id"].alias("chunk_id"), k["snippet"].alias("snippet")))
+        (-F.size(c["hits"])).alias("c"), i.alias("i"), c["chunk_id"].alias("chunk_id"), c["text"].alias("text")))
+    return F.transform(F.slice(F.array_sort(keys), 1, limit), lambda k: F.struct(k["chunk_id"].alias("chunk_id"), snippet(k["text"]).alias("snippet")))
 
 
 def accepted_ids(selected: Column, candidates: Column, limit: int = 20) -> Column:

@@ -165,3 +165,30 @@ def test_pack_equals_loop(spark):
 def test_packing_never_shuffles_text(spark):
     plan = ops.build_evidence_pack(docs(spark, IMRAD), ["alpha"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_keyword_windows_lower_the_text_once_and_keep_hits_behind_letters_that_grow(spark):
+    df = docs(spark, "x and the", "İ" * 5 + "the", "none", "", "the" + "x" * 161 + "the", "the" + "x" * 160 + "the")
+    out = df.select("doc_id", P.keyword_windows("text", ["the", "and"], 60, 40).alias("chunks"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    got = [(c.doc_id, c.char_start, c.char_end) for c in ops.chunk_rows(out).orderBy("doc_id", "char_start").collect()]
+    assert got == [(0, 0, 9), (1, 0, 8), (4, 0, 63), (4, 104, 167), (5, 0, 166)]
+
+
+def test_few_lines_are_read_as_headings_and_none_is_missed(spark):
+    from evistrata.functions import text as X
+
+    names = [n for names in X.SECTION_HEADINGS.values() for n in names]
+    lines = [f"{a}{n}{b}" for n in names for a in ("", "  ", "2.1) ", "IV: ") for b in ("", " :. ", "　", ".   ." + " " * 60)]
+    lines += [n.upper() for n in names] + ["bacKground", "the end", "", " . : ", "method a"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(X.canonical_section("line").alias("s"), X.may_name_section("line").alias("m"), "line").collect()
+    assert all(r.m for r in rows if r.s is not None) and not any(r.m for r in rows[-4:])
+
+
+def test_snippets_are_made_of_shown_candidates_only(spark):
+    scored = ops.score_chunks(ops.all_chunks(docs(spark, IMRAD), ["how"]), ["how"]).select("chunks")
+    given = spark.createDataFrame(scored.collect(), scored.schema).select(P.ranked_candidates(F.col("chunks"), 2).alias("r"))
+    plan = given._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1 and plan.index("regexp_replace") > plan.index(", 1, 2)")
+    assert len(given.first().r) == 2
