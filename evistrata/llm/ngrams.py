@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evistrata.llm.base import map_batches, stage, texts, worker_state
+from evistrata.llm.base import BATCH_ROWS, map_batches, stage, texts, worker_state
 from evistrata.llm.components import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +52,8 @@ class Settings:
 
     ``width`` words make a token.  ``longest`` is the largest ``l``; ``verify_cost`` the cost of
     verifying a candidate, in posting entries.  Lists of over ``short`` classes are compared
-    through pivots, and those of elements within them to a depth of ``levels``.  Tokens in at
+    through pivots, and those of elements within them that would give more pairs than ``short``
+    classes do, to a depth of ``levels``.  Tokens in at
     least ``frequent`` of hash-order prefixes ``ahead`` times as long are ordered late, the
     ``order_entries`` most frequent buckets of them at most.  Only the first three change what links; the rest is cost.
     """
@@ -347,8 +348,8 @@ def _elements(diffs: DataFrame, settings: Settings) -> DataFrame:
 
     A beginning is as long as a link can leave before the first shared element, whatever the
     other set: ``denominator - numerator`` of ``numerator`` of the set's size.  Elements that
-    many members have come last: what repeats within a batch is counted in a table of fixed
-    size, which changes cost only.  Of linked members only elements count that one that is not
+    many members have come last: they are counted in a table of fixed size, whole however the
+    rows are dealt, which changes cost only.  Of linked members only elements count that one that is not
     linked may have.  At most 2^PLACE_BITS numbers as Arrow columns and one bitmap reach the driver.
     """
     spare, numerator = settings.denominator - settings.numerator, settings.numerator
@@ -356,17 +357,19 @@ def _elements(diffs: DataFrame, settings: Settings) -> DataFrame:
     def places_of(batch, pick) -> list[np.ndarray]:
         return [pick(pivot, np.array(diff, np.int64).view(np.uint64), n) for pivot, diff, n in zip(*(batch.column(name).to_pylist() for name in ("pivot", "diff", "n")))]
 
-    def make_counts():
-        def work(batch):
-            found = places_of(batch, lambda pivot, elements, n: _places(pivot, elements))
-            place, times = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
-            return {"place": place[times > 1], "times": times[times > 1]}
-
-        return work
+    def count(batches):
+        totals = np.zeros(1 << PLACE_BITS, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                found = places_of(batch.slice(start, BATCH_ROWS), lambda pivot, elements, n: _places(pivot, elements))
+                place, times = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+                totals[place] += times
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(totals[at], pa.int64())], ["place", "times"])
 
     common = np.zeros(1 << PLACE_BITS, np.uint8)
-    repeated = map_batches(diffs, make_counts, "place int, times long").groupBy("place").agg(F.bin(F.sum("times")).alias("bits"))
-    repeated = repeated.select("place", F.length("bits").alias("class")).toArrow()
+    repeated = diffs.mapInArrow(count, "place int, times long").groupBy("place").agg(F.sum("times").alias("times")).filter("times > 1")
+    repeated = repeated.select("place", F.length(F.bin("times")).alias("class")).toArrow()
     common[repeated["place"].to_numpy()] = repeated["class"].to_numpy()
 
     def first(pivot: int, elements: np.ndarray, n: int) -> np.ndarray:
@@ -412,10 +415,12 @@ def _links_in_long_lists(lists: DataFrame, sets: DataFrame, settings: Settings)
         links = links.unionByName(near.select(F.col("best.node").alias("a"), F.col("node").alias("b")))
         # otherwise they share elements of their differences
         elements = _elements(diffs, settings)
-        counts = elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("df"), F.min("linked").alias("all_linked")).filter("df > 1 and not all_linked")
-        shared = stage(elements.join(counts.drop("all_linked"), ["pivot", "element"]), "elements")
-        last = level == settings.levels
-        few = shared if last else shared.filter(F.col("df") <= settings.short)
+        counts = elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("df"), F.count_if(~F.col("linked")).alias("open")).filter("df > 1 and open > 0")
+        # what a list costs are its pairs, and linked members do not meet each other
+        counts = counts.select("pivot", "element", F.expr("open * (df - open) + open * (open - 1) div 2").alias("cost"))
+        shared = stage(elements.join(counts, ["pivot", "element"]), "elements")
+        last, most = level == settings.levels, settings.short * (settings.short - 1) // 2
+        few = shared if last else shared.filter(F.col("cost") <= most)
         need = f"(({s} * (x.d + y.d) - {k} * (x.n + y.n) + {2 * s - 1}) div {2 * s})"
         found = few.filter("not linked").alias("x").join(few.alias("y"), F.expr(
             f"x.pivot = y.pivot and x.element = y.element and (y.linked and x.node <> y.node or x.node < y.node) "
@@ -425,7 +430,7 @@ def _links_in_long_lists(lists: DataFrame, sets: DataFrame, settings: Settings)
         pairs = pairs.unionByName(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
         if last:
             break
-        many = shared.filter(F.col("df") > settings.short)
+        many = shared.filter(F.col("cost") > most)
         if many.isEmpty():
             break
         lists = many.select(F.struct("pivot", "element").alias("token"), "node", F.col("d").alias("rare"))

@@ -145,6 +145,21 @@ def test_marked_places_take_one_bitmap_a_task(spark):
     assert not ngrams._marked_places(rows.limit(0), mark).any()
 
 
+@pytest.mark.parametrize("tasks", [1, 9])
+def test_a_list_with_one_member_that_is_not_linked_needs_no_pivot_of_its_own(spark, monkeypatch, tasks):
+    base, shared = list(range(1, 41)), [999, *range(501, 509)]
+    sets = {0: base, 9: [*base, *shared, *range(601, 607)]} | {i: [*base, *shared, 700 + i] for i in range(1, 6)}
+    rows = [(node, len(x), np.array(sorted(x), np.uint64).tobytes()) for node, x in sets.items()]
+    table = spark.createDataFrame(rows, "node long, n long, tokens binary").repartition(tasks)
+    lists = spark.createDataFrame([(7, node, node) for node in sets], "token long, node long, rare long")
+    names, keep = [], ngrams.stage
+    monkeypatch.setattr(ngrams, "stage", lambda df, name, *path: names.append(name) or keep(df, name, *path))
+    links, pairs = ngrams._links_in_long_lists(lists, table, ngrams.Settings(3, 3, 4, short=4))
+    assert {(r.a, r.b) for r in links.collect()} == {(0, i) for i in range(1, 6)}
+    assert {(r.a, r.b) for r in pairs.collect()} == {(9, i) for i in range(1, 6)}
+    assert names.count("differences") == 1
+
+
 def test_ids_with_several_texts_are_judged_by_each_text(spark):
     a, b = "a b c d e f g h i j k l", "n o p q r s t u v w x y z"
     rows = spark.createDataFrame([(1, a), (1, b), (0, b), (2, a + " m"), (1, a), (3, None), (3, "")], "doc_id long, text string")
