@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evistrata.common import written
 from evistrata.operators import versions as ops
 from evistrata.plans.registry import query, table
 
@@ -12,18 +13,30 @@ def _text(*parts):
     return F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
 
 
-def extraction(spark, d, segment, status, flag, place, named):
+def orders_and_lines(spark, d, versions):
+    """Orders with a customer and lines with an order of either version, each written once, with flags v0 and v1.
+
+    ``versions``: market segment, order status and return flag that each leaves out.
+    """
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("bigint").alias("price"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").repartition("l_orderkey")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("linestatus"))
+    for v, (segment, status, _) in enumerate(versions):
+        customers = table(spark, d, "customer").filter(F.col("c_mktsegment") != segment).select(F.col("c_custkey").alias("o_custkey")).distinct()
+        orders = orders.join(customers.withColumn(f"v{v}", F.lit(True)), "o_custkey", "left")
+        orders = orders.withColumn(f"v{v}", F.coalesce(F.col(f"v{v}") & (F.col("o_orderstatus") != status), F.lit(False)))
+    orders = written(orders.filter("v0 or v1"), "orders")
+    for v, (_, _, flag) in enumerate(versions):
+        keys = orders.filter(f"v{v}").select(F.col("o_orderkey").alias("l_orderkey")).distinct().withColumn(f"v{v}", F.lit(True))
+        lines = lines.join(keys, "l_orderkey", "left").withColumn(f"v{v}", F.coalesce(F.col(f"v{v}") & (F.col("flag") != flag), F.lit(False)))
+    return orders, written(lines.filter("v0 or v1"), "lines")
+
+
+def extraction(customers, orders, lines, place, named):
     """Customers as publications, orders as studies with one arm, lines as outcomes, one location each.
 
-    A version leaves out one market segment, order status and return flag; ``named`` gives lines
-    their explicit outcome id.
+    ``named`` gives lines their explicit outcome id.
     """
-    customers = table(spark, d, "customer").filter(F.col("c_mktsegment") != segment)
-    orders = table(spark, d, "orders").filter(F.col("o_orderstatus") != status).join(
-        customers.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("linestatus")).filter(F.col("flag") != flag)
-    lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     key, ref = F.col("o_orderkey"), _text("o", F.col("l_orderkey"), "-", F.col("l_linenumber"))
     study = _text("s", key).alias("study_ref")
     nothing, zero = F.lit(None).cast("string"), F.lit(0)
@@ -41,16 +54,24 @@ def extraction(spark, d, segment, status, flag, place, named):
 
     locations = lines.select(of_line, *location("outcome", ref, _text("line ", F.col("l_linenumber")), F.col("l_linenumber").cast("string")))
     locations = locations.unionByName(orders.select(study, *location("arm", _text("a", key), F.col("o_orderpriority"), F.lit("1"))))
-    locations = locations.unionByName(orders.select(study, *location("field", F.lit("price"), F.col("o_totalprice").cast("bigint").cast("string"), F.lit("2"))))
+    locations = locations.unionByName(orders.select(study, *location("field", F.lit("price"), F.col("price").cast("string"), F.lit("2"))))
     publications = customers.select(_text("p", F.col("c_custkey")).alias("publication_id"))
     return ops.Extraction(publications, studies, arms, outcomes, locations)
 
 
+VERSIONS = (("MACHINERY", "P", "A"), ("BUILDING", "F", "R"))
+
+
 def two_extractions(spark, d):
-    first = extraction(spark, d, "MACHINERY", "P", "A", 0, lambda ref: F.when(F.col("linestatus") == "F", F.concat(F.lit("X"), ref)))
+    """Two versions, each of which leaves out one market segment, order status and return flag."""
+    orders, lines = orders_and_lines(spark, d, VERSIONS)
+    named = (lambda ref: F.when(F.col("linestatus") == "F", F.concat(F.lit("X"), ref)),
+             lambda ref: F.when((F.col("linestatus") == "O") & (F.col("flag") == "N"), F.concat(F.lit("Y"), ref)))
+    first, second = [
+        extraction(table(spark, d, "customer").filter(F.col("c_mktsegment") != segment), orders.filter(f"v{v}"), lines.filter(f"v{v}"), v, named[v])
+        for v, (segment, _, _) in enumerate(VERSIONS)]
     opened = ops.reingest_entities(spark.createDataFrame([], ops.LEDGER), first, "t1", ["domain"]).opened
-    second = extraction(spark, d, "BUILDING", "F", "R", 1, lambda ref: F.when((F.col("linestatus") == "O") & (F.col("flag") == "N"), F.concat(F.lit("Y"), ref)))
-    return ops.reingest_entities(opened, second, "t2", ["domain"])
+    return ops.reingest_entities(opened, second, "t2", ["domain"], keep=False)
 
 
 def _id(prefix: str, *parts: str) -> str:

@@ -125,3 +125,51 @@ def test_the_stack_of_all_kinds_is_shuffled_once(spark):
     assert seen[0].count("Join ") <= 6 and "Join Inner, (publication_id" not in seen[0]
     assert {r.extraction_version for r in second.opened.collect()} == {2} and {r.extraction_version for r in first.opened.collect()} == {1}
     assert len({r.extraction_run_id for r in second.opened.collect()}) == 1
+
+
+def rows(frame, *without):
+    return sorted(frame.drop(*without).collect(), key=str)
+
+
+def two_versions(spark):
+    """Ledger and its new extraction: a shared study, an owner in another study, doubles, lost owners and a study that is gone."""
+    def children(study, metrics, publication, study_id=None):
+        return ([(study, publication, study_id, None, study, 0)], [(f"a{study}", study, None, "treated", "dose", 0)],
+                [(f"{study}o{i}", study, f" X{m} " if i == 2 else "", None, "d", i, m) for i, m in enumerate(metrics)],
+                [(study, "arm", f"a{study}", 0, "ten"), (study, "field", "design", 0, "trial"), *[(study, "outcome", f"{study}o{i}", 0, m) for i, m in enumerate(metrics)]])
+
+    def merged(publications, *parts, locations=()):
+        tables = [[row for part in parts for row in part[i]] for i in range(4)]
+        return extraction(spark, publications, *tables[:3], tables[3] + list(locations))
+
+    first = merged(["p", "q", "r", "t", "u"], children("s1", ["m1", "m2", "m3"], "p"), children("s2", ["m1"], "q", "NCT1"), children("s3", ["m1"], "r", "nct1 "),
+                   children("s4", ["m1", "m1"], "t"), children("s5", ["m5"], "u"), children("s6", ["m6"], "t"))
+    second = merged(["p", "q", "t"], children("s1", ["m2", "m4", "m1"], "p"), children("s1", ["m2"], "p"), children("s2", ["m1", "m2"], "q", "NCT1"), children("s4", ["m1", "m3"], "t"),
+                    children("s8", ["m8"], "u"), locations=[("s4", "outcome", "s1o0", 0, "far"), ("s4", "outcome", "none", 0, "lost"), ("s1", "outcome", None, 0, "unnamed")])
+    return first, second
+
+
+def test_rows_dealt_by_publication_equal_those_dealt_by_identity(spark, monkeypatch):
+    """What lies near is settled as what does not: all publications count as large, then only those that must be dealt apart."""
+    results = []
+    for large in (0, V.LARGE):
+        monkeypatch.setattr(V, "LARGE", large)
+        first, second = two_versions(spark)
+        ledger = V.reingest_entities(nothing(spark), first, "t1", ["metric"])
+        results.append([ledger.opened, ledger.orphans, *vars(V.reingest_entities(ledger.opened, second, "t2", ["metric"], keep=bool(large))).values()])
+    far, near = ([rows(frame) for frame in frames] for frames in results)
+    assert far == near and len(near[0]) > len(near[2]) > 20 and [r.error for r in near[5]].count("owner_missing") == 4
+
+
+def test_a_made_id_travels_as_bytes_and_comes_back(spark):
+    ids = ["outcome_0123456789abcdef", "0123456789abcdef", "outcome_0123456789ABCDEF", "abcd", "", "é_00000000000000ff", "evidence_0123456789abcdeg", None]
+    frame = spark.createDataFrame([(i,) for i in ids], "entity_id string").select("entity_id", V._packed("entity_id").alias("packed"))
+    found = frame.select("entity_id", V._unpacked("packed").alias("back"), "packed").collect()
+    assert [r.back for r in found] == ids and [len(r.packed) for r in found[:2]] == [17, 9]
+
+
+def test_new_rows_meet_those_before_in_one_shuffle_of_each(spark):
+    """Aliases, owners, earlier locations and the rows that are gone took a shuffle each, of both sides."""
+    first = V.reingest_entities(nothing(spark), full(spark, ["m1", "m2"]), "t1", ["metric"]).opened
+    plan = V.reingest_entities(first, full(spark, ["m1", "m3"]), "t2", ["metric"], keep=False).state._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == plan.count("Exchange hashpartitioning(publication_id") == 7
